@@ -29,16 +29,21 @@ GOLAY = 0b101011100011
 _LANES = 0x100000001
 
 
+def mark(text: Column) -> Column:
+    """A hash that tells texts of one id apart."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
-    """One row a document: row, doc_id, fp (the 64 bits as a long).
+    """One row a document: row, doc_id, mark (a hash of the text), fp (the 64 bits as a long).
 
     Null and blank texts have fingerprint 0. Repeated rows stay apart (``row`` tells them
     apart). The bits of all shingles are summed two to a long, so that no array of counters
     has to be carried.
     """
     words = F.split(trimmed(ascii_lower(F.col("text"))), SPACES, -1)
-    base = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", words.alias("w")).select(
-        "row", "doc_id", "w", F.size("w").alias("n")
+    base = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", mark(F.col("text")).alias("mark"), words.alias("w")).select(
+        "row", "doc_id", "mark", "w", F.size("w").alias("n")
     )
     names = [f"w{i}" for i in range(shingle)]
     many = F.arrays_zip(*[F.slice("w", i + 1, F.col("n") - (shingle - 1)).alias(x) for i, x in enumerate(names)])
@@ -50,10 +55,10 @@ def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
         .when(F.col("n") < shingle, few.cast(kind))
         .otherwise(many.cast(kind))
     )
-    rows = base.select("row", "doc_id", F.inline_outer(shingles)).select(
-        "row", "doc_id", F.when(F.col("w0").isNotNull(), F.xxhash64(F.concat_ws(" ", *names))).alias("h")
+    rows = base.select("row", "doc_id", "mark", F.inline_outer(shingles)).select(
+        "row", "doc_id", "mark", F.when(F.col("w0").isNotNull(), F.xxhash64(F.concat_ws(" ", *names))).alias("h")
     )
-    sums = rows.groupBy("row", "doc_id").agg(
+    sums = rows.groupBy("row", "doc_id", "mark").agg(
         F.count("h").alias("n"),
         *[F.sum(F.shiftrightunsigned("h", i).bitwiseAND(F.lit(_LANES))).alias(f"s{i}") for i in range(32)],
     )
@@ -63,7 +68,7 @@ def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
 
     bits = [bit(F.col(f"s{i}").bitwiseAND(F.lit(0xFFFFFFFF)), i) for i in range(32)]
     bits += [bit(F.shiftrightunsigned(F.col(f"s{i}"), 32), i + 32) for i in range(32)]
-    return sums.select("row", "doc_id", reduce(lambda x, y: x.bitwiseOR(y), bits).alias("fp"))
+    return sums.select("row", "doc_id", "mark", reduce(lambda x, y: x.bitwiseOR(y), bits).alias("fp"))
 
 
 def _field(fp: Column, start: int, width: int) -> Column:
@@ -124,6 +129,21 @@ def links(distinct: DataFrame) -> DataFrame:
     return met.select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b")).distinct()
 
 
+def _roots(prints: DataFrame) -> DataFrame:
+    """fp, root of each fingerprint: the least fingerprint that is reached from it."""
+    distinct = cut(prints.select("fp").distinct())
+    roots = components(links(distinct))
+    return cut(distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root")))
+
+
+def _with_roots(docs: DataFrame, shingle: int) -> DataFrame:
+    """doc_id, mark, fp, root of every row. Adding 0 leaves both sides to be shuffled for the join, so that
+    Spark can split the partition of a fingerprint that very many documents have."""
+    prints = cut(fingerprints(docs, shingle).select("doc_id", "mark", "fp"))
+    roots = _roots(prints).select((F.col("fp") + 0).alias("fp"), "root")
+    return prints.select("doc_id", "mark", (F.col("fp") + 0).alias("fp")).join(roots, "fp")
+
+
 def classes(docs: DataFrame, shingle: int = 4) -> DataFrame:
     """doc_id, fp, component_id of every row: the least doc_id of its class of near-duplicates.
 
@@ -131,16 +151,19 @@ def classes(docs: DataFrame, shingle: int = 4) -> DataFrame:
     no component_id unless a class has no other. Repeated rows come out as often as they went in.
     An empty table gives an empty result.
     """
-    prints = cut(fingerprints(docs, shingle).select("doc_id", "fp"))
-    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    roots = components(links(cut(distinct).select("fp")))
-    firsts = distinct.join(roots, distinct["fp"] == roots["node"], "left").select(
-        "fp", "first", F.coalesce("root", "fp").alias("root")
-    )
-    least = firsts.groupBy("root").agg(F.min("first").alias("component_id"))
-    by_print = firsts.select("fp", (F.col("root") + 0).alias("root")).join(cut(least).select((F.col("root") + 0).alias("root"), "component_id"), "root")
-    by_print = cut(by_print.select("fp", "component_id"))
-    return prints.select("doc_id", (F.col("fp") + 0).alias("fp")).join(by_print.select((F.col("fp") + 0).alias("fp"), "component_id"), "fp")
+    rows = cut(_with_roots(docs, shingle))
+    least = cut(rows.groupBy("root").agg(F.min("doc_id").alias("component_id")))
+    named = least.select((F.col("root") + 0).alias("root"), "component_id")
+    return rows.select("doc_id", "fp", (F.col("root") + 0).alias("root")).join(named, "root").select("doc_id", "fp", "component_id")
+
+
+def survivors(docs: DataFrame, shingle: int = 4) -> DataFrame:
+    """The rows of ``docs`` without near-duplicates: of each class the one with the least id (nulls last) stays."""
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "mark"))
+    kept = _with_roots(docs, shingle).groupBy("root").agg(first.alias("k")).select(F.col("k.doc_id").alias("kept_id"), F.col("k.mark").alias("kept_mark"))
+    marked = docs.withColumn("simhash_mark", mark(F.col("text")))
+    one = marked.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("simhash_mark") == F.col("kept_mark")), "left_semi")
+    return one.dropDuplicates(["doc_id", "simhash_mark"]).select(*docs.columns)
 
 
 def hexadecimal(fp: Column) -> Column:
