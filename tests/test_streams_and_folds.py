@@ -3,6 +3,7 @@
 import math
 import random
 import struct
+from datetime import datetime
 
 import numpy as np
 import pandas as pd
@@ -152,7 +153,7 @@ def test_idempotency_batch_equals_stream(spark, tmp_path):
 
 def test_final_turns_by_watermark(spark, tmp_path):
     schema = "client_id string, turn_id string, ts timestamp"
-    rows = [("c", "t1", pd.Timestamp(2026, 1, 1, 0, 0, s)) for s in (0, 1)] + [("c", "t2", pd.Timestamp(2026, 1, 1, 0, 1, 0)), ("c", "t3", pd.Timestamp(2026, 1, 1, 0, 2, 0))]
+    rows = [("c", "t1", datetime(2026, 1, 1, 0, 0, s)) for s in (0, 1)] + [("c", "t2", datetime(2026, 1, 1, 0, 1, 0)), ("c", "t3", datetime(2026, 1, 1, 0, 2, 0))]
     got = stream(spark, tmp_path, rows, schema, 2, lambda s: stateful.final_turns(s.withWatermark("ts", "1 second")), "final_out")
     assert any("t1" in r and "segments=2" in r for r in got) and not any("t3" in r for r in got)
 
