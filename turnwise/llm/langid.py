@@ -14,14 +14,16 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Training documents looked at for each language (those with the smallest hashes), and bytes of its dictionary.
+from .common import cut
+
+#: Training documents looked at for each language (one of each hash bucket), and bytes of its dictionary.
 SAMPLE, DICTIONARY = 400, 48 << 10
 LEVEL = 12
 #: Bytes as they are compressed: lower case, and spaces for ASCII characters that aren't letters.
 _LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 #: Least score that isn't rejected.
 NARROW = 0.02
-#: Dictionaries are held by every task, so no more languages than this are learned.
+#: Dictionaries are held by every task, so no more languages than this are learned, the most frequent ones.
 LANGUAGES = 500
 
 
@@ -33,27 +35,28 @@ def plain(text: str) -> bytes:
 def dictionaries(training: DataFrame) -> dict[str, bytes]:
     """A dictionary for each language of ``training`` (doc_id, text, lang).
 
-    At most ``SAMPLE`` documents of a language are looked at, by the smallest hashes of their
-    ids, so what comes to the driver is bounded. Whole texts are taken as long as they fit; only
+    At most ``SAMPLE`` documents of a language are looked at, one of each bucket of a hash of
+    the id, so what comes to the driver is bounded. Whole texts are taken as long as they fit; only
     where not one fits does the beginning of the first serve.
     """
     named = training.where(F.col("text").isNotNull() & F.col("lang").isNotNull())
-    by_hash = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = (
-        named.select("doc_id", "lang").withColumn("place", F.row_number().over(by_hash)).where(F.col("place") <= SAMPLE)
-    )
-    # Few ids with a bound: SAMPLE for each language.
-    ids = chosen.groupBy("doc_id", "lang").agg(F.min("place").alias("place"))
+    # One document of each language and bucket: summed up before the shuffle, so no language is one task's work.
+    at = F.xxhash64("doc_id")
+    sample = named.groupBy("lang", F.pmod(at, F.lit(SAMPLE)).alias("place")).agg(F.min_by("doc_id", F.struct(F.xxhash64(at), "doc_id")).alias("doc_id"), F.count("*").alias("n"))
+    sample = cut(sample)
+    common = sample.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).select("lang")
+    # Few ids with a bound: SAMPLE for each of at most LANGUAGES languages.
+    ids = sample.join(F.broadcast(common), "lang").select("lang", "doc_id", "place")
     texts = named.join(F.broadcast(ids), ["doc_id", "lang"]).select("lang", "place", F.substring("text", 1, DICTIONARY).alias("text"), (F.length("text") <= DICTIONARY).alias("whole"))
+    # Of those, as many as fill a dictionary a few times over.
+    upto = Window.partitionBy("lang").orderBy("place", "text").rowsBetween(Window.unboundedPreceding, -1)
+    texts = texts.withColumn("before", F.coalesce(F.sum(F.length("text")).over(upto), F.lit(0))).where(F.col("before") <= 4 * DICTIONARY)
     out: dict[str, list[bytes]] = {}
     sizes: dict[str, int] = {}
     first: dict[str, bytes] = {}
     for row in sorted(texts.collect(), key=lambda r: (r.lang, r.place, r.text)):
         data = plain(row.text) + b"\n"
-        if row.lang not in first:
-            if len(first) == LANGUAGES:
-                raise ValueError(f"more than {LANGUAGES} languages to learn")
-            first[row.lang] = data[:DICTIONARY]
+        first.setdefault(row.lang, data[:DICTIONARY])
         if row.whole and sizes.get(row.lang, 0) + len(data) <= DICTIONARY:
             sizes[row.lang] = sizes.get(row.lang, 0) + len(data)
             out.setdefault(row.lang, []).append(data)

@@ -79,7 +79,8 @@ class Hasher:
             two[one[pairs] == one[pairs + 1]] = _ODD
             of = text[pairs]
             if last is not None and text[0] == 0:
-                two = np.concatenate([[last * np.uint64(_BASE) + (one[0] ^ np.uint64(0x5851F42D4C957F2D))], two])
+                over = _ODD if last == one[0] else last * np.uint64(_BASE) + (one[0] ^ np.uint64(0x5851F42D4C957F2D))
+                two = np.concatenate([[over], two])
                 of = np.concatenate([[0], of])
             both = np.concatenate([one, two])
             both = (both ^ (both >> np.uint64(31))) * _ODD
