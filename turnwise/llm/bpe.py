@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 
 #: Encoded pre-tokens that a task keeps in each of two generations, and the longest kept.
-KEPT, KEPT_CHARS = 500_000, 64
+KEPT, KEPT_CHARS = 250_000, 64
 #: Characters of text encoded together, and bytes of results after which a task hands on a batch.
 TOGETHER, BATCH = 4 << 20, 16 << 20
 #: Bytes of unseen pre-tokens that go through one queue together (a longer one goes alone).
