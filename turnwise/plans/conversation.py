@@ -155,8 +155,8 @@ def resolved_models(spark, d):
     """Values of the model, else of the configuration; unknown ids get the first entry."""
     p, s = table(spark, d, "part"), table(spark, d, "supplier")
     first = s.agg(F.min_by("s_name", "s_suppkey").alias("first_name"))
-    found = p.join(s, p["p_partkey"] == s["s_suppkey"], "left").crossJoin(F.broadcast(first))  # one row
-    return found.select("p_partkey", F.coalesce(F.when(F.col("p_size") > 25, F.col("p_brand")), F.lit("default")).alias("brand"), F.coalesce("s_name", "first_name").alias("supplier"))
+    found = p.join(s, p["p_partkey"] == s["s_suppkey"], "left")
+    return found.select("p_partkey", F.coalesce(F.when(F.col("p_size") > 25, F.col("p_brand")), F.lit("default")).alias("brand"), F.coalesce(F.col("s_name"), first.scalar()).alias("supplier"))
 
 
 @query("B19_recogniser_reply", """
@@ -261,6 +261,6 @@ def finalised(spark, d):
     """Turns whose gap has passed."""
     e = table(spark, d, "events")
     now = e.agg(F.floor(F.max(micros("ts")) / 1000).alias("now"))
-    t = e.groupBy("user_id").agg(F.floor(F.max(micros("ts")) / 1000).alias("ended_ms")).crossJoin(F.broadcast(now))  # one row
+    t = e.groupBy("user_id").agg(F.floor(F.max(micros("ts")) / 1000).alias("ended_ms")).withColumn("now", now.scalar())
     t = t.withColumns({"pending_segments": F.lit(0), "is_final": F.lit(False)})
     return turns.finalised(t, F.col("now"), 3_600_000).select("user_id", "is_final")

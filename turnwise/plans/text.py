@@ -157,7 +157,7 @@ def translation_quality(spark, d):
 def distinct_and_recall(spark, d):
     """Share of different words, and recall of a reference text's words."""
     b = table(spark, d, "benchmark").where("item_id = 0").select(T.words("text").alias("b"))
-    t = _words(spark, d).crossJoin(F.broadcast(b))  # one row
+    t = _words(spark, d).withColumn("b", b.scalar())
     return t.select("doc_id", T.distinct_ratio(F.col("w")).alias("distinct_ratio"), T.word_recall(F.col("b"), F.col("w")).alias("recall"))
 
 
