@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .common import cut
 
 BUCKETS_BITS = 12
-#: Labelled rows that the target model is fitted on, at most (those with the smallest hashes of their ids).
+#: Labelled rows that the target model is fitted on, at most (one of each bucket of a hash of the id).
 LABELLED = 20_000
 SMOOTHING = 1.0
 #: Bytes of text that are hashed together.
@@ -158,7 +158,10 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float] | None:
     ``labels``: doc_id, quality (1 is good; the largest counts if an id is labelled twice).
     """
     known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    sample = cut(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABELLED))
+    # One labelled row of each hash bucket: summed up before the shuffle, so no task sorts them all.
+    at = F.xxhash64("doc_id")
+    one = known.groupBy(F.pmod(at, F.lit(LABELLED)).alias("bucket")).agg(F.min_by(F.struct("doc_id", "quality"), F.struct(F.xxhash64(at), "doc_id")).alias("row"))
+    sample = cut(one.select("row.doc_id", "row.quality"))
     good, n = sample.agg(F.sum(F.when(F.col("quality") == 1, 1).otherwise(0)), F.count("*")).first()
     if not good:
         return None
