@@ -70,6 +70,9 @@ class Tree:
         return [(rows[owner == i], c) for i, c in enumerate(centres)]
 
 
+_NO_ID = np.iinfo(np.int64).max
+
+
 class _Best:
     """The k best of each query so far, as one array of scores and one of positions, worst first."""
 
@@ -80,12 +83,18 @@ class _Best:
 
     def offer(self, queries: np.ndarray, rows: np.ndarray, scores: np.ndarray) -> None:
         """scores: a line for each query, a column for each row; -inf where a pair doesn't count."""
-        both = np.concatenate([self.score[queries], scores], axis=1)
-        row = np.concatenate([self.row[queries], np.broadcast_to(rows, scores.shape)], axis=1)
-        ident = np.where(row >= 0, self.ids[row], np.iinfo(np.int64).max)
-        keep = np.lexsort((ident, -both), axis=1)[:, : self.k]
-        self.score[queries] = np.take_along_axis(both, keep, axis=1)
-        self.row[queries] = np.take_along_axis(row, keep, axis=1)
+        # Only what reaches a query's kth score so far is sorted in; equal scores too, for their ids.
+        reach = (scores >= self.score[queries, self.k - 1][:, None]) & (scores > -np.inf)
+        for i in np.flatnonzero(reach.any(axis=1)):
+            at, q = np.flatnonzero(reach[i]), queries[i]
+            new = scores[i, at]
+            if len(new) > self.k:
+                top = new >= np.partition(new, len(new) - self.k)[len(new) - self.k]
+                at, new = at[top], new[top]
+            both, row = np.concatenate([self.score[q], new]), np.concatenate([self.row[q], rows[at]])
+            ident = np.where(row >= 0, self.ids[row], _NO_ID)
+            keep = np.lexsort((ident, -both))[: self.k]
+            self.score[q], self.row[q] = both[keep], row[keep]
 
 
 def top(ids, x, q_ids, q, k):
@@ -105,6 +114,7 @@ def top(ids, x, q_ids, q, k):
         return x[c] @ q[p] + a * data.norm[c] + b * asks.norm[p] + a * b + 1e-6
 
     def visit(node: int, nodes: np.ndarray, members: np.ndarray) -> None:
+        batch = BATCH
         while len(nodes):
             upper = bounds(node, nodes)
             keep = upper >= best.score[members, k - 1].min()
@@ -115,9 +125,10 @@ def top(ids, x, q_ids, q, k):
                 for child in asks.children[node]:
                     visit(child, nodes, under[child])
                 return
-            # A group of queries: most promising nodes first, a few at a time.
+            # A group of queries: most promising nodes first, a few to begin with, then more at a time.
             nodes = nodes[np.argsort(-upper, kind="stable")]
-            now, nodes = nodes[:BATCH], nodes[BATCH:]
+            now, nodes = nodes[:batch], nodes[batch:]
+            batch *= 4
             leaves = [data.rows[m] for m in now if data.children[m] is None]
             opened = [data.children[m] for m in now if data.children[m] is not None]
             if leaves:
@@ -134,6 +145,7 @@ def top(ids, x, q_ids, q, k):
     return at, first[best.row[at, place]], best.score[at, place].astype(np.int64)
 
 
+#: Row nodes that a group of queries opens or scores at first.
 BATCH = 64
 
 
