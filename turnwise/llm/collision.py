@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 
 from .vectors import search, usable
 
-LINES = 64
+LINES = 40
 WIDTH = 1.0
 START, GROWTH = 0.1, 1.5
 #: Normal deviates by which the threshold lies below the expected collisions of a row at distance R.
