@@ -67,3 +67,43 @@ def test_repeated_rows_empty_table_and_masks(spark, docs):
     assert masked == sorted([("1", "mail <EMAIL> now")] * 2 + [("None", "ip <IP>"), ("2", None), ("3", "clean")], key=lambda r: (r[0], r[1] or ""))
     over = pii.masked(docs([(1, "x 1.2.3.4@9.9.9.9 y")])).select(F.col("text")).first()[0]
     assert over == "x <EMAIL> y"
+
+
+def contexts(docs, rows):
+    got = {r.doc_id: [tuple(s) for s in r.spans] for r in pii.personal_data(docs(rows)).collect()}
+    return {i: {text[s:e] for k, s, e in got[i] if k == "context"} for i, text in rows}
+
+
+def test_seeds_of_any_form_support_their_pattern(docs):
+    """E-mails without digit, cards and phones in groups; tokens that are glued to their label, short or long."""
+    name = lambda i: "".join(chr(97 + int(c)) for c in str(1000 + i))
+    long = "Z9" * 60
+    rows = [(i, f"see member: {name(i)}@example.com today") for i in range(60)]
+    rows += [(100 + i, f"card {c[:4]} {c[4:8]} {c[8:12]} {c[12:]} is old") for i, c in enumerate(cards(30))]
+    rows += [(200 + i, f"please call <+1 (555) 55{i:02d}-1234>") for i in range(30)]
+    rows += [(300 + i, f"the ref:{name(i)}@example.org there") for i in range(60)]
+    planted = {400: ("member: M-12345 x", {"M-12345"}), 401: ("a member: K7", {"K7"}), 402: (f"member: {long} y", {long}), 403: ("card X99", {"X99"}), 404: ("call 555-12", {"555-12"}), 405: ("my ref:AB1234 x", {"AB1234"}), 406: ("number 12 of member: list", set())}
+    rows += [(i, text) for i, (text, _) in planted.items()]
+    got = contexts(docs, rows)
+    assert {i: v for i, v in got.items() if v} == {i: v for i, (_, v) in planted.items() if v}
+
+
+def cards(n):
+    whole = [f"4539{i:011d}{d}" for i in range(n) for d in range(10)]
+    return [c for c in whole if luhn(c)]
+
+
+def test_rounds_until_nothing_new(docs):
+    """A chain of patterns, each known only by what the one before it discovers."""
+    rows = [(i, f"p: u{i}@mail.example") for i in range(90)]
+    for step in range(6):
+        label = ("p", "q", "r", "s", "t", "v", "w")
+        rows += [(1000 + 10 * step + i, f"{label[step]}: {step}N{i}") for i in range(5)]
+        rows += [(2000 + 100 * step + 20 * i + k, f"{label[step + 1]}: {step}N{i}") for i in range(5) for k in range(20)]
+    rows += [(3000, "w: LAST1")]
+    assert contexts(docs, rows)[3000] == {"LAST1"}
+
+
+def test_long_words_and_many_tokens_are_cheap(docs):
+    texts = ["a" * 300_000 + "1", "a:" * 100_000 + "1", "x. " * 60_000 + "9", "k: v1 " * 3000, "." * 200_000 + "1"]
+    assert pii.personal_data(docs(list(enumerate(texts)))).count() == len(texts)

@@ -1,11 +1,12 @@
 """Personal data: four fixed kinds, and identifiers found by bootstrapped contextual extraction.
 
-The fixed kinds (e-mail, IP address, card number, phone number) are the seeds. Every
-identifier-like token (it holds a digit) is an instance, known by its kind of characters; the word
-before it is its pattern. Patterns and instances form a graph, which is scored in rounds: a
-pattern's confidence is the smoothed share of its tokens that are seeds or accepted, and a token
-is accepted if a pattern whose confidence reaches ACCEPT has SUPPORT different accepted instances
-of that shape. What is accepted raises the confidence of further patterns in the next round.
+The fixed kinds (e-mail, IP address, card number, phone number) are the seeds, whatever their form
+or length. Every other token that holds a digit is an instance; the word before it on its line, or
+the label that it is glued to, is its pattern. Patterns and instances form a graph, which is scored
+in rounds until nothing new is accepted: a pattern's confidence is the smoothed share of its
+instances that are seeds or accepted, and an instance is accepted if a pattern whose confidence
+reaches ACCEPT has SUPPORT different seeds or accepted instances. What is accepted raises the
+confidence of further patterns in the next round.
 
 All of it is DataFrame operations. A match's offsets come from the lengths of the pieces between
 matches, which ``split`` gives, so that no text is passed to Python.
@@ -23,7 +24,6 @@ KINDS = ("email", "ip", "card", "phone")
 ACCEPT, SUPPORT = 0.9, 5
 #: Pseudo-count of unknown tokens that each pattern starts with.
 SMOOTHING = 1.0
-ROUNDS = 3
 #: Matches whose offsets are summed together; sums of sums keep texts with very many matches cheap.
 TOGETHER = 256
 
@@ -78,9 +78,24 @@ def _pieces(text: Column, pattern: str, hint: str | None = None) -> tuple[Column
     return F.when(has, between).otherwise(F.array(text)), F.when(has, found).otherwise(F.array().cast("array<string>"))
 
 
+def _pattern(word: Column) -> Column:
+    """A word as a pattern: lower case, without leading punctuation."""
+    return F.lower(F.regexp_replace(word, r"^\p{P}+(?=.)", ""))
+
+
+def _word_before(text: Column) -> Column:
+    """The last word of what comes before a match, on the match's line, as a pattern; empty if there is none.
+
+    Punctuation and symbols after it don't count, but ``:``, ``=`` and ``#`` are part of it. It is
+    read from the end, so that a long text is not searched for its last word.
+    """
+    word = F.regexp_extract(F.reverse(text), r"\A[\x20\t\p{P}\p{S}&&[^:=#]]*+([^\s]++)", 1)
+    return _pattern(F.reverse(word))
+
+
 def _offsets(between: Column, found: Column) -> Column:
-    """(start, end, text) of each match: running sums of lengths, summed in groups."""
-    kind = "array<struct<start:long,end:long,text:string>>"
+    """(start, end, text, before) of each match: running sums of lengths, summed in groups, and the word before."""
+    kind = "array<struct<start:long,end:long,text:string,before:string>>"
     n = F.size(found)
 
     def group(at: Column, position: Column) -> Column:
@@ -91,7 +106,9 @@ def _offsets(between: Column, found: Column) -> Column:
         def step(acc: Column, i: Column) -> Column:
             s = acc["position"] + F.length(F.get(between, i))
             e = s + F.length(F.get(found, i))
-            return F.struct(e.cast("long").alias("position"), F.concat(acc["out"], F.array(F.struct(s.cast("long").alias("start"), e.cast("long").alias("end"), F.get(found, i).alias("text")))).alias("out"))
+            before = _word_before(F.concat(F.coalesce(F.get(found, i - 1), F.lit("")), F.get(between, i)))
+            match = F.struct(s.cast("long").alias("start"), e.cast("long").alias("end"), F.get(found, i).alias("text"), before.alias("before"))
+            return F.struct(e.cast("long").alias("position"), F.concat(acc["out"], F.array(match)).alias("out"))
 
         return F.aggregate(index, start, step)
 
@@ -107,9 +124,9 @@ def _offsets(between: Column, found: Column) -> Column:
     return F.when(n == 0, F.array().cast(kind)).otherwise(F.flatten(whole["out"]))
 
 
-#: A token with a digit, the word before it, and the spaces between (fixed to one line).
-_CANDIDATE = r"(?<!\S)(?:[^\s0-9]{1,40}[\x20\t]+)(?=[^\s]{0,80}[0-9])[A-Za-z0-9+(#][^\s]{4,79}(?!\S)"
-_SPLIT = r"^([^\s0-9]+)[\x20\t]+(\S+)$"
+#: A token with a digit, of any length, and one with the label that it is glued to.
+_TOKEN = r"(?<!\S)(?=[^\s0-9]*+[0-9])\S++"
+_LABEL = r"\A([^\s]*[:=#])[^\s0-9]*+[0-9]"
 
 
 def _shape(token: Column) -> Column:
@@ -119,18 +136,40 @@ def _shape(token: Column) -> Column:
     return F.regexp_replace(out, r"\p{Lu}+", "A")
 
 
+#: A node of the graph as it stands in a text.
+_NODE = "struct<start:long,end:long,text:string,before:string,seed:boolean>"
+
+
+def _node(start: Column, end: Column, text: Column, before: Column, seed: bool) -> Column:
+    return F.struct(start.alias("start"), end.alias("end"), text.alias("text"), before.alias("before"), F.lit(seed).alias("seed"))
+
+
+def _valid(kind: str) -> Column:
+    """(start, end, text, before) of the valid matches of one fixed kind."""
+    kept = F.filter(_offsets(F.col(f"{kind}_b"), F.col(f"{kind}_m")), lambda s: valid(kind, s["text"]))
+    return F.when(F.size(f"{kind}_m") > 0, kept).otherwise(F.array().cast("array<struct<start:long,end:long,text:string,before:string>>"))
+
+
 def _spans(kind: str) -> Column:
     """(kind, start, end) of the valid matches of one fixed kind."""
-    kept = F.filter(_offsets(F.col(f"{kind}_b"), F.col(f"{kind}_m")), lambda s: valid(kind, s["text"]))
-    return F.transform(kept, lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
+    return F.transform(f"{kind}_v", lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
+
+
+def _glued(s: Column) -> Column:
+    """The node of a token's part after a glued label with a letter, in an array; an empty one if it has none."""
+    label = F.regexp_extract(s["text"], _LABEL, 1)
+    n = F.length(label)
+    node = _node(s["start"] + n, s["end"], F.substring(s["text"], n + 1, F.length(s["text"])), _pattern(label), False)
+    return F.when(label.rlike(r"\p{L}"), F.array(node)).otherwise(F.array().cast(f"array<{_NODE}>"))
 
 
 def found(docs: DataFrame) -> DataFrame:
     """key, doc_id, base, candidates of every row, cut off from the texts.
 
     base: array of (kind, start, end), kinds in the order of KINDS, then by start. candidates:
-    array of (start, end, text, before). ``key`` names a row by its id and whole text, so equal
-    rows share it.
+    array of (start, end, text, before, seed): all base spans (the longest of those that start
+    together) as seeds, and all tokens with a digit. ``key`` names a row by its id and whole text,
+    so equal rows share it.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select("doc_id", text.alias("text"))
@@ -138,33 +177,34 @@ def found(docs: DataFrame) -> DataFrame:
     for kind, pattern in PATTERNS.items():
         between, matches = _pieces(F.col("text"), pattern, _HINTS[kind])
         pieces[f"{kind}_b"], pieces[f"{kind}_m"] = between, matches
-    pieces["token_b"], pieces["token_m"] = _pieces(F.col("text"), _CANDIDATE)
-    rows = rows.withColumns(pieces)
-    spans = {kind: _spans(kind) for kind in KINDS}
-    base = F.concat(*[F.when(F.size(f"{k}_m") > 0, spans[k]).otherwise(F.array().cast("array<struct<kind:string,start:long,end:long>>")) for k in KINDS])
-    candidate = F.transform(
-        _offsets(F.col("token_b"), F.col("token_m")),
-        lambda s: F.struct(
-            (s["end"] - F.length(F.regexp_extract(s["text"], _SPLIT, 2))).alias("start"),
-            s["end"].alias("end"),
-            F.regexp_extract(s["text"], _SPLIT, 2).alias("text"),
-            F.lower(F.regexp_replace(F.regexp_extract(s["text"], _SPLIT, 1), r"^\p{P}+(?=.)|(?<=[^:=#])[\p{P}&&[^:=#]]+$", "")).alias("before"),
-        ),
+    pieces["token_b"], pieces["token_m"] = _pieces(F.col("text"), _TOKEN)
+    rows = rows.withColumns(pieces).withColumns({f"{kind}_v": _valid(kind) for kind in KINDS})
+    base = F.concat(*[_spans(k) for k in KINDS])
+    ordered = F.array_sort(F.concat(*[F.transform(f"{k}_v", lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), s["text"].alias("text"), s["before"].alias("before"))) for k in KINDS]))
+    rows = rows.withColumns({"ordered": ordered, "tokens": _offsets(F.col("token_b"), F.col("token_m"))})
+    first = F.filter("ordered", lambda s, i: (i == 0) | (F.get("ordered", i - 1)["start"] != s["start"]))
+    candidate = F.concat(
+        F.transform(first, lambda s: _node(s["start"], -s["back"], s["text"], s["before"], True)),
+        F.transform("tokens", lambda s: _node(s["start"], s["end"], s["text"], s["before"], False)),
+        F.flatten(F.transform("tokens", _glued)),
     )
     key = F.concat_ws(":", F.xxhash64("doc_id", "text").cast("string"), F.length("text").cast("string"), F.crc32(F.col("text").cast("binary")).cast("string"))
     return cut(rows.select(key.alias("key"), "doc_id", base.alias("base"), candidate.alias("candidates")))
 
 
-def discovered(rows: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """key, start, end of the tokens that patterns discover beyond the base spans; ``rows`` as of ``found``."""
+def discovered(rows: DataFrame) -> DataFrame:
+    """key, start, end of the tokens that patterns discover beyond the base spans; ``rows`` as of ``found``.
+
+    A token that touches a base span is none of its own: the span stands for it.
+    """
     inside = F.exists("base", lambda b: (b["start"] < F.col("c.end")) & (b["end"] > F.col("c.start")))
     tokens = rows.select("key", "base", F.explode("candidates").alias("c")).select(
-        "key", F.col("c.start").alias("start"), F.col("c.end").alias("end"), F.col("c.text").alias("instance"), F.col("c.before").alias("before"), _shape(F.col("c.text")).alias("shape"), inside.alias("seed")
-    ).where("before <> ''")
+        "key", F.col("c.start").alias("start"), F.col("c.end").alias("end"), F.col("c.text").alias("instance"), F.col("c.before").alias("before"), _shape(F.col("c.text")).alias("shape"), F.col("c.seed").alias("seed"), (~F.col("c.seed") & inside).alias("inside")
+    ).where("before <> '' and not inside")
     # The graph: how often a pattern stands before an instance. One row an edge, not an occurrence.
     graph = tokens.groupBy("before", "shape", "instance").agg(F.count("*").alias("n"), F.max("seed").alias("seed"))
     graph = cut(graph.withColumn("known", F.col("seed")))
-    for _ in range(rounds):
+    while True:  # each round accepts something new or is the last
         # Confidence of a pattern: over all shapes that stand after it.
         by_shape = graph.groupBy("before", "shape").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("known"), F.col("n")).otherwise(0)).alias("known_n"), F.sum(F.when(F.col("known"), 1).otherwise(0)).alias("instances"))
         by_pattern = by_shape.groupBy("before").agg((F.sum("known_n") / (F.sum("n") + SMOOTHING)).alias("confidence"), F.sum("instances").alias("instances"))
