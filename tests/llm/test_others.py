@@ -53,6 +53,27 @@ def test_templates_judge_by_labels(spark):
     assert got[0].purity == pytest.approx((6 + 2 * 0.3) / (6 + 2))
 
 
+@pytest.mark.parametrize("each", [1, 12])
+def test_templates_do_not_depend_on_size(spark, each):
+    """The same site crawled deeper, with repeated rows; a rare segment of a rule; paths that differ deep down."""
+    word = lambda i: "".join(chr(97 + int(c)) for c in str(1000 + i))
+    rows, labelled = [], []
+    for u in range(40):
+        for k in range(each):
+            rows.append((1000 * u + k, f"http://shop.org/{word(u)}/{'abcdefghijkl'[k]}/spam", ""))
+            if u < 10:
+                labelled.append((1000 * u + k, True))
+    rows += [(90_000, "http://shop.org/fr/spam", "")]
+    deep = "http://deep.com/a/b/c/d/e/f/"
+    rows += [(91_000 + i, f"{deep}{'ads' if i < 20 else 'help'}/{i}", "") for i in range(40)]
+    labelled += [(91_000 + i, i < 20) for i in (*range(6), *range(20, 26))]
+    got = {r.page_id: r for r in urls.judged(spark.createDataFrame(rows + rows, PAGES), labels=spark.createDataFrame(labelled, "page_id long, bad boolean")).collect()}
+    assert all(got[1000 * u].verdict == "block" for u in range(40))
+    assert got[0].n_labelled == 10
+    assert got[90_000].template != got[0].template and got[90_000].verdict == "allow" and got[90_000].n_labelled == 1
+    assert {got[91_000 + i].verdict for i in range(20)} == {"block"} and {got[91_000 + i].verdict for i in range(20, 40)} == {"allow"}
+
+
 # --- quality -------------------------------------------------------------------------
 
 

@@ -1,14 +1,15 @@
 """URL filter: fixed rules, and a path-template tree for each host that judges the rest.
 
 The tree of a host has its path templates as branches. A segment is generalised at once if its
-shape shows that it varies (numbers, hexadecimal ids, dates, long slugs with digits), and where
-many segments of few pages each share a place in the tree, those become one wildcard. Sibling
-branches (same parent, same shape below) whose labelled pages look alike are merged, and a merged
-branch is rejected if the share of its labelled pages that are bad, smoothed towards PRIOR,
-reaches THRESHOLD with LABELLED labels or more. Pages that a rule decides are the labelled ones,
-and labels of one's own can be given too.
-
-All of it is DataFrame operations. Counts are summed by branch before they are shuffled.
+shape shows that it varies (numbers, hexadecimal ids, dates, long slugs with digits). Where
+segments that each have a small share of their parent's urls have a good part of them together,
+those become one wildcard: shares say so, not numbers, so a deeper crawl has the same templates.
+Segments of a rule stay. Sibling branches (same parent, same shape below) whose labelled urls look
+alike are merged, and a merged branch is rejected if the share of its labelled urls that are bad,
+smoothed towards PRIOR, reaches THRESHOLD with LABELLED labels or more. Urls that a rule decides
+are the labelled ones, and labels of one's own can be given too. Repeated urls count once.
+
+All of it is DataFrame operations. Whole paths are in the tree, places in it known by a digest.
 """
 
 from __future__ import annotations
@@ -18,13 +19,12 @@ from pyspark.sql import functions as F
 
 #: (host, path beginning, verdict).
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
-#: A segment of at most RARE pages is rare; where DIFFERENT of them or more share a parent, they become one wildcard.
-DIFFERENT, RARE = 20, 4
+#: A segment is rare with at most one in DIFFERENT of its parent's urls; where rare ones have VARIES of them (DIFFERENT
+#: urls more are assumed that aren't rare), they become one wildcard.
+DIFFERENT, VARIES = 20, 0.2
 #: Smoothing: so many pages of weight PRIOR, the share of bad pages that is assumed of an unknown branch.
 STRENGTH, PRIOR = 2.0, 0.3
 THRESHOLD, LABELLED = 0.7, 3
-#: Segments beyond this depth are one tail; its number of segments stays part of the template.
-DEPTH = 6
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -66,10 +66,11 @@ def judged(pages: DataFrame, rules=RULES, labels: DataFrame | None = None) -> Da
 
     ``labels`` (page_id, bad: boolean) may add labelled pages to those that rules decide. Null
     urls, and those without ``://``, have empty host and path and are one branch. Repeated rows
-    come out as often as they went in. Urls are read whole. A verdict is never null.
+    come out as often as they went in. Urls are read whole; n_labelled counts different ones. A
+    verdict is never null.
     """
     url = F.col("url")
-    rows = pages.select("page_id", host_of(url).alias("host"), path_of(url).alias("path"))
+    rows = pages.select("page_id", url.alias("url"), host_of(url).alias("host"), path_of(url).alias("path"))
     rows = rows.withColumn("r", rule_of(F.col("host"), F.col("path"), rules))
     bad = F.when(F.col("r.verdict") == "block", 1).when(F.col("r.verdict") == "allow", 0)
     if labels is not None:
@@ -77,31 +78,36 @@ def judged(pages: DataFrame, rules=RULES, labels: DataFrame | None = None) -> Da
         rows = rows.join(known, F.col("page_id") == F.col("labelled_id"), "left").drop("labelled_id")
         bad = F.coalesce(bad, F.col("known"))
     segments = F.split(F.regexp_replace("path", r"^/", ""), "/", -1)
-    general = F.transform(segments, _general)
-    tail = F.when(F.size(general) > DEPTH, F.concat(F.lit("{+"), (F.size(general) - DEPTH).cast("string"), F.lit("}"))).otherwise("")
-    shaped = F.when(F.size(general) > DEPTH, F.concat(F.slice(general, 1, DEPTH), F.array(tail))).otherwise(general)
-    rows = rows.withColumn("bad", bad).withColumn("branch", shaped)
-    # One row a branch from here on, with its pages and labels summed.
-    branches = rows.groupBy("host", "branch").agg(F.count("*").alias("pages"), F.count("bad").alias("labelled"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
-    # Places that vary: many different segments under one parent.
-    at = F.posexplode("branch").alias("depth", "segment")
-    nodes = branches.select("host", "branch", "pages", at).withColumn("parent", F.array_join(F.slice("branch", 1, F.col("depth")), "/"))
-    children = nodes.groupBy("host", "depth", "parent", "segment").agg(F.sum("pages").alias("pages"))
-    rare = F.col("pages") <= RARE
-    places = children.groupBy("host", "depth", "parent").agg(F.count_if(rare).alias("rare")).where(F.col("rare") >= DIFFERENT)
-    vary = children.where(rare).join(places.select("host", "depth", "parent"), ["host", "depth", "parent"], "left_semi")
-    marked = nodes.join(vary.select("host", "depth", "parent", "segment", F.lit(True).alias("varies")), ["host", "depth", "parent", "segment"], "left")
+    # Segments that the rule of a page names.
+    named = F.lit(0)
+    for name, start, _ in rules:
+        named = F.when(F.col("r.rule") == name + start, max(start.count("/") - 1, 0)).otherwise(named)
+    rows = rows.withColumns({"bad": bad, "ruled": named, "branch": F.transform(segments, _general)}).withColumn("bid", F.md5(F.array_join("branch", "/")))
+    # One row an url, then one a branch from here on, with its urls and labels summed.
+    once = rows.groupBy("host", "bid", "url").agg(F.first("branch").alias("branch"), F.max("ruled").alias("ruled"), F.avg("bad").alias("bad"))
+    branches = once.groupBy("host", "bid").agg(F.first("branch").alias("branch"), F.max("ruled").alias("ruled"), F.count("*").alias("urls"), F.count("bad").alias("labelled"), F.coalesce(F.sum("bad"), F.lit(0.0)).alias("bad"))
+    # Places that vary: segments of small shares have much of a parent. ``parent``: digest of the segments before.
+    start = F.struct(F.lit("").alias("parent"), F.array().cast("array<struct<parent:string,segment:string>>").alias("out"))
+    step = lambda acc, x: F.struct(F.md5(F.concat(acc["parent"], F.lit("/"), x)).alias("parent"), F.concat(acc["out"], F.array(F.struct(acc["parent"].alias("parent"), x.alias("segment")))).alias("out"))
+    nodes = branches.select("host", "bid", "urls", "ruled", F.posexplode(F.aggregate("branch", start, step, lambda acc: acc["out"])).alias("depth", "n"))
+    nodes = nodes.select("host", "bid", "urls", "depth", "n.parent", "n.segment", (F.col("depth") < F.col("ruled")).alias("ruled"))
+    children = nodes.groupBy("host", "parent", "segment").agg(F.sum("urls").alias("urls"), F.max("ruled").alias("ruled"))
+    children = children.join(children.groupBy("host", "parent").agg(F.sum("urls").alias("total")), ["host", "parent"])
+    rare = children.where((F.col("urls") * DIFFERENT <= F.col("total")) & ~F.col("ruled"))
+    places = rare.groupBy("host", "parent").agg(F.sum("urls").alias("rare"), F.max("total").alias("total")).where(F.col("rare") >= VARIES * (F.col("total") + DIFFERENT))
+    vary = rare.join(places.select("host", "parent"), ["host", "parent"], "left_semi")
+    marked = nodes.join(vary.select("host", "parent", "segment", F.lit(True).alias("varies")), ["host", "parent", "segment"], "left")
     segment = F.when(F.col("varies"), F.lit("*")).otherwise(F.col("segment"))
-    named = marked.groupBy("host", "branch").agg(F.array_sort(F.collect_list(F.struct("depth", segment.alias("segment")))).alias("s"))
-    named = named.select("host", "branch", F.transform("s", lambda x: x["segment"]).alias("t"))
-    counted = branches.join(named, ["host", "branch"])
+    named = marked.groupBy("host", "bid").agg(F.array_sort(F.collect_list(F.struct("depth", segment.alias("segment")))).alias("s"))
+    named = named.select("host", "bid", F.transform("s", lambda x: x["segment"]).alias("t"))
+    counted = branches.join(named, ["host", "bid"])
     # Siblings differ in the last fixed segment only; alike: no labels, or shares of bad pages on the same side.
     fixed = lambda x: ~x.rlike(r"^(\{.*|\*|)$")
     places_fixed = F.filter(F.transform("t", lambda x, i: F.when(fixed(x), i).otherwise(-1)), lambda i: i >= 0)
     last = F.coalesce(F.array_max(places_fixed), F.lit(-1))
     family = F.array_join(F.transform("t", lambda x, i: F.when(i == F.col("last"), F.lit("<>")).otherwise(x)), "/")
     smooth = lambda b, n: (b + STRENGTH * PRIOR) / (n + STRENGTH)
-    templates = counted.groupBy("host", "t").agg(*[F.sum(c).alias(c) for c in ("pages", "labelled", "bad")]).withColumn("last", last).withColumn("family", family)
+    templates = counted.groupBy("host", "t").agg(*[F.sum(c).alias(c) for c in ("labelled", "bad")]).withColumn("last", last).withColumn("family", family)
     share = smooth(F.col("bad"), F.col("labelled"))
     kind = F.when(F.col("labelled") == 0, "unknown").when(share >= 0.6, "bad").when(share <= 0.25, "good").otherwise("mixed")
     templates = templates.withColumn("kind", kind)
@@ -109,8 +115,8 @@ def judged(pages: DataFrame, rules=RULES, labels: DataFrame | None = None) -> Da
     verdicts = templates.select("host", "t", "family", "kind").join(merged, ["host", "family", "kind"])
     purity = smooth(F.col("n_bad"), F.col("n_labelled"))
     verdicts = verdicts.select(F.col("host").alias("h"), F.col("t").alias("vt"), F.concat_ws(":", "family", "kind").alias("template"), purity.alias("purity"), "n_labelled")
-    by_branch = named.join(verdicts, (F.col("host") == F.col("h")) & (F.col("t") == F.col("vt"))).select(F.col("host").alias("bh"), F.col("branch").alias("bb"), "template", "purity", "n_labelled")
-    out = rows.join(by_branch, (F.col("host") == F.col("bh")) & (F.col("branch") == F.col("bb")), "left")
+    by_branch = named.join(verdicts, (F.col("host") == F.col("h")) & (F.col("t") == F.col("vt"))).select(F.col("host").alias("bh"), F.col("bid").alias("bb"), "template", "purity", "n_labelled")
+    out = rows.join(by_branch, (F.col("host") == F.col("bh")) & (F.col("bid") == F.col("bb")), "left")
     reject = (F.col("purity") >= THRESHOLD) & (F.col("n_labelled") >= LABELLED)
     own = F.when(F.coalesce(reject, F.lit(False)), "block").otherwise("allow")
     return out.select("page_id", "host", "path", F.col("r.rule").alias("rule"), F.coalesce("r.verdict", own).alias("verdict"), "template", "purity", "n_labelled")
