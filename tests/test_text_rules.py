@@ -143,3 +143,18 @@ def test_translation_chunks_lose_nothing():
     assert A.recovery_split("a b c d and e f g") == ["a b c d", "and e f g"]
     assert A.recovery_split("a b") == []
     assert A.last_words("a b, c d", 2) == ("c d", True)
+
+
+def test_roundtrip_similarity_reads_whole_turns(spark, tmp_path):
+    """Turns that are alike in their first 400 characters and nowhere else."""
+    from difflib import SequenceMatcher
+
+    from turnwise.plans.text import roundtrip_similarity
+
+    same = "alpha beta gamma " * 30
+    a, b = same + "one two three four " * 20, same + "five six seven eight " * 20
+    spark.createDataFrame([(1, 0, "user", a), (1, 1, "user", b)], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    (row,) = roundtrip_similarity(spark, str(tmp_path)).collect()
+    ratio = lambda x, y: SequenceMatcher(None, x, y, autojunk=False).ratio()
+    plain = 0.55 * ratio(a.split(), b.split()) + 0.30 * 3 / 7 + 0.15 * ratio(a.replace(" ", ""), b.replace(" ", ""))
+    assert row.similarity == pytest.approx(plain) and row.similarity < 0.8
