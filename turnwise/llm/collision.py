@@ -2,10 +2,13 @@
 
 Each block of rows is projected on random lines, and the projections of each line are sorted.
 A row collides with a query on a line if it lies in a window around the query's own projection.
-The windows start narrow and widen level by level (virtual rehashing): a level stands for a
-radius R and its windows have half-width R * WIDTH. A row whose collisions reach the threshold is
-verified by its true score. The search ends as soon as k verified rows lie within R, as every
-row within R has then been found with the chance that the threshold was set for.
+The windows widen level by level (virtual rehashing): a level stands for a radius R and its
+windows have half-width R * WIDTH; only the rings that a level adds are counted. A row at distance
+d collides on a line with chance erf(R WIDTH / (d sqrt 2)), so collisions order rows by distance.
+Rows are verified by their true score in that order, down to the threshold: the collisions that a
+row at the kth distance found so far falls short of with a chance of some SLACK deviates only. The
+threshold rises with each better kth distance. The search ends with the first level whose radius
+holds k verified rows; a query that comes with a score to reach starts at that score's radius.
 
 Inner products become distances by one extra coordinate, sqrt(M^2 - |x|^2) with M the largest norm
 of the block: for a query scaled to norm M the squared distance is 2 M^2 - 2 M q.x / |q|.
@@ -20,17 +23,20 @@ from pyspark.sql import DataFrame
 
 from .vectors import search, usable
 
-LINES = 40
+LINES = 64
 WIDTH = 1.0
-START, GROWTH = 0.1, 1.5
-#: Normal deviates by which the threshold lies below the expected collisions of a row at distance R.
-SLACK = 1.3
+START, GROWTH = 0.05, 1.2
+#: Normal deviates by which the threshold lies below the expected collisions of a row at the kth distance.
+SLACK = 1.6
+#: Rows verified at a time.
+VERIFIED = 256
 SEED = 20
 
 
-def _threshold(lines: int) -> int:
-    p = erf(WIDTH / sqrt(2))
-    return max(1, int(np.floor(lines * p - SLACK * sqrt(lines * p * (1 - p)))))
+def threshold(lines: int, radius: float, distance: float) -> float:
+    """Collisions in windows of ``radius`` that a row at ``distance`` nearly always has."""
+    p = erf(radius * WIDTH / (max(distance, 1e-12) * sqrt(2)))
+    return lines * p - SLACK * sqrt(lines * p * (1 - p))
 
 
 def _exact(x: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -41,67 +47,98 @@ def _exact(x: np.ndarray, q: np.ndarray) -> np.ndarray:
     return total
 
 
-def nearest(ids, x, q_ids, q, k, lines: int = LINES):
-    """One block: positions of queries and rows and their inner products, the ``k`` best found of each query."""
-    n, dim = x.shape
+class Lines:
+    """The sorted projections of a block, one after another in a single array (each shifted by STEP times its number)."""
+
+    STEP = 1e4
+
+    def __init__(self, unit: np.ndarray, lines: int):
+        self.n, self.lines = len(unit), lines
+        self.line = np.random.default_rng(SEED).standard_normal((unit.shape[1], lines))
+        at = (unit @ self.line).T
+        self.order = np.argsort(at, axis=1, kind="stable").reshape(-1)
+        self.shift = np.arange(lines) * self.STEP
+        self.at = (np.sort(at, axis=1) + self.shift[:, None]).reshape(-1)
+
+    def window(self, centre: np.ndarray, half: float) -> tuple[np.ndarray, np.ndarray]:
+        return np.searchsorted(self.at, centre - half, "left"), np.searchsorted(self.at, centre + half, "right")
+
+    def count(self, pieces: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """How often each row lies in the stretches (beginnings, ends)."""
+        rows = [self.order[a:b] for lo, hi in pieces for a, b in zip(lo.tolist(), hi.tolist(), strict=True) if a < b]
+        return np.bincount(np.concatenate(rows), minlength=self.n) if rows else np.zeros(self.n, np.int64)
+
+
+def nearest(ids, x, q_ids, q, floor, k, lines: int = LINES, verified: list | None = None):
+    """One block: positions of queries and rows and their inner products, the ``k`` best found of each query.
+
+    ``verified`` gets the number of rows whose inner product was computed for each query.
+    """
     norms = np.sqrt((x * x).sum(axis=1))
     largest = norms.max()
     own = np.sqrt((q * q).sum(axis=1))
-    with np.errstate(invalid="ignore", over="ignore"):
-        extra = np.sqrt(np.maximum(0, 1 - (norms / largest) ** 2))
-    unit = np.column_stack([x / largest, extra])
-    line = np.random.default_rng(SEED).standard_normal((dim + 1, lines))
-    at = unit @ line
-    order = np.argsort(at, axis=0, kind="stable").T.copy()
-    at = np.sort(at, axis=0).T.copy()
-    centre = np.column_stack([q / own[:, None], np.zeros(len(q))]) @ line
-    radii = [START]
-    while radii[-1] < 2 * GROWTH:
-        radii.append(radii[-1] * GROWTH)
-    low = np.empty((len(radii), lines, len(q)), np.int64)
-    high = np.empty_like(low)
-    for r, radius in enumerate(radii):
-        for j in range(lines):
-            low[r, j] = np.searchsorted(at[j], centre[:, j] - radius * WIDTH, "left")
-            high[r, j] = np.searchsorted(at[j], centre[:, j] + radius * WIDTH, "right")
-    need = _threshold(lines)
+    unit = np.column_stack([x / largest, np.sqrt(np.maximum(0, 1 - (norms / largest) ** 2))])
+    index = Lines(unit, lines)
+    centres = np.column_stack([q / own[:, None], np.zeros(len(q))]) @ index.line
     out = [], [], []
+
+    def distance(i: int, score: float) -> float:
+        return sqrt(max(0.0, 2 - 2 * score / (own[i] * largest)))
+
     for i in range(len(q)):
-        counts = np.zeros(n, np.int64)
-        checked = np.zeros(n, bool)
-        checked[ids == q_ids[i]] = True
-        found, near = [], []
-        lo = hi = None
-        for r, radius in enumerate(radii):
-            width = int((high[r, :, i] - low[r, :, i]).sum())
-            if width < need and r + 1 < len(radii):
-                continue  # too few collisions for any row
-            to_lo, to_hi = low[r, :, i], high[r, :, i]
-            if lo is None:
-                ring = [order[j, to_lo[j] : to_hi[j]] for j in range(lines)]
-            else:
-                ring = [order[j, to_lo[j] : lo[j]] for j in range(lines)] + [order[j, hi[j] : to_hi[j]] for j in range(lines)]
-            counts += np.bincount(np.concatenate(ring), minlength=n)
-            lo, hi = to_lo, to_hi
-            new = np.flatnonzero((counts >= need) & ~checked)
-            if r + 1 == len(radii):
-                new = np.flatnonzero(~checked)  # no radius is left: the rest is verified
-            if len(new):
-                checked[new] = True
-                found.append(new)
-                near.append(x[new] @ q[i])
-            if sum(map(len, found)) >= k:
-                got = np.concatenate(near)
-                kth = np.partition(got, len(got) - k)[len(got) - k]
-                if 2 - 2 * kth / (own[i] * largest) <= radius * radius:
-                    break
-        if not found:
+        seen = ids == q_ids[i]
+        others = len(ids) - int(seen.sum())
+        centre = centres[i] + index.shift
+        known = floor[i] > -np.inf
+        # Only rows that reach the floor are asked for: their radius is the one level needed.
+        radius = min(2.0, max(START, distance(i, floor[i]) * (1 + 1e-9))) if known else START
+        counts, before = np.zeros(index.n, np.int64), None
+        found, near, total = [], [], 0
+        kth = floor[i] if known else -np.inf
+        while True:
+            window = index.window(centre, radius * WIDTH)
+            if (window[1] - window[0]).sum() >= threshold(lines, radius, radius) or radius >= 2:
+                counts += index.count([window] if before is None else [(window[0], before[0]), (before[1], window[1])])
+                before = window
+                reach = distance(i, kth) if kth > -np.inf else radius
+                new = np.flatnonzero((counts >= threshold(lines, radius, reach)) & ~seen)
+                new = new[np.argsort(-counts[new], kind="stable")]
+                at = 0
+                while at < len(new):
+                    part = new[at : at + VERIFIED]
+                    part = part[counts[part] >= threshold(lines, radius, reach)]
+                    if not len(part):
+                        break
+                    seen[part] = True
+                    score = x[part] @ q[i]
+                    found.append(part)
+                    near.append(score)
+                    total += len(part)
+                    at += VERIFIED
+                    if total >= k:
+                        got = np.concatenate(near)
+                        kth = max(kth, np.partition(got, len(got) - k)[len(got) - k])
+                        reach = min(reach, distance(i, kth))
+            if known or total >= others or total >= k and distance(i, kth) <= radius:
+                break
+            if radius >= 2:
+                if total < k:  # fewer than k rows have collided often enough: the rest is verified
+                    rest = np.flatnonzero(~seen)
+                    found.append(rest)
+                    near.append(x[rest] @ q[i])
+                    total += len(rest)
+                break
+            radius = min(2.0, radius * GROWTH)
+        if verified is not None:
+            verified.append(total)
+        if not total:
             continue
         found, near = np.concatenate(found), np.concatenate(near)
+        least = floor[i]
         if len(near) > k:
-            kth = np.partition(near, len(near) - k)[len(near) - k]
-            keep = near >= kth - 1e-9 * max(1.0, abs(kth))
-            found = found[keep]
+            least = max(least, np.partition(near, len(near) - k)[len(near) - k])
+        keep = near >= least - 1e-9 * max(1.0, abs(least)) if least > -np.inf else np.ones(len(near), bool)
+        found = found[keep]
         score = _exact(x[found], q[i])
         best = np.lexsort((ids[found], -score))[:k]
         out[0].append(np.full(len(best), i))
@@ -117,6 +154,7 @@ def approximate_neighbours(embeddings: DataFrame, k: int = 20, every: int = 20)
 
     Queries are the rows whose vec_id ``every`` divides. Rows with a null id, and vectors that are
     null, empty, zero or hold null or non-finite components, take no part. Ties go to the smaller
-    vec_id; rows that repeat an id with equal vectors count once. Of an empty table the result is empty.
+    vec_id; rows that repeat an id with equal vectors count once, and an id with different vectors is
+    a row for each. Of an empty table the result is empty; other columns are left out.
     """
     return search(usable(embeddings, zero_too=False), nearest, "double", k=k, every=every)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,16 +14,28 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` computed once and read back from the shared checkpoint folder.
+    """``df`` computed once and read back from the session's ``spark.checkpoint.dir``, which all executors share."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
 
-    The folder is the session's ``spark.checkpoint.dir``. Only where that is unset, as in tests
-    on one machine, is a folder of our own named.
-    """
-    context = df.sparkSession.sparkContext
+
+def shared_folder(spark: SparkSession) -> str:
+    """The session's ``spark.checkpoint.dir``. A folder of our own stands in for it only where all runs on one
+    machine, as in tests; elsewhere executors would not see it."""
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if named is None:
+        if not context.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        named = tempfile.mkdtemp(prefix="turnwise-checkpoints-")
     if context.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="turnwise-checkpoints-"))
-    return df.checkpoint(eager=True)
+        context.setCheckpointDir(named)
+    return named
+
+
+def give_back() -> None:
+    """Returns the memory of Arrow batches that are done with; an idle worker would keep it."""
+    pa.default_memory_pool().release_unused()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -1,10 +1,12 @@
 """Exact top-k by inner product: a dual-tree search on two cover trees.
 
 A node stands for a set of rows: a centre that is one of them, and a covering radius. Its children
-cover the set with balls of a fraction of that radius whose centres lie apart. Queries and rows get
-a tree each. No inner product between a query node (centre p, radius a) and a row node (centre c,
-radius b) exceeds p.c + a |c| + b |p| + a b; if that lies below the worst kth score among the
-queries of the node, the pair is pruned with all below it.
+have centres further apart than a share of that radius, and each of its rows lies within that
+share of its child's centre. Queries and rows get a tree each. For a query node (centre p, radius
+a) and a row node (centre c, radius b) ``vectors.upper`` bounds the inner products of p with the
+row node; those of the other queries differ by no more than a times the longest row. If that
+lies below the worst kth score among the queries of the node, the pair is pruned with all below.
+A query's kth score is known from the start: from the block that it visited first.
 """
 
 from __future__ import annotations
@@ -13,31 +15,32 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .vectors import search, usable
+from .vectors import ROUNDING, distances, search, upper, usable
 
 SCALE = 64
-#: Sets up to this size are not divided further.
-LEAF = 32
-#: Radius of a child as a share of its parent's.
-SHRINK = 0.6
-#: Most centres that one division of a set opens; what none of them covers is divided again.
-FAN = 24
+#: Sets of rows and groups of queries up to these sizes are not divided further.
+LEAF, GROUP = 32, 16
+#: Reach of a child's centre as a share of its parent's radius.
+SHRINK = 0.75
+#: Row nodes that a group of queries opens or scores at first.
+BATCH = 8
 
 
 class Tree:
-    """Nodes in arrays: centre (a row's position), radius, children, and for leaves their rows."""
+    """Nodes in arrays: centre (a row's position), radius, longest row, children, and for leaves their rows."""
 
-    def __init__(self, x: np.ndarray):
-        self.x = x
+    def __init__(self, x: np.ndarray, leaf: int = LEAF):
+        self.x, self.leaf = x, leaf
         self.norm = np.sqrt((x * x).sum(axis=1))
-        self.centre, self.radius, self.children, self.rows = [], [], [], []
+        self.centre, self.radius, self.largest, self.children, self.rows = [], [], [], [], []
         self._grow()
-        self.centre, self.radius = np.array(self.centre), np.array(self.radius)
+        self.centre, self.radius, self.largest = np.array(self.centre), np.array(self.radius), np.array(self.largest)
 
     def _node(self, rows: np.ndarray, centre: int) -> int:
         gap = self.x[rows] - self.x[centre]
         self.centre.append(centre)
-        self.radius.append(float(np.sqrt((gap * gap).sum(axis=1).max())) if len(rows) else 0.0)
+        self.radius.append(float(np.sqrt((gap * gap).sum(axis=1).max())))
+        self.largest.append(float(self.norm[rows].max()))
         self.children.append(None)
         self.rows.append(rows)
         return len(self.centre) - 1
@@ -47,44 +50,58 @@ class Tree:
         while todo:
             at = todo.pop()
             rows = self.rows[at]
-            if len(rows) <= LEAF or self.radius[at] == 0:
+            if len(rows) <= self.leaf or self.radius[at] == 0:
                 continue
-            children = []
-            for part, centre in self._divide(rows, self.centre[at], self.radius[at] * SHRINK):
-                children.append(self._node(part, centre))
+            children = [self._node(part, centre) for part, centre in self._net(rows, self.centre[at], self.radius[at] * SHRINK)]
             self.children[at], self.rows[at] = np.array(children), None
             todo += children
 
-    def _divide(self, rows: np.ndarray, centre: int, reach: float):
-        """Balls of radius ``reach`` around centres further apart than that, then nearest centre for the rest."""
-        far = np.full(len(rows), np.inf)
-        owner = np.zeros(len(rows), int)
-        centres = []
-        while len(centres) < FAN and (far > reach).any():
-            pick = int(np.argmax(far)) if centres else int(np.flatnonzero(rows == centre)[0])
-            gap = self.x[rows] - self.x[rows[pick]]
-            d = np.sqrt((gap * gap).sum(axis=1))
-            owner[d < far] = len(centres)
-            far = np.minimum(far, d)
+    def _net(self, rows: np.ndarray, centre: int, reach: float) -> list[tuple[np.ndarray, int]]:
+        """Centres further apart than ``reach`` such that each row has one within it, and the rows nearest to each."""
+        x = self.x[rows]
+        pick = int(np.flatnonzero(rows == centre)[0])
+        far, owner, centres = np.full(len(rows), np.inf), np.zeros(len(rows), int), []
+        while True:
+            d = distances(x, x[pick : pick + 1])[:, 0]
+            d[pick] = 0
+            closer = d < far
+            owner[closer] = len(centres)
+            far[closer] = d[closer]
             centres.append(rows[pick])
-        return [(rows[owner == i], c) for i, c in enumerate(centres)]
+            pick = int(far.argmax())
+            if far[pick] <= reach:
+                break
+        order = np.argsort(owner, kind="stable")
+        return list(zip(np.split(rows[order], np.searchsorted(owner[order], np.arange(1, len(centres)))), centres, strict=True))
+
+    def below(self) -> list[np.ndarray]:
+        """The rows below each node."""
+        out = list(self.rows)
+        for at in reversed(range(len(out))):
+            if out[at] is None:
+                out[at] = np.concatenate([out[c] for c in self.children[at]])
+        return out
 
 
 _NO_ID = np.iinfo(np.int64).max
 
 
 class _Best:
-    """The k best of each query so far, as one array of scores and one of positions, worst first."""
+    """The k best of each query so far, as one array of scores and one of positions, worst last."""
 
-    def __init__(self, queries: int, k: int, ids: np.ndarray):
-        self.k, self.ids = k, ids
-        self.score = np.full((queries, k), -np.inf)
-        self.row = np.full((queries, k), -1)
+    def __init__(self, floor: np.ndarray, k: int, ids: np.ndarray, kind: type):
+        self.k, self.ids, self.floor = k, ids, floor
+        self.score = np.full((len(floor), k), -np.inf, kind)
+        self.row = np.full((len(floor), k), -1)
+
+    def worst(self, queries: np.ndarray) -> np.ndarray:
+        """What a row must reach to count, for each query."""
+        return np.maximum(self.score[queries, self.k - 1], self.floor[queries])
 
     def offer(self, queries: np.ndarray, rows: np.ndarray, scores: np.ndarray) -> None:
         """scores: a line for each query, a column for each row; -inf where a pair doesn't count."""
         # Only what reaches a query's kth score so far is sorted in; equal scores too, for their ids.
-        reach = (scores >= self.score[queries, self.k - 1][:, None]) & (scores > -np.inf)
+        reach = (scores >= self.worst(queries)[:, None]) & (scores > -np.inf)
         for i in np.flatnonzero(reach.any(axis=1)):
             at, q = np.flatnonzero(reach[i]), queries[i]
             new = scores[i, at]
@@ -93,83 +110,111 @@ class _Best:
                 at, new = at[top], new[top]
             both, row = np.concatenate([self.score[q], new]), np.concatenate([self.row[q], rows[at]])
             ident = np.where(row >= 0, self.ids[row], _NO_ID)
-            keep = np.lexsort((ident, -both))[: self.k]
+            if both.dtype == object:
+                keep = sorted(range(len(both)), key=lambda j, s=both, d=ident: (-s[j], d[j]))[: self.k]
+            else:
+                keep = np.lexsort((ident, -both))[: self.k]
             self.score[q], self.row[q] = both[keep], row[keep]
 
 
-def top(ids, x, q_ids, q, k):
-    """One block of whole-numbered vectors: positions of queries and rows and their integer scores."""
-    # Rows that repeat id and vector are one candidate.
-    _, first = np.unique(np.column_stack([ids, x]), axis=0, return_index=True)
-    ids, x, first = ids[first], x[first], first
-    bound = np.abs(x).max(initial=0) * np.abs(q).max(initial=0) * x.shape[1]
-    if bound >= 2.0**53:
-        return _plain(ids, x, q_ids, q, k, first)
-    data, asks = Tree(x), Tree(q)
-    best = _Best(len(q), k, ids)
-
-    def bounds(node: int, nodes: np.ndarray) -> np.ndarray:
-        c = data.centre[nodes]
-        a, b, p = asks.radius[node], data.radius[nodes], asks.centre[node]
-        return x[c] @ q[p] + a * data.norm[c] + b * asks.norm[p] + a * b + 1e-6
-
-    def visit(node: int, nodes: np.ndarray, members: np.ndarray) -> None:
-        batch = BATCH
-        while len(nodes):
-            upper = bounds(node, nodes)
-            keep = upper >= best.score[members, k - 1].min()
-            nodes, upper = nodes[keep], upper[keep]
-            if asks.children[node] is not None:
-                inner = [m for m in nodes if data.children[m] is not None]
-                nodes = np.array([m for m in nodes if data.children[m] is None] + [c for m in inner for c in data.children[m]], int)
-                for child in asks.children[node]:
-                    visit(child, nodes, under[child])
-                return
-            # A group of queries: most promising nodes first, a few to begin with, then more at a time.
-            nodes = nodes[np.argsort(-upper, kind="stable")]
-            now, nodes = nodes[:batch], nodes[batch:]
+def top(ids, x, q_ids, q, floor, k, scored: list | None = None):
+    """One block of whole-numbered vectors: positions of queries and rows and their integer scores.
+
+    ``scored`` gets the number of pairs whose inner product was computed, those for bounds
+    included. Where components are so large that doubles would round, scores are whole numbers
+    of any size, held to a long's range, in the same search.
+    """
+    wide = np.abs(x).max(initial=0) * np.abs(q).max(initial=0) * x.shape[1] >= 2.0**53
+    exact_x, exact_q = x, q
+    if wide:
+        whole = np.frompyfunc(int, 1, 1)
+        exact_x, exact_q = whole(x), whole(q)
+        floor = np.where(np.isfinite(floor), floor - np.abs(floor) * 1e-9, floor)
+    data, asks = Tree(x), Tree(q, GROUP)
+    under = asks.below()
+    best = _Best(floor, k, ids, object if wide else float)
+    count = 0
+
+    def prune(node: int, nodes: np.ndarray) -> np.ndarray:
+        """Of ``nodes``, those that may hold a row for a query of the query node."""
+        nonlocal count
+        count += len(nodes)
+        p, c = asks.centre[node], data.centre[nodes]
+        bound = upper(x[c] @ q[p], asks.norm[p], data.norm[c], data.radius[nodes], data.largest[nodes])
+        return nodes[bound + asks.radius[node] * data.largest[nodes] * (1 + ROUNDING) >= best.worst(under[node]).min()]
+
+    def visit(node: int, nodes: np.ndarray) -> None:
+        """Both trees are descended together until a group of queries is no longer divided."""
+        while len(nodes := prune(node, nodes)):
+            if asks.children[node] is None:
+                return group(under[node], nodes)
+            inner = np.array([data.children[m] is not None for m in nodes])
+            if not inner.any() or asks.radius[node] > 2 * data.radius[nodes].max():
+                break
+            nodes = np.concatenate([nodes[~inner], *(data.children[m] for m in nodes[inner])])
+        if len(nodes):
+            for child in asks.children[node]:
+                visit(child, nodes)
+
+    def group(members: np.ndarray, fresh: np.ndarray) -> None:
+        """Most promising nodes first, a few to begin with, then more at a time."""
+        nonlocal count
+        own, batch = asks.norm[members][:, None], BATCH
+        nodes, bounds = np.empty(0, int), np.empty((len(members), 0))
+        while len(nodes) or len(fresh):
+            if len(fresh):
+                count += len(fresh) * len(members)
+                c = data.centre[fresh]
+                more = upper(q[members] @ x[c].T, own, data.norm[c], data.radius[fresh], data.largest[fresh])
+                nodes, bounds, fresh = np.concatenate([nodes, fresh]), np.hstack([bounds, more]), np.empty(0, int)
+            worst = best.worst(members)[:, None]
+            alive = (bounds >= worst).any(axis=0)
+            nodes, bounds = nodes[alive], bounds[:, alive]
+            gain = (bounds - np.maximum(worst.astype(float), -1e300)).max(axis=0, initial=-np.inf)
+            order = np.argsort(-gain, kind="stable")
+            now, nodes, bounds = nodes[order[:batch]], nodes[order[batch:]], bounds[:, order[batch:]]
             batch *= 4
             leaves = [data.rows[m] for m in now if data.children[m] is None]
-            opened = [data.children[m] for m in now if data.children[m] is not None]
             if leaves:
                 rows = np.concatenate(leaves)
-                scores = q[members] @ x[rows].T
-                scores[q_ids[members][:, None] == ids[rows][None, :]] = -np.inf
-                best.offer(members, rows, scores)
+                score(members, rows)
+            opened = [data.children[m] for m in now if data.children[m] is not None]
             if opened:
-                nodes = np.concatenate([*opened, nodes])
-
-    under = _under(asks)
-    visit(0, np.array([0]), under[0])
+                fresh = np.concatenate(opened)
+
+    def score(members: np.ndarray, rows: np.ndarray) -> None:
+        nonlocal count
+        count += len(rows) * len(members)
+        scores = exact_q[members] @ exact_x[rows].T
+        if wide:
+            scores = np.minimum(np.maximum(scores, -(2**63)), 2**63 - 1)
+        scores[q_ids[members][:, None] == ids[rows][None, :]] = -np.inf
+        best.offer(members, rows, scores)
+
+    def seed(members: np.ndarray, centre: int) -> None:
+        """A first kth score for each query of a group: from the rows about its centre."""
+        nonlocal count
+        nodes, rows = [0], []
+        while nodes and sum(map(len, rows)) <= 2 * k:
+            m = nodes.pop()
+            if data.children[m] is None:
+                rows.append(data.rows[m])
+            else:
+                c = data.children[m]
+                count += len(c)
+                nodes += c[np.argsort(x[data.centre[c]] @ q[centre], kind="stable")[-4 * k :]].tolist()
+        score(members, np.concatenate(rows))
+
+    for node in range(len(asks.centre)):
+        if asks.children[node] is None and not np.isfinite(floor[under[node]]).all():
+            seed(under[node], asks.centre[node])
+    # What the seeds found counts as a score to reach only, as the search comes to those rows again.
+    best = _Best(best.worst(np.arange(len(q))), k, ids, object if wide else float)
+    visit(0, np.array([0]))
+    if scored is not None:
+        scored.append(count)
     at, place = np.nonzero(best.score > -np.inf)
-    return at, first[best.row[at, place]], best.score[at, place].astype(np.int64)
-
-
-#: Row nodes that a group of queries opens or scores at first.
-BATCH = 64
-
-
-def _under(tree: Tree) -> list[np.ndarray]:
-    """The rows below each node."""
-    out = list(tree.rows)
-    for at in reversed(range(len(out))):
-        if out[at] is None:
-            out[at] = np.concatenate([out[c] for c in tree.children[at]])
-    return out
-
-
-def _plain(ids, x, q_ids, q, k, first):
-    """Components so large that doubles would round: every pair in whole numbers, held to a long's range."""
-    at, of, scores = [], [], []
-    whole = [[int(v) for v in row] for row in x]
-    for i, row in enumerate(q):
-        ask = [int(v) for v in row]
-        got = [(min(max(sum(a * b for a, b in zip(ask, r, strict=True)), -(2**63)), 2**63 - 1), ids[j], j) for j, r in enumerate(whole) if ids[j] != q_ids[i]]
-        for s, _, j in sorted(got, key=lambda g: (-g[0], g[1]))[:k]:
-            at.append(i)
-            of.append(first[j])
-            scores.append(s)
-    return np.array(at, int), np.array(of, int), np.array(scores, np.int64)
+    return at, best.row[at, place], best.score[at, place].astype(np.int64)
 
 
 def exact_top(embeddings: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
@@ -177,7 +222,9 @@ def exact_top(embeddings: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
 
     Queries are the rows whose vec_id ``every`` divides. Rows with a null id, and vectors that are
     null, empty or hold null or non-finite components, take no part; zero vectors do. Ties go to
-    the smaller vec_id; rows that repeat an id with equal vectors count once.
+    the smaller vec_id; rows that repeat an id with equal vectors count once, and an id with
+    different vectors is a row for each. Scores beyond a long's range are held to it. Of an empty
+    table the result is empty; other columns are left out.
     """
     rows = usable(embeddings, zero_too=True).withColumn("v", F.transform("v", lambda x: F.floor(x * SCALE).cast("double")))
     return search(rows, top, "long", k=k, every=every)

@@ -73,8 +73,7 @@ def op7_simhash_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = quality.classified(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return judged.select("doc_id", "log_weight", "sample_key", "kept")
+    return quality.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op9_entropy_balancing(spark: SparkSession, sf_dir: str) -> DataFrame:
