@@ -38,6 +38,12 @@ def give_back() -> None:
     pa.default_memory_pool().release_unused()
 
 
+def unused(names: list[str], name: str) -> str:
+    """``name``, or the first of its numbered forms that no column has."""
+    taken = {n.lower() for n in names}
+    return next(n for i in range(len(taken) + 1) if (n := f"{name}_{i}" if i else name).lower() not in taken)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -1,12 +1,15 @@
 """Personal data: four fixed kinds, and identifiers found by bootstrapped contextual extraction.
 
 The fixed kinds (e-mail, IP address, card number, phone number) are the seeds, whatever their form
-or length. Every other token that holds a digit is an instance; the word before it on its line, or
-the label that it is glued to, is its pattern. Patterns and instances form a graph, which is scored
-in rounds until nothing new is accepted: a pattern's confidence is the smoothed share of its
-instances that are seeds or accepted, and an instance is accepted if a pattern whose confidence
-reaches ACCEPT has SUPPORT different seeds or accepted instances. What is accepted raises the
-confidence of further patterns in the next round.
+or length. Every other token that holds a digit is an instance. Patterns are the words about it on
+its line, their digits generalised: the one, two or three words before it (a label that it is glued
+to is one of them), the word before with the word after, and the two words after. Patterns and instances form a
+graph, which is scored in rounds until nothing new is accepted: a pattern's confidence is the
+smoothed share of its occurrences that are seeds or accepted instances; it is good if that reaches
+ACCEPT with SUPPORT different ones. What stands in a good pattern is accepted there. An accepted
+instance that can hardly be anything else (letters and digits mixed, or SPECIFIC digits) is
+accepted wherever it stands, and so raises the confidence of further patterns in the next round;
+a short number is not, so that patterns don't drift to whatever such numbers stand in.
 
 All of it is DataFrame operations. A match's offsets come from the lengths of the pieces between
 matches, which ``split`` gives, so that no text is passed to Python.
@@ -17,13 +20,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, unused
 
 KINDS = ("email", "ip", "card", "phone")
 #: Share of a pattern's tokens that must be known for it to discover others, and different instances it needs.
 ACCEPT, SUPPORT = 0.9, 5
 #: Pseudo-count of unknown tokens that each pattern starts with.
 SMOOTHING = 1.0
+#: Digits that make an instance without letters specific.
+SPECIFIC = 6
+#: More rounds than this are an error: each accepts something new, and chains of patterns are short.
+ROUNDS = 200
 #: Matches whose offsets are summed together; sums of sums keep texts with very many matches cheap.
 TOGETHER = 256
 
@@ -78,24 +85,37 @@ def _pieces(text: Column, pattern: str, hint: str | None = None) -> tuple[Column
     return F.when(has, between).otherwise(F.array(text)), F.when(has, found).otherwise(F.array().cast("array<string>"))
 
 
-def _pattern(word: Column) -> Column:
-    """A word as a pattern: lower case, without leading punctuation."""
-    return F.lower(F.regexp_replace(word, r"^\p{P}+(?=.)", ""))
+#: Words before a match, read from its end backwards: punctuation and symbols next to the match don't count, but
+#: ``:``, ``=`` and ``#`` are part of the last word. And words after a match.
+_LEFT = r"\A[\x20\t\p{P}\p{S}&&[^:=#]]*+([^\s]++(?:[\x20\t]++[^\s]++){0,2})"
+_RIGHT = r"\A[\x20\t\p{P}\p{S}]*+([^\s]++(?:[\x20\t]++[^\s]++)?)"
 
 
-def _word_before(text: Column) -> Column:
-    """The last word of what comes before a match, on the match's line, as a pattern; empty if there is none.
+_MATCH = "struct<start:long,end:long,text:string,left:string,right:string>"
 
-    Punctuation and symbols after it don't count, but ``:``, ``=`` and ``#`` are part of it. It is
-    read from the end, so that a long text is not searched for its last word.
-    """
-    word = F.regexp_extract(F.reverse(text), r"\A[\x20\t\p{P}\p{S}&&[^:=#]]*+([^\s]++)", 1)
-    return _pattern(F.reverse(word))
+
+def _words(text: Column) -> Column:
+    """Words as patterns have them: lower case, without punctuation before them, digits generalised."""
+    plain = F.regexp_replace(F.lower(text), r"(?<!\S)\p{P}++(?=\S)", "")
+    return F.regexp_replace(F.regexp_replace(plain, "[0-9]++", "9"), r"[\x20\t]++", " ")
+
+
+def _left(text: Column) -> Column:
+    """The last three words, or as many as there are, of what comes before a match on its line."""
+    return _words(F.reverse(F.regexp_extract(F.reverse(text), _LEFT, 1)))
+
+
+def _right(text: Column) -> Column:
+    """The first two words, or as many as there are, of what comes after a match on its line, without punctuation at their ends."""
+    return F.regexp_replace(_words(F.regexp_extract(text, _RIGHT, 1)), r"(?<=\S)\p{P}++(?!\S)", "")
 
 
 def _offsets(between: Column, found: Column) -> Column:
-    """(start, end, text, before) of each match: running sums of lengths, summed in groups, and the word before."""
-    kind = "array<struct<start:long,end:long,text:string,before:string>>"
+    """(start, end, text, left, right) of each match: running sums of lengths, summed in groups, and the words about it.
+
+    Words are looked for up to the next matches on either side, themselves included.
+    """
+    kind = f"array<{_MATCH}>"
     n = F.size(found)
 
     def group(at: Column, position: Column) -> Column:
@@ -106,8 +126,9 @@ def _offsets(between: Column, found: Column) -> Column:
         def step(acc: Column, i: Column) -> Column:
             s = acc["position"] + F.length(F.get(between, i))
             e = s + F.length(F.get(found, i))
-            before = _word_before(F.concat(F.coalesce(F.get(found, i - 1), F.lit("")), F.get(between, i)))
-            match = F.struct(s.cast("long").alias("start"), e.cast("long").alias("end"), F.get(found, i).alias("text"), before.alias("before"))
+            left = _left(F.concat(F.coalesce(F.get(found, i - 1), F.lit("")), F.get(between, i)))
+            right = _right(F.concat(F.get(between, i + 1), F.coalesce(F.get(found, i + 1), F.lit(""))))
+            match = F.struct(s.cast("long").alias("start"), e.cast("long").alias("end"), F.get(found, i).alias("text"), left.alias("left"), right.alias("right"))
             return F.struct(e.cast("long").alias("position"), F.concat(acc["out"], F.array(match)).alias("out"))
 
         return F.aggregate(index, start, step)
@@ -129,25 +150,18 @@ _TOKEN = r"(?<!\S)(?=[^\s0-9]*+[0-9])\S++"
 _LABEL = r"\A([^\s]*[:=#])[^\s0-9]*+[0-9]"
 
 
-def _shape(token: Column) -> Column:
-    """Runs of digits, lower and upper case as 9, a and A: what an instance looks like."""
-    out = F.regexp_replace(token, "[0-9]+", "9")
-    out = F.regexp_replace(out, r"\p{Ll}+", "a")
-    return F.regexp_replace(out, r"\p{Lu}+", "A")
-
-
 #: A node of the graph as it stands in a text.
-_NODE = "struct<start:long,end:long,text:string,before:string,seed:boolean>"
+_NODE = "struct<start:long,end:long,text:string,left:string,right:string,seed:boolean>"
 
 
-def _node(start: Column, end: Column, text: Column, before: Column, seed: bool) -> Column:
-    return F.struct(start.alias("start"), end.alias("end"), text.alias("text"), before.alias("before"), F.lit(seed).alias("seed"))
+def _node(start: Column, end: Column, text: Column, left: Column, right: Column, seed: bool) -> Column:
+    return F.struct(start.alias("start"), end.alias("end"), text.alias("text"), left.alias("left"), right.alias("right"), F.lit(seed).alias("seed"))
 
 
 def _valid(kind: str) -> Column:
-    """(start, end, text, before) of the valid matches of one fixed kind."""
+    """(start, end, text, left, right) of the valid matches of one fixed kind."""
     kept = F.filter(_offsets(F.col(f"{kind}_b"), F.col(f"{kind}_m")), lambda s: valid(kind, s["text"]))
-    return F.when(F.size(f"{kind}_m") > 0, kept).otherwise(F.array().cast("array<struct<start:long,end:long,text:string,before:string>>"))
+    return F.when(F.size(f"{kind}_m") > 0, kept).otherwise(F.array().cast(f"array<{_MATCH}>"))
 
 
 def _spans(kind: str) -> Column:
@@ -159,16 +173,26 @@ def _glued(s: Column) -> Column:
     """The node of a token's part after a glued label with a letter, in an array; an empty one if it has none."""
     label = F.regexp_extract(s["text"], _LABEL, 1)
     n = F.length(label)
-    node = _node(s["start"] + n, s["end"], F.substring(s["text"], n + 1, F.length(s["text"])), _pattern(label), False)
+    left = F.trim(F.concat_ws(" ", s["left"], _words(label)))
+    node = _node(s["start"] + n, s["end"], F.substring(s["text"], n + 1, F.length(s["text"])), left, s["right"], False)
     return F.when(label.rlike(r"\p{L}"), F.array(node)).otherwise(F.array().cast(f"array<{_NODE}>"))
 
 
+def _patterns(left: Column, right: Column) -> Column:
+    """The patterns that an occurrence stands in: ``_`` is where it stands."""
+    before, after = F.split(left, " "), F.split(right, " ")
+    last = lambda n: F.when((left != "") & (F.size(before) >= n), F.concat(F.array_join(F.slice(before, -n, n), " "), F.lit(" _")))
+    both = F.when((left != "") & (right != ""), F.concat(F.element_at(before, -1), F.lit(" _ "), F.element_at(after, 1)))
+    follow = F.when(F.size(after) >= 2, F.concat(F.lit("_ "), right))
+    return F.filter(F.array(last(1), last(2), last(3), both, follow), lambda p: p.isNotNull())
+
+
 def found(docs: DataFrame) -> DataFrame:
     """key, doc_id, base, candidates of every row, cut off from the texts.
 
     base: array of (kind, start, end), kinds in the order of KINDS, then by start. candidates:
-    array of (start, end, text, before, seed): all base spans (the longest of those that start
-    together) as seeds, and all tokens with a digit. ``key`` names a row by its id and whole text,
+    array of nodes: all base spans (the longest of those that start
+    together) as seeds, and all tokens with a digit; a node is (start, end, text, left, right, seed). ``key`` names a row by its id and whole text,
     so equal rows share it.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -180,12 +204,12 @@ def found(docs: DataFrame) -> DataFrame:
     pieces["token_b"], pieces["token_m"] = _pieces(F.col("text"), _TOKEN)
     rows = rows.withColumns(pieces).withColumns({f"{kind}_v": _valid(kind) for kind in KINDS})
     base = F.concat(*[_spans(k) for k in KINDS])
-    ordered = F.array_sort(F.concat(*[F.transform(f"{k}_v", lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), s["text"].alias("text"), s["before"].alias("before"))) for k in KINDS]))
+    ordered = F.array_sort(F.concat(*[F.transform(f"{k}_v", lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), s["text"].alias("text"), s["left"].alias("left"), s["right"].alias("right"))) for k in KINDS]))
     rows = rows.withColumns({"ordered": ordered, "tokens": _offsets(F.col("token_b"), F.col("token_m"))})
     first = F.filter("ordered", lambda s, i: (i == 0) | (F.get("ordered", i - 1)["start"] != s["start"]))
     candidate = F.concat(
-        F.transform(first, lambda s: _node(s["start"], -s["back"], s["text"], s["before"], True)),
-        F.transform("tokens", lambda s: _node(s["start"], s["end"], s["text"], s["before"], False)),
+        F.transform(first, lambda s: _node(s["start"], -s["back"], s["text"], s["left"], s["right"], True)),
+        F.transform("tokens", lambda s: _node(s["start"], s["end"], s["text"], s["left"], s["right"], False)),
         F.flatten(F.transform("tokens", _glued)),
     )
     key = F.concat_ws(":", F.xxhash64("doc_id", "text").cast("string"), F.length("text").cast("string"), F.crc32(F.col("text").cast("binary")).cast("string"))
@@ -198,27 +222,37 @@ def discovered(rows: DataFrame) -> DataFrame:
     A token that touches a base span is none of its own: the span stands for it.
     """
     inside = F.exists("base", lambda b: (b["start"] < F.col("c.end")) & (b["end"] > F.col("c.start")))
-    tokens = rows.select("key", "base", F.explode("candidates").alias("c")).select(
-        "key", F.col("c.start").alias("start"), F.col("c.end").alias("end"), F.col("c.text").alias("instance"), F.col("c.before").alias("before"), _shape(F.col("c.text")).alias("shape"), F.col("c.seed").alias("seed"), (~F.col("c.seed") & inside).alias("inside")
-    ).where("before <> '' and not inside")
-    # The graph: how often a pattern stands before an instance. One row an edge, not an occurrence.
-    graph = tokens.groupBy("before", "shape", "instance").agg(F.count("*").alias("n"), F.max("seed").alias("seed"))
+    tokens = rows.select("key", "base", F.explode("candidates").alias("c")).where(F.col("c.seed") | ~inside)
+    tokens = tokens.select("key", "c.start", "c.end", F.col("c.text").alias("instance"), "c.seed", _patterns(F.col("c.left"), F.col("c.right")).alias("patterns"))
+    # The graph: how often a pattern holds an instance. One row an edge, not an occurrence.
+    graph = tokens.select("instance", "seed", F.explode("patterns").alias("pattern")).groupBy("pattern", "instance").agg(F.count("*").alias("n"), F.max("seed").alias("seed"))
     graph = cut(graph.withColumn("known", F.col("seed")))
-    while True:  # each round accepts something new or is the last
-        # Confidence of a pattern: over all shapes that stand after it.
-        by_shape = graph.groupBy("before", "shape").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("known"), F.col("n")).otherwise(0)).alias("known_n"), F.sum(F.when(F.col("known"), 1).otherwise(0)).alias("instances"))
-        by_pattern = by_shape.groupBy("before").agg((F.sum("known_n") / (F.sum("n") + SMOOTHING)).alias("confidence"), F.sum("instances").alias("instances"))
-        good = cut(by_pattern.where((F.col("confidence") >= ACCEPT) & (F.col("instances") >= SUPPORT)).select("before", F.lit(True).alias("good")))
+    # A pattern of fewer instances than SUPPORT can never be good.
+    able = graph.groupBy("pattern").agg(F.count("*").alias("instances")).where(F.col("instances") >= SUPPORT).select("pattern")
+    graph = cut(graph.join(able, "pattern", "left_semi"))
+    specific = (F.col("instance").rlike(r"\p{L}")) | (F.length(F.regexp_replace("instance", "[^0-9]", "")) >= SPECIFIC)
+    for _ in range(ROUNDS):
+        known = F.when(F.col("known"), F.col("n")).otherwise(0)
+        scored = graph.groupBy("pattern").agg((F.sum(known) / (F.sum("n") + SMOOTHING)).alias("confidence"), F.sum(F.col("known").cast("int")).alias("instances"))
+        good = cut(scored.where((F.col("confidence") >= ACCEPT) & (F.col("instances") >= SUPPORT)).select("pattern"))
         if good.isEmpty():
             break
-        # An instance that a good pattern accepts is known wherever it stands.
-        accepted = graph.join(good, "before").where("not known").select("instance").distinct()
-        accepted = cut(accepted.withColumn("taken", F.lit(True)))
+        accepted = graph.where("not known").join(good, "pattern", "left_semi")
+        accepted = cut(accepted.select("pattern", "instance", specific.alias("everywhere")))
         if accepted.isEmpty():
             break
-        graph = cut(graph.join(accepted, "instance", "left").withColumn("known", F.col("known") | F.coalesce("taken", F.lit(False))).drop("taken"))
-    new = graph.where("known and not seed").select("before", "shape", "instance").distinct()
-    return tokens.where("not seed").join(new, ["before", "shape", "instance"], "left_semi").select("key", "start", "end").distinct()
+        here = accepted.select("pattern", "instance", F.lit(True).alias("here"))
+        there = accepted.where("everywhere").select("instance", F.lit(True).alias("there")).distinct()
+        graph = graph.join(here, ["pattern", "instance"], "left").join(there, "instance", "left")
+        graph = cut(graph.withColumn("known", F.col("known") | F.coalesce("here", F.lit(False)) | F.coalesce("there", F.lit(False))).drop("here", "there"))
+    else:
+        raise RuntimeError(f"patterns still discover new instances after {ROUNDS} rounds")
+    unseeded = tokens.where("not seed").select("key", "start", "end", "instance", "patterns")
+    by_pattern = unseeded.select("key", "start", "end", F.explode("patterns").alias("pattern")).join(good, "pattern", "left_semi")
+    new = graph.where("known and not seed").where(specific).select("instance").distinct()
+    by_instance = unseeded.join(new, "instance", "left_semi")
+    names = ["key", "start", "end"]
+    return by_pattern.select(*names).unionByName(by_instance.select(*names)).distinct()
 
 
 def personal_data(docs: DataFrame) -> DataFrame:
@@ -226,7 +260,7 @@ def personal_data(docs: DataFrame) -> DataFrame:
 
     ``base`` holds the fixed kinds, ``spans`` those and then what patterns discovered (kind
     ``context``), each kind by start. Null and empty texts have none. Repeated rows come out as
-    often as they went in.
+    often as they went in. Of an empty table the result is empty; other columns are left out.
     """
     rows = found(docs)
     kind = "array<struct<kind:string,start:long,end:long>>"
@@ -240,15 +274,17 @@ def masked(docs: DataFrame) -> DataFrame:
     """``docs`` with each span of personal data in ``text`` replaced by its kind in angle brackets.
 
     Where spans overlap, the one that starts first (the longer of two that start together) hides
-    the others. Null texts stay null; all columns and rows stay.
+    the others. Null texts stay null; all columns and rows stay, whatever the columns' names. Repeated
+    rows are masked alike. An empty table gives an empty result.
     """
     names = docs.columns
+    mine, list_ = unused(names, "pii_key"), unused(names, "pii_spans")
     key = F.concat_ws(":", F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).cast("string"), F.length(F.coalesce("text", F.lit(""))).cast("string"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).cast("string"))
     rows = found(docs)
     context = discovered(rows).select("key", F.lit("context").alias("kind"), "start", "end")
     base = rows.where(F.size("base") > 0).select("key", F.inline("base")).distinct()
-    spans = base.unionByName(context).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("start", (-F.col("end")).alias("back"), "kind"))).alias("pii_spans"))
-    both = docs.withColumn("pii_key", key).join(spans.withColumnRenamed("key", "pii_key"), "pii_key", "left")
+    spans = base.unionByName(context).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("start", (-F.col("end")).alias("back"), "kind"))).alias(list_))
+    both = docs.withColumn(mine, key).join(spans.withColumnRenamed("key", mine), mine, "left")
     zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("parts"))
 
     def step(acc: Column, s: Column) -> Column:
@@ -261,5 +297,5 @@ def masked(docs: DataFrame) -> DataFrame:
     def finish(acc: Column) -> Column:
         return F.concat(F.array_join(acc["parts"], ""), F.substring(F.col("text"), (acc["at"] + 1).cast("int"), F.length("text")))
 
-    text = F.when(F.col("pii_spans").isNull() | F.col("text").isNull(), F.col("text")).otherwise(F.aggregate("pii_spans", zero, step, finish))
+    text = F.when(F.col(list_).isNull() | F.col("text").isNull(), F.col("text")).otherwise(F.aggregate(list_, zero, step, finish))
     return both.withColumn("text", text).select(*names)
