@@ -73,6 +73,25 @@ def test_golay_code_covers_each_word_once(spark):
     assert tuple(e) == (2048, 1, 1, 44552)
 
 
+def test_hamming_code(spark):
+    words = spark.range(1 << 15).select("id", simhash._hamming(F.col("id"), 1).alias("h"), simhash._hamming(F.col("id"), 2).alias("n"))
+    got = words.agg(F.max(F.size("h")), F.min(F.size("h")), F.count_distinct(F.col("h")[0]), F.max(F.bit_count(F.col("id").bitwiseXOR(F.col("h")[0]))), F.min(F.size("n")), F.max(F.size("n"))).first()
+    assert tuple(got) == (1, 1, 1 << 11, 1, 1, 8)  # a codeword has no other within two bits
+
+
+def test_few_comparisons(spark):
+    """Visits a fingerprint and comparisons of unrelated ones are as the anchors' numbers say."""
+    n = 40_000
+    distinct = spark.range(n).select(F.xxhash64("id").alias("fp"))
+    homes, visits = simhash.anchors(distinct)
+    assert homes.count() == 3 * n
+    assert 195 * n < visits.count() < 220 * n
+    met = homes.alias("x").join(visits.alias("y"), "anchor").where(F.col("x.fp") != F.col("y.fp")).count()
+    assert met < n * n / 150_000 + 10 * n**0.5
+    longest = homes.groupBy("anchor").count().agg(F.max("count")).first()[0]
+    assert longest <= 4
+
+
 @pytest.mark.parametrize("edges", [[], [(1, 2)], [(i, i + 1) for i in range(40)], [(0, i) for i in range(1, 60)], [(5, 9), (9, 7), (3, 4), (8, 4), (9, 9)]])
 def test_components(spark, edges):
     got = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}

@@ -2,12 +2,19 @@
 
 Fingerprints that differ in at most four bits are linked; a document's class is its connected
 component. The search for links uses covering codes. The 64 bits are split into A (23 bits),
-B (23 bits) and C (18 bits). If x and y differ in at most four bits, then either C differs in at
-most one bit, or A and B together differ in at most two. For A and B the anchors are the words of
-the binary Golay code, whose balls of radius 3 cover all 23-bit words exactly once; for C each
-word is its own anchor (radius 0). A fingerprint is at home at one anchor, and visits every anchor
-within covering radius plus the bits that may differ. Two linked fingerprints so meet at the home
-of either, where they are compared bit by bit. Visits a fingerprint: 19 at C, about 61 at (A, B).
+B (23 bits) and C (15 and 3 bits). If x and y differ in at most four bits, then A and B together
+differ in at most two; or else C differs in at most one, and
+
+- C is equal and A, or B, differs in at most two, or
+- C differs in one bit and A, or B, in at most one.
+
+So each pair of fields, (A, B), (A, C) and (B, C), has anchors of its own. Those of A and B are the
+words of the binary Golay code, whose balls of radius 3 cover all 23-bit words exactly once; those of
+C are the words of the Hamming code of 15 bits, with balls of radius 1, together with the 3 bits as
+they are. A fingerprint is at home at one anchor of each pair, and visits every anchor within
+covering radius plus the bits that may differ. Two linked fingerprints so meet at the home of
+either, where they are compared bit by bit: about 210 visits a fingerprint, and 1 / 170,000 of all
+pairs of unrelated ones compared. No anchor stands for fewer than 24 bits of choice.
 
 Equal fingerprints are merged before the search, so a group of copies is one row in it.
 """
@@ -19,13 +26,15 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, ascii_lower, cut, trimmed
+from .common import SPACES, ascii_lower, cut, trimmed, unused
 from .components import components
 
 THRESHOLD = 4
-A_BITS, B_BITS, C_BITS = 23, 23, 18
+A_BITS, B_BITS, C_BITS, D_BITS = 23, 23, 15, 3
 #: Generator polynomial of the binary Golay code, x^11 + x^9 + x^7 + x^6 + x^5 + x + 1.
 GOLAY = 0b101011100011
+#: Fingerprints whose visits one task makes.
+TOGETHER = 20_000
 _LANES = 0x100000001
 
 
@@ -104,25 +113,65 @@ def _errors(spark) -> DataFrame:
     return words.groupBy("s").agg(up_to(3).alias("e0"), up_to(4).alias("e1"), up_to(5).alias("e2"))
 
 
-def links(distinct: DataFrame) -> DataFrame:
-    """All pairs (a, b), a < b, of fingerprints that differ in 1 to 4 bits. ``distinct``: fp, unique."""
+def _hamming(word: Column, within: int) -> Column:
+    """Words of the Hamming code within 1 or 2 bits of a 15-bit word, as an array."""
+    syndrome = [sum(1 << (i - 1) for i in range(1, 16) if i >> j & 1) for j in range(4)]
+    s = [F.shiftleft(F.bit_count(word.bitwiseAND(F.lit(m))).bitwiseAND(F.lit(1)), j) for j, m in enumerate(syndrome)]
+    coset = reduce(lambda x, y: x.bitwiseOR(y), s)
+    errors: list[list[int]] = [[] for _ in range(16)]
+    for i in range(16):
+        for j in range(i + 1):
+            e = (1 << i >> 1) ^ (1 << j >> 1) if i != j else 0
+            bits = bin(e).count("1")
+            at = (i if i != j else 0) ^ (j if i != j else 0)
+            if bits <= within and e not in errors[at]:
+                errors[at].append(e)
+    table = F.array(*[F.array(*[F.lit(e).cast("long") for e in row]) for row in errors])
+    return F.transform(F.element_at(table, coset + 1), lambda e: word.bitwiseXOR(e))
+
+
+def anchors(distinct: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(homes, visits): fp and anchor of each. ``distinct``: fp, unique."""
     spark = distinct.sparkSession
-    a, b, c = (_field(F.col("fp"), at, n) for at, n in ((0, A_BITS), (A_BITS, B_BITS), (A_BITS + B_BITS, C_BITS)))
-    parts = distinct.select("fp", a.alias("a"), b.alias("b"), c.alias("c"), _syndrome(a).cast("int").alias("sa"), _syndrome(b).cast("int").alias("sb"))
+    at = {"a": (0, A_BITS), "b": (A_BITS, B_BITS), "c": (A_BITS + B_BITS, C_BITS), "d": (64 - D_BITS, D_BITS)}
+    fields = {x: _field(F.col("fp"), *place) for x, place in at.items()}
+    parts = distinct.select("fp", *[f.alias(x) for x, f in fields.items()])
+    parts = parts.select("*", _syndrome(F.col("a")).cast("int").alias("sa"), _syndrome(F.col("b")).cast("int").alias("sb"))
     errors = cut(_errors(spark))
     for x in "ab":
         named = [F.col(k).alias(f"{x}{k}") for k in ("e0", "e1", "e2")]
         parts = parts.join(F.broadcast(errors.select(F.col("s").alias(f"s{x}"), *named)), f"s{x}")
-    parts = parts.select("fp", "a", "b", "c", *[f"{x}e{t}" for x in "ab" for t in range(3)])
-    # Anchors of (A, B) carry a bit above those of C, so that one join serves both.
-    anchor = lambda a, b: a.bitwiseOR(F.shiftleft(b, A_BITS)).bitwiseOR(F.lit(1 << 62))
-    home_ab = anchor(F.col("a").bitwiseXOR(F.col("ae0")[0]), F.col("b").bitwiseXOR(F.col("be0")[0]))
-    homes = parts.select("fp", F.explode(F.array(home_ab, F.col("c"))).alias("anchor"))
-    cross = lambda x, y: F.flatten(F.transform(x, lambda p: F.transform(y, lambda q: anchor(F.col("a").bitwiseXOR(p), F.col("b").bitwiseXOR(q)))))
+    # The codeword of C's home with D above it, and those of words that differ from C and D in one bit.
+    home = _hamming(F.col("c"), 1)[0].bitwiseOR(F.shiftleft("d", C_BITS))
+    near = [F.transform(_hamming(F.col("c"), 2), lambda w: w.bitwiseOR(F.shiftleft(F.col("d"), C_BITS)))]
+    near += [F.array(home.bitwiseXOR(F.lit(1 << (C_BITS + i)))) for i in range(D_BITS)]
+    parts = parts.select("fp", "a", "b", *[f"{x}e{t}" for x in "ab" for t in range(3)], home.alias("h"), F.concat(*near).alias("near"))
+    parts = parts.withColumn("near", F.filter("near", lambda w: w != F.col("h")))
+
+    def pair(x: Column, y: Column, mark: int) -> Column:
+        """An anchor of two fields; the marks tell pairs of fields apart, so that one join serves all."""
+        return x.bitwiseOR(F.shiftleft(y, A_BITS)).bitwiseOR(F.lit(mark << 60))
+
+    word = lambda x, e: F.col(x).bitwiseXOR(e.cast("long"))
+    cross = lambda xs, ys, make: F.flatten(F.transform(xs, lambda p: F.transform(ys, lambda q: make(p, q))))
     only = lambda t, s, x: F.filter(F.col(f"{x}e{t}"), lambda e: F.bit_count(e) > s)
-    visits_ab = F.concat(cross(F.col("ae1"), F.col("be1")), cross(F.col("ae0"), only(2, 4, "b")), cross(only(2, 4, "a"), F.col("be0")))
-    visits_c = F.array(F.col("c"), *[F.col("c").bitwiseXOR(F.lit(1 << i)) for i in range(C_BITS)])
-    visits = parts.select("fp", F.explode(F.concat(visits_ab, visits_c)).alias("anchor"))
+    ab = lambda p, q: pair(word("a", p), word("b", q), 0)
+    homes = [ab(F.col("ae0")[0], F.col("be0")[0])]
+    visits = [cross(F.col("ae1"), F.col("be1"), ab), cross(F.col("ae0"), only(2, 4, "b"), ab), cross(only(2, 4, "a"), F.col("be0"), ab)]
+
+    def with_c(x: str, mark: int) -> None:
+        homes.append(pair(word(x, F.col(f"{x}e0")[0]), F.col("h"), mark))
+        visits.append(F.transform(f"{x}e2", lambda p: pair(word(x, p), F.col("h"), mark)))
+        visits.append(cross(F.col(f"{x}e1"), F.col("near"), lambda p, w: pair(word(x, p), w, mark)))
+
+    with_c("a", 1)
+    with_c("b", 2)
+    return parts.select("fp", F.explode(F.array(*homes)).alias("anchor")), parts.select("fp", F.explode(F.concat(*visits)).alias("anchor"))
+
+
+def links(distinct: DataFrame) -> DataFrame:
+    """All pairs (a, b), a < b, of fingerprints that differ in 1 to 4 bits. ``distinct``: fp, unique."""
+    homes, visits = anchors(distinct)
     x, y = homes.alias("x"), visits.alias("y")
     near = F.bit_count(F.col("x.fp").bitwiseXOR(F.col("y.fp"))) <= THRESHOLD
     met = x.join(y, (F.col("x.anchor") == F.col("y.anchor")) & (F.col("x.fp") < F.col("y.fp")) & near)
@@ -132,7 +181,9 @@ def links(distinct: DataFrame) -> DataFrame:
 def _roots(prints: DataFrame) -> DataFrame:
     """fp, root of each fingerprint: the least fingerprint that is reached from it."""
     distinct = cut(prints.select("fp").distinct())
-    roots = components(links(distinct))
+    # A row makes some 210 visits: small partitions before, even ones after.
+    spread = distinct.repartition(max(8, -(-distinct.count() // TOGETHER)), "fp")
+    roots = components(links(spread))
     return cut(distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root")))
 
 
@@ -158,12 +209,19 @@ def classes(docs: DataFrame, shingle: int = 4) -> DataFrame:
 
 
 def survivors(docs: DataFrame, shingle: int = 4) -> DataFrame:
-    """The rows of ``docs`` without near-duplicates: of each class the one with the least id (nulls last) stays."""
+    """The rows of ``docs`` without near-duplicates: of each class the one with the least id (nulls last) stays.
+
+    Of rows that repeat an id and a text one stays, whichever it is where they differ in other
+    columns. All columns stay, whatever their names. Null and blank texts are one class. An empty
+    table gives an empty result.
+    """
     first = F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "mark"))
     kept = _with_roots(docs, shingle).groupBy("root").agg(first.alias("k")).select(F.col("k.doc_id").alias("kept_id"), F.col("k.mark").alias("kept_mark"))
-    marked = docs.withColumn("simhash_mark", mark(F.col("text")))
-    one = marked.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("simhash_mark") == F.col("kept_mark")), "left_semi")
-    return one.dropDuplicates(["doc_id", "simhash_mark"]).select(*docs.columns)
+    name = unused(docs.columns, "simhash_mark")
+    marked = docs.withColumn(name, mark(F.col("text"))).alias("d")
+    kept = kept.alias("k")
+    one = marked.join(kept, F.col("d.doc_id").eqNullSafe(F.col("k.kept_id")) & (F.col(f"d.{name}") == F.col("k.kept_mark")), "left_semi")
+    return one.dropDuplicates(["doc_id", name]).select(*[F.col(f"d.{c}") for c in docs.columns])
 
 
 def hexadecimal(fp: Column) -> Column:
