@@ -26,14 +26,17 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{16,}")
 _HINTS = ("password", "passwd", "secret", "token", "api")
 
-_NAME = re.compile(r"""([A-Za-z_$][A-Za-z0-9_$.\-]*)(?:["']|\\")?\]?[ \t]*$""", re.A)
-_OPERATOR = re.compile(r"(?<![:=!<>+*/%&|^~-]):?=>?(?![=~])|(?<!:):(?![:=/])", re.A)
+#: A name and the operator after it. Possessive, and begun only where a run of name characters begins: each character
+#: is gone over once, however long the name.
+_TARGET = re.compile(
+    r"""(?<![A-Za-z0-9_$.\-])[0-9.\-]*+([A-Za-z_$][A-Za-z0-9_$.\-]*+)(?:["']|\\")?+\]?+[ \t]*+"""
+    r"""(?:(?<![:=!<>+*/%&|^~-]):?=>?(?![=~])|(?<!:):(?![:=/]))""",
+    re.A,
+)
 _TERM = re.compile(r"""[ \t]*(?:"((?:[^"\\\n]|\\.)*+)"|'((?:[^'\\\n]|\\.)*+)'|([^\s"'`,;()\[\]{}<>&|]+))""", re.A)
 _JOIN = re.compile(r"[ \t]*(?:\+|\.(?=[ \t]*[\"'])|\.\.)", re.A)
 _IDENT = re.compile(r"[A-Za-z_$][A-Za-z0-9_$.\-]*", re.A)
 _WORD = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+", re.A)
-#: How far back a name may begin.
-_NAME_REACH = 160
 
 #: How sensitive the words of a target name are.
 _SENSITIVE = {
@@ -69,11 +72,8 @@ def lex(text: str) -> list[tuple[int, int, float]]:
     defined: dict[str, list[int]] = {}
     pairs: list[tuple[str, list[int | str]]] = []
     literals: list[tuple[int, int]] = []
-    for op in _OPERATOR.finditer(text):
-        found = _NAME.search(text[max(0, op.start() - _NAME_REACH) : op.start()])
-        if not found:
-            continue
-        name, parts, at = found[1], [], op.end()
+    for target in _TARGET.finditer(text):
+        name, parts, at = target[1], [], target.end()
         while term := _TERM.match(text, at):
             group = term.lastindex
             bare = group == 3
@@ -145,7 +145,9 @@ def secret_spans(docs: DataFrame) -> DataFrame:
     """doc_id, spans: an array of (kind, start, end, score) by start, then kind.
 
     Offsets are code points, the end exclusive. A null text has no spans; repeated rows are kept;
-    other columns are left out. Each text is read whole; nothing is shuffled.
+    other columns are left out. Each text is read whole; nothing is shuffled. An empty table gives an
+    empty result. Constants are known in their whole text, whatever block they stand in, and a value
+    ends with its line.
     """
     span = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())])
 
