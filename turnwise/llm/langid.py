@@ -14,7 +14,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, give_back
 
 #: Training documents looked at for each language (one of each hash bucket), and bytes of its dictionary.
 SAMPLE, DICTIONARY = 400, 48 << 10
@@ -23,8 +23,8 @@ LEVEL = 12
 _LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 #: Least score that isn't rejected.
 NARROW = 0.02
-#: Dictionaries are held by every task, so no more languages than this are learned, the most frequent ones.
-LANGUAGES = 500
+#: Languages whose dictionaries are collected, or whose compressors a task holds, together. All are learned and tried.
+TOGETHER = 64
 
 
 def plain(text: str) -> bytes:
@@ -44,22 +44,23 @@ def dictionaries(training: DataFrame) -> dict[str, bytes]:
     at = F.xxhash64("doc_id")
     sample = named.groupBy("lang", F.pmod(at, F.lit(SAMPLE)).alias("place")).agg(F.min_by("doc_id", F.struct(F.xxhash64(at), "doc_id")).alias("doc_id"), F.count("*").alias("n"))
     sample = cut(sample)
-    common = sample.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).select("lang")
-    # Few ids with a bound: SAMPLE for each of at most LANGUAGES languages.
-    ids = sample.join(F.broadcast(common), "lang").select("lang", "doc_id", "place")
-    texts = named.join(F.broadcast(ids), ["doc_id", "lang"]).select("lang", "place", F.substring("text", 1, DICTIONARY).alias("text"), (F.length("text") <= DICTIONARY).alias("whole"))
+    # At most SAMPLE ids a language.
+    ids = sample.select("lang", "doc_id", "place")
+    texts = named.join(ids, ["doc_id", "lang"]).select("lang", "place", F.substring("text", 1, DICTIONARY).alias("text"), (F.length("text") <= DICTIONARY).alias("whole"))
     # Of those, as many as fill a dictionary a few times over.
     upto = Window.partitionBy("lang").orderBy("place", "text").rowsBetween(Window.unboundedPreceding, -1)
-    texts = texts.withColumn("before", F.coalesce(F.sum(F.length("text")).over(upto), F.lit(0))).where(F.col("before") <= 4 * DICTIONARY)
+    texts = cut(texts.withColumn("before", F.coalesce(F.sum(F.length("text")).over(upto), F.lit(0))).where(F.col("before") <= 4 * DICTIONARY))
     out: dict[str, list[bytes]] = {}
     sizes: dict[str, int] = {}
     first: dict[str, bytes] = {}
-    for row in sorted(texts.collect(), key=lambda r: (r.lang, r.place, r.text)):
-        data = plain(row.text) + b"\n"
-        first.setdefault(row.lang, data[:DICTIONARY])
-        if row.whole and sizes.get(row.lang, 0) + len(data) <= DICTIONARY:
-            sizes[row.lang] = sizes.get(row.lang, 0) + len(data)
-            out.setdefault(row.lang, []).append(data)
+    langs = sorted(r.lang for r in texts.select("lang").distinct().collect())
+    for at in range(0, len(langs), TOGETHER):
+        for row in sorted(texts.where(F.col("lang").isin(langs[at : at + TOGETHER])).collect(), key=lambda r: (r.lang, r.place, r.text)):
+            data = plain(row.text) + b"\n"
+            first.setdefault(row.lang, data[:DICTIONARY])
+            if row.whole and sizes.get(row.lang, 0) + len(data) <= DICTIONARY:
+                sizes[row.lang] = sizes.get(row.lang, 0) + len(data)
+                out.setdefault(row.lang, []).append(data)
     return {lang: b"".join(out.get(lang, [first[lang]])) for lang in sorted(first)}
 
 
@@ -68,30 +69,38 @@ def predicted(docs: DataFrame, learned: dict[str, bytes]) -> DataFrame:
 
     ``und`` with score 0 for texts that are null or have no letter, or if nothing was learned.
     With a single language learned the score is 1. Ties go to the first language by code point.
+    Texts are read whole, however long; null ids stay; repeated rows are judged alike; other columns
+    are left out. Of an empty table the result is empty.
     """
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tools = []
-        for lang, data in learned.items():
-            content = zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    names = sorted(learned)
+
+    def compressors(part: list[str]) -> list[zstandard.ZstdCompressor]:
+        out = []
+        for lang in part:
+            content = zstandard.ZstdCompressionDict(learned[lang], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             content.precompute_compress(level=LEVEL)
-            tools.append((lang, zstandard.ZstdCompressor(dict_data=content, write_content_size=False, write_checksum=False, write_dict_id=False)))
+            out.append(zstandard.ZstdCompressor(dict_data=content, write_content_size=False, write_checksum=False, write_dict_id=False))
+        return out
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = compressors(names[:TOGETHER])
         for batch in batches:
-            langs, scores = [], []
-            for item in batch.column("text"):
-                text = item.as_py() or ""
-                if not tools or not any(map(str.isalpha, text)):
-                    langs.append("und")
-                    scores.append(0.0)
-                    continue
-                data = plain(text)
-                sizes = sorted((len(tool.compress(data)), i) for i, (_, tool) in enumerate(tools))
-                langs.append(tools[sizes[0][1]][0])
-                scores.append(1.0 if len(sizes) == 1 else (sizes[1][0] - sizes[0][0]) / sizes[1][0])
+            texts = [None if not any(map(str.isalpha, text)) else plain(text) for item in batch.column("text") for text in [item.as_py() or ""]]
+            best: list[list[tuple[int, int]]] = [[] for _ in texts]
+            for at in range(0, len(names), TOGETHER):
+                tools = kept if at == 0 else compressors(names[at : at + TOGETHER])
+                for found, data in zip(best, texts, strict=True):
+                    if data is not None:
+                        found[:] = sorted([*found, *((len(tool.compress(data)), at + i) for i, tool in enumerate(tools))])[:2]
+            langs = [names[found[0][1]] if found else "und" for found in best]
+            scores = [0.0 if not found else 1.0 if len(found) == 1 else (found[1][0] - found[0][0]) / found[1][0] for found in best]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(langs, pa.string()), pa.array(scores, pa.float64())],
                 ["doc_id", "lang_pred", "score"],
             )
+            del texts
+            give_back()
 
     out = docs.select("doc_id", "text").mapInArrow(work, "doc_id long, lang_pred string, score double")
     return out.withColumn("rejected", F.col("score") < NARROW)
