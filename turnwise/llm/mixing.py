@@ -12,45 +12,64 @@ and which documents get the one copy more is drawn by a hash of the id.
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, word_count
+from .common import cut, unused, word_count
 
 #: Weights of the sources in code-point order, null last, repeating.
 WEIGHTS = (5.0, 2.0, 1.0)
 #: No document is taken more often, and no source's target exceeds its size times this.
 LIMIT = 3
 STEPS = 60
+#: Rounds of sharing the excess; each caps a source at least, and most cap very many.
+ROUNDS = 1000
 #: Gradients are summed as whole multiples of this share of a word.
 UNIT = 1 << 20
 #: Documents of one source and size that are ranked together.
 GROUP = 512
 
 
+def numbered(rows: DataFrame, name: str) -> DataFrame:
+    """``rows`` (source: one row each) with their place by code point, null last, from 0, in the column ``name``.
+
+    Dealt out by range: each part is numbered on its own and starts where the parts before it end.
+    Of those parts, as many as there are shuffle partitions at most, only the lengths come to the driver.
+    """
+    ranged = rows.withColumn("last", F.col("source").isNull())
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = cut(ranged.repartitionByRange(parts, "last", "source").withColumn("part", F.spark_partition_id()))
+    start, starts = 0, {}
+    for row in ranged.groupBy("part").count().orderBy("part").collect():
+        starts[row["part"]] = start
+        start += row["count"]
+    within = F.row_number().over(Window.partitionBy("part").orderBy("last", "source")) - 1
+    offset = F.element_at(F.create_map(*[F.lit(x) for pair in starts.items() for x in pair]), F.col("part")) if starts else F.lit(0)
+    return ranged.withColumn(name, (within + offset).cast("long")).drop("last", "part")
+
+
 def targets(sources: DataFrame, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
-    """``sources`` (source, source_size: one row each) with target.
+    """``sources`` (source, source_size: one row each) with place and target.
 
     The sources share the sum of all sizes by weight; a target stops at LIMIT times its source's
-    size, and the excess is shared again by weight until none is above. Sources are ordered by
-    the ratio of cap to weight: those capped are the first ones in that order.
+    size, and the excess is shared again by weight until none is above. ``level`` is what a weight
+    of 1 gets; each round raises it by what the sources capped at it leave over, which is one
+    aggregation. Raises if ROUNDS don't suffice.
     """
-    # One row a source, not a document: windows without a partition are over the list of sources.
     cycle = F.array(*[F.lit(w) for w in weights])
-    order = Window.orderBy(F.col("source").asc_nulls_last())
-    ranked = sources.withColumn("weight", F.element_at(cycle, (F.row_number().over(order) - 1) % len(weights) + 1))
-    ranked = ranked.withColumn("cap", F.col("source_size") * LIMIT)
-    by_ratio = Window.orderBy(F.col("cap") / F.col("weight"), F.col("source").asc_nulls_last())
-    everything = by_ratio.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    before = by_ratio.rowsBetween(Window.unboundedPreceding, -1)
-    after = by_ratio.rowsBetween(0, Window.unboundedFollowing)
-    capped = F.coalesce(F.sum("cap").over(before), F.lit(0))
-    level = (F.sum("source_size").over(everything) - capped) / F.sum("weight").over(after)
-    # The first source that isn't capped sets the level for all after it.
-    found = ranked.withColumn("level", level).withColumn("free", F.col("level") * F.col("weight") <= F.col("cap"))
-    found = found.withColumn("level", F.min_by("level", F.when(F.col("free"), F.col("cap") / F.col("weight"))).over(everything))
-    full = F.col("cap").cast("double")
-    return found.withColumn("target", F.coalesce(F.least(full, F.col("level") * F.col("weight")), full)).drop("level", "free", "cap", "weight")
+    ranked = numbered(sources, "place").withColumn("weight", F.element_at(cycle, (F.col("place") % len(weights) + 1).cast("int")))
+    ranked = cut(ranked.withColumn("cap", (F.col("source_size") * LIMIT).cast("double")))
+    total = ranked.agg(F.sum("source_size")).first()[0] or 0
+    level, capped = 0.0, -1
+    for _ in range(ROUNDS):
+        full = F.col("cap") < F.lit(level) * F.col("weight")
+        n, held, weight = ranked.agg(F.count(F.when(full, 1)), F.sum(F.when(full, F.col("cap"))), F.sum(F.when(~full, F.col("weight")))).first()
+        if n == capped or not weight:
+            break
+        level, capped = (total - (held or 0.0)) / weight, n
+    else:
+        raise RuntimeError(f"the targets are not settled after {ROUNDS} rounds")
+    return ranked.withColumn("target", F.least("cap", F.lit(level) * F.col("weight"))).drop("cap", "weight")
 
 
 def _same(a: str, b: str):
@@ -113,22 +132,23 @@ def _round(group: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"sid": group["sid"], "size": group["size"], "n": group["n"], "copies": copies})
 
 
-def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
-    """doc_id, mark (a hash of the text), source, size, source_size, target, copies (0 to LIMIT), taken (copies times size) of every row.
+def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, mark: Column | None = None) -> DataFrame:
+    """doc_id, mark (by default a hash of the text), source, size, source_size, target, copies (0 to LIMIT), taken (copies times size) of every row.
 
     Null and blank texts have size 0 and no copy. Null sources are one source. Repeated rows are
-    mixed like different documents. An empty table gives an empty result.
+    mixed like different documents. An empty table gives an empty result. Other columns are left out.
     """
-    rows = cut(docs.select("doc_id", "source", F.xxhash64("text").alias("mark"), word_count(F.col("text")).alias("size")))
+    mark = F.xxhash64("text") if mark is None else mark
+    rows = cut(docs.select("doc_id", "source", mark.alias("mark"), word_count(F.col("text")).alias("size")))
     sources = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("docs"))
     # A source is named by its place in the list from here on: that name is never null.
-    aims = cut(targets(sources).withColumn("sid", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last()))))
+    aims = cut(targets(sources, weights).withColumnRenamed("place", "sid"))
     named = aims.select(F.col("source").alias("s"), "sid")
     sizes = rows.where("size > 0").groupBy("source", "size").agg(F.count("*").alias("n"))
     sizes = cut(sizes.join(named, _same("source", "s")).select("sid", "size", "n"))
     rates = balanced(sizes, aims)
     # As many rows as a source has different sizes, which the longest text bounds.
-    copies = cut(rates.groupBy("sid").applyInPandas(_round, "sid int, size long, n long, copies long"))
+    copies = cut(rates.groupBy("sid").applyInPandas(_round, "sid long, size long, n long, copies long"))
     # Documents of one source and size are dealt into groups of about GROUP by a hash of the id,
     # and each group gets its share of the copies, so no group of equal documents is ranked whole.
     deal = F.pmod(F.xxhash64("doc_id", F.lit(9)), F.greatest(F.lit(1), F.ceil(F.col("n") / GROUP)))
@@ -149,10 +169,16 @@ def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
 
 
 def copied(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
-    """The mix itself: each row of ``docs`` as often as it is taken, with all its columns."""
-    counts = mixed(docs, weights).groupBy("doc_id", "mark", "source").agg(F.sum("copies").cast("int").alias("mix_copies"))
-    counts = counts.where("mix_copies > 0").select(F.col("doc_id").alias("mix_id"), F.col("mark").alias("mix_mark"), F.col("source").alias("mix_source"), "mix_copies")
-    # Rows that are equal in id, text and source are one row here, which the sum of their copies counts for.
-    marked = docs.withColumn("mix_text", F.xxhash64("text")).dropDuplicates(["doc_id", "mix_text", "source"])
-    same = _same("doc_id", "mix_id") & (F.col("mix_text") == F.col("mix_mark")) & _same("source", "mix_source")
-    return marked.join(counts, same).withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies")))).select(*docs.columns)
+    """The mix itself: each row of ``docs`` as often as it is taken, with all its columns, whatever their names.
+
+    Rows that differ in any column are mixed each on its own; rows that are equal in all of them are
+    one row here, which comes as often as all of them are taken. An empty table gives an empty result.
+    """
+    names = docs.columns
+    whole = F.xxhash64(*[F.col(f"`{c}`") for c in names])
+    counts = mixed(docs, weights, whole).groupBy("doc_id", "mark", "source").agg(F.sum("copies").cast("int").alias("copies")).where("copies > 0").alias("c")
+    mark, copy = unused(names, "mix_mark"), unused([*names, "copies"], "mix_copy")
+    rows = docs.withColumn(mark, whole).dropDuplicates(["doc_id", mark, "source"]).alias("d")
+    same = F.col("d.doc_id").eqNullSafe(F.col("c.doc_id")) & (F.col(f"d.{mark}") == F.col("c.mark")) & F.col("d.source").eqNullSafe(F.col("c.source"))
+    taken = rows.join(counts, same).select(*[F.col(f"d.`{c}`") for c in names], F.explode(F.sequence(F.lit(1), F.col("c.copies"))).alias(copy))
+    return taken.drop(copy)
