@@ -39,6 +39,9 @@ def test_keeps_good_and_rejects_bad(spark, docs):
     assert not any(kept[i] for i in range(0, 300, 6))
     assert sum(kept[i] for i in range(300) if i % 6) >= 0.97 * 250
     assert [r.kept for r in got if r.doc_id in (1000, 1001, 1002)] == [False] * 3
+    brief = quality.judged(docs(rows + odd, extra=True), spark.createDataFrame(labels + [(2, None, None), (None, 1, 0)], LABELS))
+    assert brief.columns == ["doc_id", "log_weight", "sample_key", "kept"]
+    assert sorted(map(str, brief.collect())) == sorted(str(r) for r in quality.classified(docs(rows + odd, extra=True), spark.createDataFrame(labels + [(2, None, None), (None, 1, 0)], LABELS)).select(*brief.columns).collect())
 
 
 def quality_sample(spark, labels):
@@ -87,7 +90,8 @@ def test_grams_dont_depend_on_chunks(monkeypatch):
 
 def test_no_labels_and_empty(spark, docs):
     none = spark.createDataFrame([], LABELS)
-    assert [r.kept for r in quality.classified(docs([(1, "a"), (2, None)]), none).orderBy("doc_id").collect()] == [True, False]
+    assert [r.kept for r in quality.classified(docs([(1, "a"), (2, None), (3, "\n\t")]), none).orderBy("doc_id").collect()] == [True, False, False]
+    assert [r.kept for r in quality.judged(docs([(1, "a"), (2, "\n\t")]), none).orderBy("doc_id").collect()] == [True, False]
     assert quality.classified(docs([]), none).count() == 0
     assert quality.classified(docs([]), spark.createDataFrame([(1, 1, 0)], LABELS)).count() == 0
 
@@ -146,6 +150,31 @@ def test_mix(docs, seed):
     assert copied.count() == sum(r.copies for r in got)
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_targets_of_many_sources(spark, seed, monkeypatch):
+    """Places and targets of sources in several ranges, against resharing in Python."""
+    rng = random.Random(seed)
+    sizes = {f"s{rng.randint(0, 10**6):07d}": int(10 ** rng.uniform(0, 6)) for _ in range(700)} | {None: 40, "é": 7, "zero": 0}
+    got = mixing.targets(spark.createDataFrame(list(sizes.items()), "source string, source_size long")).collect()
+    names = sorted((s for s in sizes if s is not None), key=lambda s: [ord(c) for c in s]) + [None]
+    aims = plain_targets(sizes)
+    assert len(got) == len(sizes)
+    for r in got:
+        assert names[r.place] == r.source and r.target == pytest.approx(aims[r.source], rel=1e-9, abs=1e-9)
+
+
+def test_copied_keeps_rows_that_differ(docs):
+    """Equal id, text and source, but another language: two rows; equal in all: one row that comes more often."""
+    rows = [(1, "one two three", "en", "a"), (1, "one two three", "de", "a"), (2, "x y", "en", "a"), (2, "x y", "en", "a"), (3, None, "en", None)]
+    clash = docs(rows)
+    for name in ("mix_mark", "mix_copy", "copies", "mark", "size", "sid"):
+        clash = clash.withColumn(name, F.lit("mine"))
+    out = mixing.copied(clash)
+    assert out.columns == clash.columns
+    assert Counter((r.doc_id, r.lang) for r in out.collect()) == Counter({(1, "en"): 1, (1, "de"): 1, (2, "en"): 2})
+    assert mixing.copied(docs([])).count() == 0
+
+
 def test_mix_of_nothing(docs):
     assert mixing.mixed(docs([])).count() == 0
     assert [r.taken for r in mixing.mixed(docs([(1, None), (2, "")])).collect()] == [0, 0]
@@ -193,6 +222,38 @@ def test_language_without_training(docs):
     assert (one.lang_pred, one.score) == ("xx", 1.0)
 
 
+def test_language_equals_compression_by_each_dictionary(docs, monkeypatch):
+    """More languages than are tried together; very long, empty and repeated texts; ties."""
+    import zstandard
+
+    monkeypatch.setattr(langid, "TOGETHER", 3)
+    rng = random.Random(4)
+    learned = {f"l{i}": " ".join(rng.choice("abcdefghij"[i:] + "klm") * 3 + rng.choice("xyz") for _ in range(300)).encode() for i in range(8)}
+    learned["l9"] = learned["l0"]
+    rows = [(i, " ".join(rng.choice("abcdefghijklm") * 3 + rng.choice("xyz") for _ in range(rng.randint(1, 60)))) for i in range(60)]
+    rows += [(100, rows[0][1] * 4000), (101, None), (102, "5 !"), (0, rows[0][1]), (None, rows[1][1])]
+    tools = []
+    for lang in sorted(learned):
+        content = zstandard.ZstdCompressionDict(learned[lang], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        tools.append((lang, zstandard.ZstdCompressor(level=langid.LEVEL, dict_data=content, write_content_size=False, write_checksum=False, write_dict_id=False)))
+    expected = {}
+    for i, text in rows:
+        sizes = sorted((len(tool.compress(langid.plain(text))), lang) for lang, tool in tools) if text and re.search("[a-z]", text) else None
+        expected[i] = (sizes[0][1], (sizes[1][0] - sizes[0][0]) / sizes[1][0]) if sizes else ("und", 0.0)
+    got = langid.predicted(docs(rows, extra=True), learned).collect()
+    assert len(got) == len(rows)
+    agree = [r.lang_pred == expected[r.doc_id][0] and r.score == pytest.approx(expected[r.doc_id][1]) for r in got]
+    assert all(agree)
+
+
+def test_every_language_is_learned(docs, monkeypatch):
+    monkeypatch.setattr(langid, "TOGETHER", 4)
+    rng = random.Random(9)
+    rows = [(i, " ".join(f"{chr(97 + i % 26)}{rng.choice('qwrt')}{chr(97 + i % 26)}" for _ in range(60)), f"x{i % 26}", "s") for i in range(260)]
+    got = {r.doc_id: r.lang_pred for r in langid.languages(docs(rows)).collect()}
+    assert sum(got[i] == rows[i][2] for i in got) >= 245 and len(set(got.values())) == 26
+
+
 # --- pipeline ------------------------------------------------------------------------
 
 
