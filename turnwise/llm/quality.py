@@ -18,14 +18,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, give_back
 
 BUCKETS_BITS = 12
 #: Labelled rows that the target model is fitted on, at most (one of each bucket of a hash of the id).
 LABELLED = 20_000
 SMOOTHING = 1.0
-#: Bytes of text that are hashed together.
-CHUNK = 1 << 20
+#: Bytes of text that are hashed together; a worker holds some fifty bytes for each of them.
+CHUNK = 1 << 18
 SEED = 8
 #: Weights are summed as whole multiples of this share of 1, so that the order doesn't matter.
 UNIT = 1 << 20
@@ -142,6 +142,7 @@ def _counts(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
                 buckets = buckets.astype(np.int64)
                 total[0] += np.bincount(buckets, minlength=total.shape[1])
                 total[1] += np.bincount(buckets[target[rows]], minlength=total.shape[1])
+            give_back()
         used = np.flatnonzero(total[0])
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[0][used]), pa.array(total[1][used])], ["bucket", "raw", "target"])
 
@@ -182,6 +183,7 @@ def log_weight(ratios: np.ndarray, text: Column) -> Column:
         for buckets, rows in hasher().grams(column):
             np.add.at(total, rows, ratios[buckets])
             np.add.at(grams, rows, 1)
+        give_back()
         return pa.array(total / UNIT, pa.float64(), mask=grams == 0)
 
     return weigh(text)
@@ -210,23 +212,57 @@ def kth_largest(keys: DataFrame, k: int, bins: int = 4096) -> float:
     return low
 
 
+def _has_token(text: Column) -> Column:
+    """Whether a text has any byte that isn't a space or a control character."""
+    return F.coalesce(text.rlike(r"[^\x00-\x20]"), F.lit(False))
+
+
+def _weighed(docs: DataFrame, ratios: np.ndarray) -> DataFrame:
+    weight = docs.withColumn("log_weight", log_weight(ratios, F.col("text")))
+    return weight.withColumn("sample_key", F.col("log_weight") + noise(F.col("doc_id")))
+
+
+def _least(keys: DataFrame, share: float) -> float:
+    """The sample key from which on rows are kept. ``keys``: log_weight, sample_key, cut. Rows with null keys don't count."""
+    keys = keys.where("sample_key is not null")
+    chance = F.least(F.lit(1.0), share * F.exp(F.least("log_weight", F.lit(50.0))))
+    expected = keys.agg(F.sum((chance * UNIT).cast("long"))).first()[0] or 0
+    k = int(round(expected / UNIT))
+    return kth_largest(keys.select(F.col("sample_key").alias("key")), k) if k else float("inf")
+
+
+def _kept(rows: DataFrame, least: float) -> DataFrame:
+    return rows.withColumn("kept", F.coalesce(F.col("sample_key") >= F.lit(least), F.lit(False)))
+
+
+def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, log_weight, sample_key, kept of every row: as ``classified``, without the other columns.
+
+    Texts are read twice, for the counts and for the weights; what follows works on the weights.
+    """
+    model = fit(docs, labels)
+    if model is None:
+        return _unlabelled(docs.select("doc_id", "text")).drop("text")
+    rows = cut(_weighed(docs.select("doc_id", "text"), model[0]).drop("text"))
+    return _kept(rows, _least(rows, model[1]))
+
+
+def _unlabelled(docs: DataFrame) -> DataFrame:
+    return docs.withColumns({"log_weight": F.lit(0.0), "sample_key": F.lit(0.0), "kept": _has_token(F.col("text"))})
+
+
 def classified(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` with log_weight (double), sample_key (double) and kept (boolean).
 
     Rows without a token (null and blank texts) have null weights and are not kept. Without good
-    labels there is no target: all rows with a text are kept, with weight 0. Repeated rows are
-    judged alike. Columns of those names in ``docs`` are replaced.
+    labels there is no target: all rows with a token are kept, with weight 0. Repeated rows are
+    judged alike. Columns of those names in ``docs`` are replaced; all others stay. An empty
+    table gives an empty result. Texts are weighed a second time for the result, as that costs less
+    than to shuffle or store them.
     """
     docs = docs.drop("log_weight", "sample_key", "kept")
     model = fit(docs, labels)
     if model is None:
-        return docs.withColumns({"log_weight": F.lit(0.0), "sample_key": F.lit(0.0), "kept": F.length(F.trim("text")) > 0}).withColumn("kept", F.coalesce("kept", F.lit(False)))
-    ratios, share = model
-    weighed = docs.withColumn("log_weight", log_weight(ratios, F.col("text")))
-    weighed = weighed.withColumn("sample_key", F.col("log_weight") + noise(F.col("doc_id")))
-    keys = cut(weighed.select("log_weight", F.col("sample_key").alias("key")).where("key is not null"))
-    chance = F.least(F.lit(1.0), share * F.exp(F.least("log_weight", F.lit(50.0))))
-    expected = keys.agg(F.sum((chance * UNIT).cast("long"))).first()[0] or 0
-    k = int(round(expected / UNIT))
-    least = kth_largest(keys, k) if k else float("inf")
-    return weighed.withColumn("kept", F.coalesce(F.col("sample_key") >= F.lit(least), F.lit(False)))
+        return _unlabelled(docs)
+    weighed = _weighed(docs, model[0])
+    return _kept(weighed, _least(cut(weighed.select("log_weight", "sample_key")), model[1]))
