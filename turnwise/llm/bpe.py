@@ -17,16 +17,17 @@ from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 import regex
+from public_tokenizers import PATTERN
 from pyspark.sql import DataFrame
 
+from .common import give_back
+
 #: Encoded pre-tokens that a task keeps in each of two generations, and the longest kept.
-KEPT, KEPT_CHARS = 250_000, 64
+KEPT, KEPT_CHARS = 150_000, 64
 #: Characters of text encoded together, and bytes of results after which a task hands on a batch.
-TOGETHER, BATCH = 4 << 20, 16 << 20
+TOGETHER, BATCH = 1 << 19, 8 << 20
 #: Bytes of unseen pre-tokens that go through one queue together (a longer one goes alone).
 QUEUED = 1 << 20
-#: The splitting pattern for byte-level vocabularies of this family (fixed value).
-PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Texts of these characters only are split by an equal pattern with plain ranges, three times as fast.
 _PLAIN = re.compile(r"[\x00-\x1b\x20-\x7fÀ-ÖØ-öø-ɏ]*").fullmatch
 _PLAIN_PATTERN = re.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-zÀ-ÖØ-öø-ɏ]+| ?[0-9]+| ?[^\sA-Za-z0-9À-ÖØ-öø-ɏ]+|\s+(?!\S)|\s+""").findall
@@ -209,6 +210,10 @@ class Codec:
         get = known.__getitem__
         return [b"".join(map(get, x)) for x in split]
 
+    def forget(self) -> None:
+        """Drops the pre-tokens that are kept; the tables stay."""
+        self.new, self.old = {}, {}
+
     def encode(self, text: str) -> bytes:
         return self.encode_all([text])[0]
 
@@ -251,14 +256,20 @@ def encoded(docs: DataFrame, path: str) -> DataFrame:
                     yield pa.RecordBatch.from_arrays(columns, ["doc_id", "ids", "decoded"])
                     start, size, decoded = i + 1, 0, []
 
-        for batch in batches:
-            doc_ids, column = batch.column("doc_id"), batch.column("text")
-            start, size, texts = 0, 0, []
-            for i in range(batch.num_rows):
-                texts.append(column[i].as_py() or "")
-                size += len(texts[-1])
-                if size >= TOGETHER or i + 1 == batch.num_rows:
-                    yield from result(doc_ids.slice(start, i + 1 - start), texts)
-                    start, size, texts = i + 1, 0, []
+        try:
+            for batch in batches:
+                doc_ids, column = batch.column("doc_id"), batch.column("text")
+                start, size, texts = 0, 0, []
+                for i in range(batch.num_rows):
+                    texts.append(column[i].as_py() or "")
+                    size += len(texts[-1])
+                    if size >= TOGETHER or i + 1 == batch.num_rows:
+                        yield from result(doc_ids.slice(start, i + 1 - start), texts)
+                        start, size, texts = i + 1, 0, []
+                del doc_ids, column
+                give_back()
+        finally:
+            own.forget()  # an idle worker holds the tables alone
+            give_back()
 
     return docs.select("doc_id", "text").mapInArrow(work, "doc_id long, ids binary, decoded binary")
