@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from uuid import uuid4
 
 import public_tokenizers
@@ -10,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnwise.llm import bpe, mixing, pii, quality, simhash
-from turnwise.llm.common import table
+from turnwise.llm.common import shared_folder, table
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,11 +59,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages on ``documents``. Each result but the last is written as Parquet and read again.
 
-    The files are in the session's ``spark.checkpoint.dir``; only where that is unset, as in tests
-    on one machine, in a folder of our own.
+    The files are in the session's ``spark.checkpoint.dir``, in a folder of the run.
     """
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="turnwise-pipeline-")
-    docs, here = table(spark, sf_dir, "documents"), f"{shared}/pipeline-{uuid4().hex}"
+    docs, here = table(spark, sf_dir, "documents"), f"{shared_folder(spark)}/pipeline-{uuid4().hex}"
     for i, (name, stage) in enumerate(STAGES[:-1]):
         stage(spark, docs, sf_dir).write.parquet(f"{here}/{i}-{name}")
         docs = spark.read.parquet(f"{here}/{i}-{name}")
