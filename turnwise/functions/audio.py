@@ -97,12 +97,41 @@ def probe_audio(content: Column | str) -> Column:
     return run(_col(content))
 
 
+def _samples(data: bytes, codec: str) -> np.ndarray | None:
+    """Samples of a WAV file's data on the scale of 16-bit ones; None for a codec that isn't known."""
+    whole = lambda size: data[: len(data) // size * size]
+    if codec == "pcm_s16le":
+        return np.frombuffer(whole(2), "<i2").astype(np.float64)
+    if codec == "pcm_s8le":  # 8-bit WAV samples are unsigned
+        return (np.frombuffer(data, np.uint8).astype(np.float64) - 128) * 256
+    if codec == "pcm_s24le":
+        b = np.frombuffer(whole(3), np.uint8).reshape(-1, 3).astype(np.int32)
+        return ((b[:, 0] << 8 | b[:, 1] << 16 | b[:, 2] << 24) >> 8).astype(np.float64) / 256
+    if codec == "pcm_s32le":
+        return np.frombuffer(whole(4), "<i4").astype(np.float64) / 65536
+    if codec in ("pcm_f32le", "pcm_f64le"):
+        kind = "<f4" if codec == "pcm_f32le" else "<f8"
+        return np.nan_to_num(np.frombuffer(whole(int(kind[-1])), kind).astype(np.float64)) * 32768
+    if codec in ("tag_6", "tag_7"):  # logarithmic telephone codecs, A-law and mu-law
+        x = np.frombuffer(data, np.uint8).astype(np.int32)
+        if codec == "tag_7":
+            x = ~x & 0xFF
+            size = (((x & 15) << 3) + 132 << (x >> 4 & 7)) - 132
+            return np.where(x & 0x80, -size, size).astype(np.float64)
+        x = x ^ 0x55
+        power = x >> 4 & 7
+        size = np.where(power == 0, (x & 15) << 4 | 8, ((x & 15) << 4 | 0x108) << np.maximum(power - 1, 0))
+        return np.where(x & 0x80, size, -size).astype(np.float64)
+    return None
+
+
 def decode_wav(data: bytes | None) -> bytes | None:
-    """Mono 16 kHz samples of a 16-bit WAV file (channels averaged, linear resampling); None for other codecs."""
+    """Mono 16 kHz samples of a WAV file (channels averaged, linear resampling): integer samples of 8 to 32 bits,
+    floating point, A-law and mu-law; None for other codecs."""
     facts = probe(data)
-    if not facts or facts["codec"] != "pcm_s16le":
+    raw = facts and _samples(data[facts["data_offset"] : facts["data_offset"] + facts["data_bytes"]], facts["codec"])
+    if raw is None:
         return None
-    raw = np.frombuffer(data[facts["data_offset"] : facts["data_offset"] + facts["data_bytes"] // 2 * 2], "<i2").astype(np.float64)
     raw = raw[: len(raw) // facts["channels"] * facts["channels"]].reshape(-1, facts["channels"]).mean(axis=1)
     if facts["sample_rate"] != RATE and len(raw):
         raw = resample(raw, facts["sample_rate"], RATE)
@@ -143,6 +172,23 @@ def slice_pcm(pcm: Column, start_s: Column, seconds: Column) -> Column:
     return F.substring(pcm, at, (F.floor(seconds * RATE) * 2).cast("int"))
 
 
+#: Most of a voice that an embedding looks at (fixed value).
+MOST_S = 8
+
+
+def collect_samples(pcm: Column | str, ranges: Column | str, most: int = MOST_S * RATE) -> Column:
+    """The samples of ``ranges`` (array of (start, end) in samples) one after the other: each held to what there is, ``most`` in all."""
+    data, n = _col(pcm), F.floor(F.octet_length(_col(pcm)) / 2)
+    zero = F.unhex(F.lit(""))
+
+    def add(acc: Column, r: Column) -> Column:
+        start = F.greatest(F.lit(0), F.least(r["start"], n))
+        count = F.least(F.greatest(start, F.least(r["end"], n)) - start, F.lit(most) - F.floor(F.octet_length(acc) / 2))
+        return F.when(count <= 0, acc).otherwise(F.concat(acc, F.substring(data, (start * 2 + 1).cast("int"), (count * 2).cast("int"))))
+
+    return F.aggregate(_col(ranges), zero, add)
+
+
 def pad_for_decoder(samples: Column, least: int = RATE) -> Column:
     """Zeros on both sides, the one more on the right, up to one second."""
     missing = F.greatest(F.lit(0), F.lit(least) - F.size(samples))

@@ -152,7 +152,63 @@ def translated(turns: DataFrame, build: Callable[[], Callable[[dict], dict]], di
 
 def line_reply(line: str) -> dict:
     """Reply of a line protocol: one JSON object with ``ok`` and the rest."""
-    reply = json.loads(line)
+    try:
+        reply = json.loads(line)
+    except ValueError:
+        raise Unavailable("no reply") from None
     if not reply.get("ok"):
         raise Unavailable(reply.get("error") or "no reply")
     return reply
+
+
+class LineWorker:
+    """A child process or socket that answers one JSON line with one JSON line.
+
+    ``connect`` gives a pair (send a line, receive a line). It is called at the first request and again
+    after any failure, as a late reply would otherwise be taken for the next one's; so a worker that
+    hangs or dies costs one request. One request at a time: a task has its own worker.
+    """
+
+    def __init__(self, connect: Callable[[], tuple[Callable[[str], None], Callable[[], str]]]):
+        self.connect, self.pair = connect, None
+
+    def ask(self, command: str, **fields: Any) -> dict:
+        try:
+            if self.pair is None:
+                self.pair = self.connect()
+            send, receive = self.pair
+            send(json.dumps({"command": command, **fields}, ensure_ascii=False))
+            return line_reply(receive())
+        except Exception:
+            self.pair = None
+            raise
+
+
+class LinePostprocessor:
+    """A ``Postprocessor`` behind a line worker."""
+
+    mode = "worker"
+
+    def __init__(self, connect: Callable[[], tuple[Callable[[str], None], Callable[[], str]]]):
+        self.worker = LineWorker(connect)
+
+    def ready(self) -> bool:
+        return bool(self.worker.ask("ping").get("ok"))
+
+    def process_text(self, text: str) -> str:
+        return self.worker.ask("process_text", text=text)["text"]
+
+
+def serve(line: str, tool: Postprocessor) -> str:
+    """The other side: one reply line to one request line; an error is a reply too, and never ends the worker."""
+    try:
+        request = json.loads(line)
+        if request["command"] == "ping":
+            reply: dict = {"ok": True}
+        elif request["command"] == "process_text":
+            reply = {"ok": True, "text": tool.process_text(request["text"])}
+        else:
+            raise ValueError(f"unknown command {request['command']}")
+    except Exception as e:  # told to whoever asked
+        reply = {"ok": False, "error": f"{type(e).__name__}: {e}"}
+    return json.dumps(reply, ensure_ascii=False)

@@ -94,13 +94,14 @@ def has_run(w: Column, times: int = 3) -> Column:
     return has_repeat(w, 1, times)
 
 
-def has_repeat(w: Column, span: int, times: int = 3) -> Column:
-    """Whether a block of ``span`` words stands ``times`` times in a row. ``w`` must be a plain column:
-    a computed array would be computed again for each element."""
-    n = F.size(w)
-    need = span * times
-    same = lambda i: reduce(lambda x, y: x & y, [F.get(w, i + k) == F.get(w, i + k + span) for k in range(need - span)])
-    return F.when(n < need, F.lit(False)).otherwise(F.exists(F.sequence(F.lit(0), n - need), same))
+def has_repeat(w: Column, span: int, times: int = 3, longest: int | None = None) -> Column:
+    """Whether a block of ``span`` words (or of any number up to ``longest``) stands ``times`` times in a row.
+
+    ``w``: words without white space. A single back reference over the joined words, in which each
+    word is gone over at most once for each length of a block.
+    """
+    block = rf"(?<!\S)(\S++(?: \S++){{{span - 1},{(longest or span) - 1}}})(?: \1){{{times - 1}}}(?!\S)"
+    return F.array_join(w, " ").rlike(block)
 
 
 #: First and last code points of the scripts that neither language of the product uses (fixed values).
@@ -126,7 +127,7 @@ def quality_reason(text: Column, w: Column, duration_ms: Column | None = None, r
     out = out.when(F.length(F.regexp_replace(text, r"(?U)\P{IsAlphabetic}", "")) < 2, "no-lexical-content")
     if repetition:
         out = out.when(has_run(w), "consecutive-word-loop").when(has_repeat(w, 2), "repeated-bigram")
-        out = out.when(reduce(lambda x, y: x | y, [has_repeat(w, s) for s in range(3, 9)]), "repeated-trigram")
+        out = out.when(has_repeat(w, 3, longest=8), "repeated-trigram")
     if duration_ms is not None:
         seconds = F.greatest(F.lit(0.45), duration_ms / 1000.0)
         known = duration_ms.isNotNull()
@@ -238,15 +239,44 @@ def roundtrip_similarity(source: Column, back: Column) -> Column:
     return _vectorised(score, "double")(source, back)
 
 
+#: Matches whose offsets are summed together; sums of sums keep texts with very many words cheap.
+_TOGETHER = 256
+
+
 def word_offsets(text: Column | str) -> Column:
-    """(word, start, end) of each word in its own case; offsets are code points."""
-    import re
+    """(word, start, end) of each word in its own case; offsets are code points.
+
+    ``text`` should be a plain column: it is taken apart twice, into words and into what is between them.
+    """
+    t, kind = F.coalesce(_col(text), F.lit("")), "array<struct<word:string,start:int,end:int>>"
+    found, between = F.regexp_extract_all(t, F.lit(r"[\p{L}\p{N}]+"), F.lit(0)), F.split(t, r"[\p{L}\p{N}]+", -1)
+    pairs = F.arrays_zip(found.alias("word"), F.slice(between, 1, F.size(found)).alias("gap"))
+    groups = F.transform(F.sequence(F.lit(0), F.size(found) - 1, F.lit(_TOGETHER)), lambda at: F.slice(pairs, at + 1, _TOGETHER))
+
+    def place(acc: Column, x: Column) -> Column:
+        start = acc["at"] + F.length(x["gap"])
+        end = start + F.length(x["word"])
+        one = F.struct(x["word"].alias("word"), start.alias("start"), end.alias("end"))
+        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
+
+    def group(acc: Column, part: Column) -> Column:
+        done = F.aggregate(part, F.struct(acc["at"].alias("at"), F.array().cast(kind).alias("out")), place)
+        return F.aggregate(F.array(done), acc, lambda a, g: F.struct(g["at"].alias("at"), F.concat(a["out"], F.array(g["out"])).alias("out")))
+
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{kind}>").alias("out"))
+    return F.when(F.size(found) == 0, F.array().cast(kind)).otherwise(F.flatten(F.aggregate(groups, zero, group)["out"]))
+
+
+def first_difference(a: Column, b: Column, shown: int = 12) -> Column:
+    """``n:x|y``: where two texts first differ (code points), and what both go on with; null counts as empty."""
+    from os.path import commonprefix
 
-    @F.pandas_udf("array<struct<word:string,start:int,end:int>>")
-    def find(column: pd.Series) -> pd.Series:
-        return column.map(lambda t: [{"word": m[0], "start": m.start(), "end": m.end()} for m in re.finditer(r"[^\W_]+", t or "")])
+    def first(x: str | None, y: str | None) -> str:
+        x, y = x or "", y or ""
+        n = len(commonprefix([x, y]))
+        return f"{n}:{x[n : n + shown]}|{y[n : n + shown]}"
 
-    return find(_col(text))
+    return _vectorised(first, "string")(a, b)
 
 
 # --- language arbitration -----------------------------------------------------------
