@@ -165,7 +165,7 @@ def test_bucket():
 
 
 def test_confirmation():
-    group = pd.DataFrame({"conv_id": 1, "turn": range(4), "text": ["a b c d", "a b c d e", "a b c d e", "x y z"]})
+    group = pd.DataFrame({"conv_id": 1, "turn": 1, "preview": range(4), "text": ["a b c d", "a b c d e", "a b c d e", "x y z"]})
     assert stateful.confirm_fold(group)["confirmed"].tolist() == ["a b c d e"]
 
 
@@ -187,7 +187,7 @@ def test_percentiles(spark):
     v = spark.createDataFrame([(x,) for x in (1, 2, 3, 4, 10)], "x int")
     row = v.agg(*metrics.latency_summary("x")).first()
     assert (row.p50_ms, row.p95_ms) == (3, 10)
-    assert metrics.histogram_rank(v.withColumn("k", F.lit(1)), ["k"], "x", 0.95).first().rank_value == 10
+    assert metrics.histogram_ranks(v.withColumn("k", F.lit(1)), ["k"], "x", {"p": 0.95}).first().p == 10
 
 
 def test_audio(spark):

@@ -39,9 +39,14 @@ def statuses(requests: DataFrame, ttl_ms: int = TTL_MS) -> DataFrame:
     return ordered.select("key", sha256(F.col("key").cast("string")).alias("key_hash"), F.inline(F.aggregate("r", zero, step)["out"]))
 
 
+def loadable(records: DataFrame, now_ms: int) -> DataFrame:
+    """Unexpired successes."""
+    return records.where((F.col("expires_at_ms") > now_ms) & F.col("status").between(200, 299))
+
+
 def cache_to_load(records: DataFrame, now_ms: int, most: int = MOST) -> DataFrame:
     """Unexpired successes, the latest expiries first, ``most`` of them."""
-    return records.where((F.col("expires_at_ms") > now_ms) & F.col("status").between(200, 299)).orderBy(F.desc("expires_at_ms"), "key_hash").limit(most)
+    return loadable(records, now_ms).orderBy(F.desc("expires_at_ms"), "key_hash").limit(most)
 
 
 def files_to_delete(records: DataFrame, most: int = MOST) -> DataFrame:
@@ -51,9 +56,16 @@ def files_to_delete(records: DataFrame, most: int = MOST) -> DataFrame:
 
 
 def to_evict(records: DataFrame, most: int = MOST) -> DataFrame:
-    """Completed entries that expire soonest, as many as are over ``most``."""
-    n = records.count()
-    return records.where("completed").orderBy("expires_at_ms", "key_hash").limit(max(0, n - most))
+    """Completed entries that expire soonest, as many as are over ``most``.
+
+    That is all completed ones but the newest, as many as the entries in work leave room for.
+    """
+    newest = records.where("completed").orderBy(F.desc("expires_at_ms"), F.desc("key_hash")).limit(most)
+    room = F.lit(most) - records.where("not completed").agg(F.count("*")).scalar()
+    # At most ``most`` rows are numbered here.
+    place = F.row_number().over(Window.orderBy(F.desc("expires_at_ms"), F.desc("key_hash")))
+    kept = newest.withColumn("_place", place).where(F.col("_place") <= room).select("key_hash")
+    return records.where("completed").join(kept, "key_hash", "left_anti")
 
 
 def coalesced_jobs(jobs: DataFrame, running: DataFrame, key: str = "turn_id") -> DataFrame:

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .sessions import stretches
+
 START_DELTA_MS, END_DELTA_MS, OVERLAP, RMS_RATIO, PEAK_RATIO = 650, 900, 0.70, 1.60, 1.25
 LEAST_PIECE = 5600
 
@@ -74,14 +76,21 @@ def subtracted(base: DataFrame, blocked: DataFrame, keys: Sequence[str], least:
     return before.unionByName(after).unionByName(whole).where(F.col("end") - F.col("start") >= F.greatest(F.lit(1), F.lit(least)))
 
 
-def blocked_by_others(segments: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Overlaps of segments (keys, label, start, end) with those of other labels: keys, label, base and blocked range."""
-    a, b = segments.alias("a"), segments.alias("b")
-    on = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys]
-    cond = on[0]
-    for c in on[1:]:
-        cond = cond & c
+def blocked_by_others(segments: DataFrame, keys: Sequence[str], slot: int = 60_000) -> DataFrame:
+    """Overlaps of segments (keys, label, start, end) with those of other labels: keys, label, base and blocked range.
+
+    Segments are dealt to the time slots that they touch and meet only there, in the slot where their
+    overlap begins; so a busy key isn't one task, nor are all its pairs made. ``slot`` should be about
+    as long as a segment.
+    """
+    first, last = F.floor(F.col("start") / slot), F.floor(F.greatest(F.col("end") - 1, F.col("start")) / slot)
+    dealt = segments.select(*keys, "label", "start", "end", F.explode(F.sequence(first, last)).alias("slot"))
+    a, b = dealt.alias("a"), dealt.alias("b")
+    cond = F.col("a.slot") == F.col("b.slot")
+    for k in keys:
+        cond = cond & (F.col(f"a.{k}") == F.col(f"b.{k}"))
     cond = cond & (F.col("a.label") != F.col("b.label")) & (F.col("a.start") < F.col("b.end")) & (F.col("b.start") < F.col("a.end"))
+    cond = cond & (F.col("a.slot") == F.floor(F.greatest("a.start", "b.start") / slot))
     return a.join(b, cond).select(
         *[F.col(f"a.{k}").alias(k) for k in keys], F.col("a.label").alias("label"), F.col("a.start").alias("base_start"), F.col("a.end").alias("base_end"),
         F.greatest("a.start", "b.start").alias("start"), F.least("a.end", "b.end").alias("end"),
@@ -91,9 +100,12 @@ def blocked_by_others(segments: DataFrame, keys: Sequence[str]) -> DataFrame:
 def gate_groups(utterances: DataFrame) -> DataFrame:
     """Groups of captures of the same speech: room, group_no, utterance_id, is_dominant, echo_suspected.
 
-    Seeds are taken in order (received_ms, utterance_id); a group is a seed and what is in the same
-    window as the seed, not transitively. A room is one task; it holds levels and times only.
+    Seeds are taken in order (received_ms, utterance_id), which numbers the groups of a room too; a
+    group is a seed and what is in the same window as the seed, not transitively. Captures whose starts
+    are further apart than a window never meet, so a room is folded stretch by stretch, cut where no
+    capture starts for that long, and not as a whole.
     """
+    cut = stretches(utterances, ["room"], F.col("started_ms"), ["started_ms", "utterance_id"], START_DELTA_MS, "stretch")
     columns = ["client_id", "utterance_id", "received_ms", "started_ms", "ended_ms", "avg_rms", "peak_rms"]
 
     def fits(a: dict, b: dict) -> bool:
@@ -108,7 +120,7 @@ def gate_groups(utterances: DataFrame) -> DataFrame:
         items = group.sort_values(["received_ms", "utterance_id"]).to_dict("records")
         by_start = sorted(range(len(items)), key=lambda i: items[i]["started_ms"])
         starts = [items[i]["started_ms"] for i in by_start]
-        room, out, number, taken = group["room"].iloc[0], [], 0, set()
+        room, out, taken = group["room"].iloc[0], [], set()
         for i, seed in enumerate(items):
             if i in taken:
                 continue
@@ -123,10 +135,11 @@ def gate_groups(utterances: DataFrame) -> DataFrame:
                     x is not loud and fits(loud, x) and loud["avg_rms"] > 0 and x["avg_rms"] > 0
                     and loud["avg_rms"] / max(x["avg_rms"], 1e-9) >= RMS_RATIO and loud["peak_rms"] / max(x["peak_rms"], 1e-9) >= PEAK_RATIO
                 )
-                out.append((room, number, x["utterance_id"], x is loud, bool(echo)))
-            number += 1
-        return pd.DataFrame(out, columns=["room", "group_no", "utterance_id", "is_dominant", "echo_suspected"])
+                out.append((room, seed["received_ms"], seed["utterance_id"], x["utterance_id"], x is loud, bool(echo)))
+        return pd.DataFrame(out, columns=["room", "seed_ms", "seed_id", "utterance_id", "is_dominant", "echo_suspected"])
 
     kinds = dict(utterances.dtypes)
-    schema = f"room {kinds['room']}, group_no int, utterance_id {kinds['utterance_id']}, is_dominant boolean, echo_suspected boolean"
-    return utterances.select("room", *columns).groupBy("room").applyInPandas(fold, schema)
+    schema = f"room {kinds['room']}, seed_ms {kinds['received_ms']}, seed_id {kinds['utterance_id']}, utterance_id {kinds['utterance_id']}, is_dominant boolean, echo_suspected boolean"
+    found = cut.select("room", "stretch", *columns).groupBy("room", "stretch").applyInPandas(fold, schema)
+    number = F.dense_rank().over(Window.partitionBy("room").orderBy("seed_ms", "seed_id")) - 1
+    return found.select("room", number.cast("int").alias("group_no"), "utterance_id", "is_dominant", "echo_suspected")

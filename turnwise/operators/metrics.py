@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import edit_rate, punctuation_signature
+
 
 def nearest_rank(values: Column, p: float, half_even: bool = False) -> Column:
     """Element round((n - 1) p) of the sorted values: no interpolation. Ties of the index round up, or to even."""
@@ -34,13 +36,48 @@ def real_time_factor(elapsed: Column, duration: Column) -> Column:
     return F.when(duration > 0, elapsed / duration).otherwise(0.0)
 
 
-def histogram_rank(df, keys: list[str], value: str, p: float):
-    """Nearest-rank percentile of any number of rows: counts by value first, so that no list of all values is gathered."""
-    from pyspark.sql import Window
+#: Ranges that the values of a key are counted in first.
+BINS = 1024
+
+
+def histogram_ranks(df: DataFrame, keys: list[str], value: str, ranks: dict[str, float]) -> DataFrame:
+    """Nearest-rank percentiles (name: share) of any number of rows: keys and a column for each name.
+
+    Values are counted in BINS ranges of each key, which tells the range that holds a rank; only the
+    values of those ranges are then counted one by one. No list of values is gathered, and no task
+    sorts all values of a key. Null values don't count.
+    """
+    rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"))
+    ends = rows.groupBy(*keys).agg(F.min("_v").alias("_low"), F.max("_v").alias("_high"), F.count("*").alias("_all"))
+    share = (F.col("_v") - F.col("_low")) / (F.col("_high") - F.col("_low"))
+    at = F.when(F.col("_high") > F.col("_low"), F.least(F.floor(share * BINS), F.lit(BINS - 1))).otherwise(F.lit(0)).cast("int")
+    binned = rows.join(ends, keys).withColumn("_bin", at)
+    wanted = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), (F.round((F.col("_all") - 1) * F.lit(p)) + 1).alias("rank")) for n, p in ranks.items()])).alias("_want")
+    upto = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)
+    counts = binned.groupBy(*keys, "_bin").agg(F.count("*").alias("n"), F.first("_all").alias("_all")).withColumn("upto", F.sum("n").over(upto))
+    held = counts.select(*keys, "_bin", "n", "upto", wanted).where((F.col("upto") >= F.col("_want.rank")) & (F.col("upto") - F.col("n") < F.col("_want.rank")))
+    held = held.select(*keys, "_bin", F.col("_want.name").alias("_name"), (F.col("_want.rank") - (F.col("upto") - F.col("n"))).alias("_rank"))
+    values = binned.join(held.select(*keys, "_bin").distinct(), [*keys, "_bin"], "left_semi").groupBy(*keys, "_bin", "_v").agg(F.count("*").alias("n"))
+    within = Window.partitionBy(*keys, "_bin").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    placed = values.withColumn("upto", F.sum("n").over(within)).join(held, [*keys, "_bin"])
+    found = placed.where((F.col("upto") >= F.col("_rank")) & (F.col("upto") - F.col("n") < F.col("_rank")))
+    return found.groupBy(*keys).agg(*[F.max(F.when(F.col("_name") == n, F.col("_v"))).alias(n) for n in ranks])
+
+
+def candidate_scores(cases: DataFrame, key: str) -> DataFrame:
+    """Scores of each candidate's outputs (key, reference, output, elapsed_ms): counts and rates of exact texts and
+    of exact punctuation, mean edit rate, mismatches, whether all match, and mean time."""
+    exact = F.col("output").eqNullSafe(F.col("reference"))
+    marks = punctuation_signature("output").eqNullSafe(punctuation_signature("reference"))
+    n = F.greatest(F.lit(1), F.count("*"))
+    return cases.groupBy(key).agg(
+        F.count("*").alias("cases"), F.count_if(exact).alias("exact"), (F.count_if(exact) / n).alias("exact_rate"),
+        F.count_if(marks).alias("punctuation_exact"), (F.count_if(marks) / n).alias("punctuation_rate"),
+        F.avg(edit_rate("reference", "output")).alias("mean_edit_rate"),
+        F.count_if(~(exact & marks)).alias("mismatches"), F.bool_and(exact & marks).alias("all_match"), F.avg("elapsed_ms").alias("mean_ms"),
+    )
+
 
-    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("n"))
-    order = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    total = Window.partitionBy(*keys)
-    placed = counts.withColumn("upto", F.sum("n").over(order)).withColumn("all", F.sum("n").over(total))
-    wanted = F.round((F.col("all") - 1) * p) + 1
-    return placed.where((F.col("upto") >= wanted) & (F.col("upto") - F.col("n") < wanted)).select(*keys, F.col(value).alias("rank_value"))
+def probed(results: DataFrame) -> DataFrame:
+    """``results`` (expected, actual, error) with passed: nothing expected counts as equal, a failure never does."""
+    return results.withColumn("passed", F.col("error").isNull() & (F.col("expected").isNull() | (F.col("expected") == F.col("actual"))))

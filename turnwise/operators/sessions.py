@@ -23,6 +23,19 @@ def gap_sessions(events: DataFrame, keys: Sequence[str], at: Column, order: Sequ
     return events.withColumn("_fresh", fresh).withColumn(name, F.sum("_fresh").over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("bigint")).drop("_fresh")
 
 
+def stretches(events: DataFrame, keys: Sequence[str], at: Column, order: Sequence[str], gap: int, name: str = "_stretch", together: int = 4096) -> DataFrame:
+    """``events`` with ``name``: the part of its key's history that an event belongs to.
+
+    A part ends only where nothing has come for more than ``gap``, so a fold whose state is gone by
+    then may run over each part on its own; a part goes on to the first such pause after ``together`` events.
+    """
+    w = _order(keys, order)
+    fresh = F.coalesce(at - F.lag(at).over(w) > gap, F.lit(True))
+    rows = events.withColumn("_place", F.row_number().over(w)).withColumn("_begin", F.when(fresh, F.col("_place")))
+    begin = F.max("_begin").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    return rows.withColumn(name, F.floor(begin / together)).drop("_place", "_begin")
+
+
 def run_length(events: DataFrame, keys: Sequence[str], order: Sequence[str], flag: Column, name: str) -> DataFrame:
     """``events`` with ``name``: how many events in a row, up to this one, have ``flag`` (0 where it fails)."""
     w = _order(keys, order)
@@ -54,10 +67,29 @@ def merged_latest(rows: DataFrame, keys: Sequence[str], seq: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.max(seq).alias(seq), *newest)
 
 
+def ranked(rows: DataFrame, at: Column, order: Sequence[str], name: str, parts: int = 64) -> DataFrame:
+    """``rows`` with their place (from 1) in the order of ``order`` over the whole table.
+
+    ``at`` is a number that the order begins with. Its quantiles deal the rows into ``parts`` ranges; each
+    is numbered on its own and starts where those before it end, so no task sorts all rows. At most
+    ``parts`` bounds and counts come to the driver.
+    """
+    bounds = rows.select(F.percentile_approx(at, [i / parts for i in range(1, parts)], F.lit(10_000))).first()[0] or []
+    range_of = F.size(F.filter(F.array(*[F.lit(x) for x in sorted(set(bounds))]), lambda x: x <= at)) if bounds else F.lit(0)
+    dealt = rows.withColumn("_range", F.coalesce(range_of, F.lit(-1)))
+    starts, start = [], 0
+    for r in sorted(dealt.groupBy("_range").count().collect()):
+        starts += [F.lit(r["_range"]), F.lit(start)]
+        start += r["count"]
+    offset = F.element_at(F.create_map(*starts), F.col("_range")) if starts else F.lit(0)
+    place = F.row_number().over(Window.partitionBy("_range").orderBy(*order)) + offset
+    return dealt.withColumn(name, place.cast("bigint")).drop("_range")
+
+
 def first_seen(rows: DataFrame, key: str, seq: str, name: str = "ordinal") -> DataFrame:
     """Keys with their rank by first appearance, from 1."""
     firsts = rows.groupBy(key).agg(F.min(seq).alias("first_seq"))
-    return firsts.withColumn(name, F.row_number().over(Window.orderBy("first_seq", key)).cast("bigint"))
+    return ranked(firsts, F.col("first_seq"), ["first_seq", key], name)
 
 
 def left_context(segments: DataFrame, keys: Sequence[str], order: Sequence[str], novel: str, context: int = 10_000, window: int = 24_000, name: str = "context_prefix") -> DataFrame:

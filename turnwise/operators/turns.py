@@ -45,6 +45,18 @@ def not_stale(results: DataFrame, turns: DataFrame, keys: Sequence[str]) -> Data
     return results.join(now, list(keys)).where(fits).drop("_revision", "_text")
 
 
+def looked_up(segments: DataFrame, turns: DataFrame, keys: Sequence[str] = ("client_id", "turn_id")) -> DataFrame:
+    """``segments`` with the columns of their turn, and is_new: whether there is none yet."""
+    known = turns.withColumn("_known", F.lit(True))
+    return segments.join(known, list(keys), "left").withColumn("is_new", F.col("_known").isNull()).drop("_known")
+
+
+def gathered(segments: DataFrame, keys: Sequence[str], order: str = "segment_index") -> DataFrame:
+    """Each turn with the array of its segments (all other columns), by ``order``. The capture limits bound a turn."""
+    others = [c for c in segments.columns if c not in keys and c != order]
+    return segments.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(order, *others))).alias("segments"))
+
+
 def to_prune(state: DataFrame, *kept: DataFrame, keys: Sequence[str] = ("client_id", "turn_id")) -> DataFrame:
     """State rows whose key is in none of the tables to keep."""
     union = kept[0].select(*keys)

@@ -7,14 +7,15 @@ their time is that of the frame's end. Levels are given; bytes are counted, not
 from __future__ import annotations
 
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.audio import BYTES_PER_SECOND, FRAME_BYTES, FRAME_MS
+from ..functions.audio import BYTES_PER_SECOND, FRAME_BYTES, FRAME_MS, RATE
 
 
 @dataclass(frozen=True)
@@ -176,25 +177,76 @@ COLUMNS = ["turn_no", "segment_index", "started_ms", "ended_ms", "audio_ms", "ov
 KINDS = "turn_no int, segment_index int, started_ms long, ended_ms long, audio_ms long, overlap_ms long, context_prefix_ms long, avg_rms double, peak_rms double, speech_ratio double, end_reason string"
 
 
-def segments(frames: DataFrame, key: str = "client_id", limits: Limits = LIMITS) -> DataFrame:
-    """Segments of each client's frames (``key``, ts_ms, frame_no, rms, peak).
+#: What a judge of segments gets, and gives: the reason to reject one, or None.
+Judge = Callable[[dict], str | None]
 
-    A group holds the levels of one client's capture; the capture limits bound it.
+
+def judged(state: State, found: Iterator[tuple], judge: Judge | None, limits: Limits = LIMITS) -> Iterator[tuple]:
+    """``found`` as it is, each judged as soon as it ends: a rejected one raises the noise floor of what follows."""
+    for segment in found:
+        if judge is not None:
+            row = dict(zip(COLUMNS, segment, strict=True))
+            reason = judge(row)
+            if reason:
+                learn_noise(state, row["audio_ms"], row["avg_rms"], reason, limits)
+        yield segment
+
+
+def segments(frames: DataFrame, key: str | Sequence[str] = "client_id", limits: Limits = LIMITS, judge: Judge | None = None) -> DataFrame:
+    """Segments of each capture's frames (``key``: one column or several, ts_ms, frame_no, rms, peak).
+
+    A group holds the levels of one capture (see ``lifecycle.numbered_captures``), which ends with a
+    flush. ``judge`` is asked of each segment, in a Python worker.
     """
-    kind = dict(frames.dtypes)[key]
+    keys = [key] if isinstance(key, str) else list(key)
+    kinds = dict(frames.dtypes)
 
     def fold(group: pd.DataFrame) -> pd.DataFrame:
         state, out = State(), []
         group = group.sort_values(["ts_ms", "frame_no"])
         now = 0
         for now, rms, peak in zip(group["ts_ms"].tolist(), group["rms"].tolist(), group["peak"].tolist(), strict=True):
-            out += step(state, now, rms, peak, limits)
-        out += finish(state, now, limits)
+            out += judged(state, step(state, now, rms, peak, limits), judge, limits)
+        out += judged(state, finish(state, now, limits), judge, limits)
         frame = pd.DataFrame(out, columns=COLUMNS)
-        frame.insert(0, key, group[key].iloc[0])
+        for at, name in enumerate(keys):
+            frame.insert(at, name, group[name].iloc[0])
         return frame
 
-    return frames.select(key, "ts_ms", "frame_no", "rms", "peak").groupBy(key).applyInPandas(fold, f"{key} {kind}, {KINDS}")
+    schema = ", ".join(f"{name} {kinds[name]}" for name in keys)
+    return frames.select(*keys, "ts_ms", "frame_no", "rms", "peak").groupBy(*keys).applyInPandas(fold, f"{schema}, {KINDS}")
+
+
+#: Samples that a detector gets at a time, and the silence put before a file: half a second, in whole steps (fixed values).
+STEP_SAMPLES = 512
+PAD_SAMPLES = int(0.5 * RATE) // STEP_SAMPLES * STEP_SAMPLES
+
+
+def file_segments(files: DataFrame, key: str, build: Callable[[], Callable[[np.ndarray], bool]]) -> DataFrame:
+    """key, start_s, end_s, pcm of the speech in whole files (key, pcm), by an injected detector.
+
+    The detector gets 512 samples at a time (floats from -1 to 1), whole steps only, after a lead of
+    silence that lets it settle, and says whether they are speech; the runs of steps that are become
+    segments. Starts are corrected by the lead and never below 0. Null and too short files have none.
+    """
+    kind = dict(files.dtypes)[key]
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        detect = build()
+        for batch in batches:
+            out = []
+            for name, pcm in zip(batch[key], batch["pcm"], strict=True):
+                samples = np.frombuffer(bytes(pcm or b"")[: len(pcm or b"") // 2 * 2], "<i2")
+                padded = np.concatenate([np.zeros(PAD_SAMPLES, "<i2"), samples])
+                steps = padded[: len(padded) // STEP_SAMPLES * STEP_SAMPLES].reshape(-1, STEP_SAMPLES)
+                speech = np.array([False, *(bool(detect(s.astype(np.float32) / 32768)) for s in steps), False])
+                edges = np.flatnonzero(speech[1:] != speech[:-1]) * STEP_SAMPLES
+                for start, end in edges.reshape(-1, 2):
+                    start_s = max(0.0, (start - PAD_SAMPLES) / RATE)
+                    out.append((name, start_s, start_s + (end - start) / RATE, padded[start:end].tobytes()))
+            yield pd.DataFrame(out, columns=[key, "start_s", "end_s", "pcm"])
+
+    return files.select(key, "pcm").mapInPandas(work, f"{key} {kind}, start_s double, end_s double, pcm binary")
 
 
 def noise_floor(levels: Column, start: float = 0.003, limits: Limits = LIMITS) -> Column:

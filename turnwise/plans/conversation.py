@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.hashing import sha256
 from ..operators import turns
 from ..registry import query
+from ..sources import io
 from .common import micros, table
 
 _CLEAN = "trim(regexp_replace(coalesce({0}, ''), '[\\s\\x00]+', ' ', 'g'))"
@@ -14,11 +16,11 @@ _CLEAN = "trim(regexp_replace(coalesce({0}, ''), '[\\s\\x00]+', ' ', 'g'))"
 
 @query("A17_format_response", """
     SELECT conv_id, turn, CASE conv_id % 3 WHEN 0 THEN text
-      WHEN 1 THEN '{"task":"transcribe","language":"en","duration":' || length(text) || ',"segments":[{"id":"segment_0","text":' || to_json(text)::VARCHAR || '}]}'
-      ELSE '{"text":' || to_json(text)::VARCHAR || '}' END AS body FROM conversations WHERE regexp_matches(text, '^[ -.0-~]*$')""")
+      WHEN 1 THEN '{"task":"transcribe","language":"en","duration":' || length(text) || ',"segments":[{"id":"segment_0","text":' || replace(to_json(text)::VARCHAR, '\\/', '/') || '}]}'
+      ELSE '{"text":' || replace(to_json(text)::VARCHAR, '\\/', '/') || '}' END AS body FROM conversations""")
 def format_response(spark, d):
-    """Text, verbose JSON or JSON, by the format asked for (plain ASCII without slashes, where both engines escape alike)."""
-    c = table(spark, d, "conversations").where(F.col("text").rlike("^[ -.0-~]*$"))
+    """Text, verbose JSON or JSON, by the format asked for."""
+    c = table(spark, d, "conversations")
     part = F.array(F.struct(F.lit("segment_0").alias("id"), "text"))
     verbose = F.to_json(F.struct(F.lit("transcribe").alias("task"), F.lit("en").alias("language"), F.length("text").alias("duration"), part.alias("segments")))
     body = F.when(F.col("conv_id") % 3 == 0, F.col("text")).when(F.col("conv_id") % 3 == 1, verbose).otherwise(F.to_json(F.struct("text")))
@@ -102,13 +104,18 @@ def line_protocol(spark, d):
 
 
 @query("A28_G1_case_list", """
-    SELECT 'golden' AS origin, item_id AS id, length(text) AS chars FROM benchmark UNION ALL
-    SELECT 'report' AS origin, page_id AS id, length(html) AS chars FROM pages WHERE regexp_matches(url, '/[0-9]*[02468]$')""")
+    SELECT 'golden' AS origin, CAST(item_id AS VARCHAR) AS label, length(text) AS chars FROM benchmark UNION ALL
+    SELECT 'report' AS origin, 'c' || conv_id || '/' || ['30s', '2m', '4m', 'full'][turn % 4 + 1] AS label, length(text) AS chars FROM conversations WHERE turn % 4 < 3""")
 def case_list(spark, d):
-    """Two case lists under one another, one of them filtered by its label's end."""
-    a = table(spark, d, "benchmark").select(F.lit("golden").alias("origin"), F.col("item_id").alias("id"), F.length("text").cast("bigint").alias("chars"))
-    b = table(spark, d, "pages").where(F.col("url").rlike("/[0-9]*[02468]$")).select(F.lit("report").alias("origin"), F.col("page_id").alias("id"), F.length("html").cast("bigint").alias("chars"))
-    return a.unionByName(b)
+    """The cases of a list and those of nested reports (one a conversation, as JSON), whose labels must end in a length."""
+    a = table(spark, d, "benchmark").select(F.lit("golden").alias("origin"), F.col("item_id").cast("string").alias("label"), F.length("text").cast("bigint").alias("chars"))
+    ends = F.element_at(F.array(*map(F.lit, ("30s", "2m", "4m", "full"))), (F.col("turn") % 4 + 1).cast("int"))
+    label = F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit("/"), ends)
+    case = F.struct(label.alias("label"), F.length("text").alias("char_count"), "text")
+    reports = table(spark, d, "conversations").groupBy("conv_id").agg(F.collect_list(case).alias("cases"))
+    lines = reports.select(F.to_json(F.struct(F.array(F.struct(F.col("conv_id").cast("string").alias("asset"), "cases")).alias("assets"))).alias("line"))
+    cases = io.cases_of(lines.select(F.from_json("line", io.REPORT).alias("r")).select("r.assets"))
+    return a.unionByName(cases.select(F.lit("report").alias("origin"), "label", F.col("char_count").cast("bigint").alias("chars")))
 
 
 @query("A32_report_rows", "SELECT '| ' || lang || ' | ' || count(*) || ' | ' || max(n_chars) || ' |' AS line FROM documents GROUP BY lang")
@@ -171,33 +178,75 @@ def recogniser_reply(spark, d):
     return t.select("doc_id", f[0].alias("status"), F.when(ok, F.get(f, F.lit(1))).otherwise("").alias("language"), F.when(ok, F.get(f, F.lit(2))).otherwise("").alias("body"))
 
 
-@query("C4_turn_lookup", "SELECT e.event_id, c.c_name FROM events e LEFT JOIN customer c ON e.user_id = c.c_custkey")
+#: Turns of conversations and segments of them: every third turn isn't there yet.
+_TURN_SQL = "SELECT conv_id % 3 AS room, conv_id AS client_id, turn // 2 AS turn_id, turn AS segment_index, length(text) AS size FROM conversations"
+
+
+def _turn_segments(spark, d):
+    c = table(spark, d, "conversations")
+    return c.select((F.col("conv_id") % 3).alias("room"), F.col("conv_id").alias("client_id"), F.floor(F.col("turn") / 2).alias("turn_id"), F.col("turn").alias("segment_index"), F.length("text").alias("size"))
+
+
+@query("C4_turn_lookup", f"""
+    WITH s AS ({_TURN_SQL}), t AS (SELECT client_id, turn_id, sum(size) AS turn_size FROM s GROUP BY ALL HAVING (client_id + turn_id) % 3 <> 0)
+    SELECT s.client_id, s.turn_id, s.segment_index, CAST(t.turn_size AS BIGINT) AS turn_size, t.turn_size IS NULL AS is_new FROM s LEFT JOIN t USING (client_id, turn_id)""")
 def turn_lookup(spark, d):
-    """C4: segment to turn, also where there is none yet."""
-    e, c = table(spark, d, "events"), table(spark, d, "customer")
-    return e.join(c, e["user_id"] == c["c_custkey"], "left").select("event_id", "c_name")
+    """C4: a segment's turn by client and turn id, also where there is none yet."""
+    s = _turn_segments(spark, d)
+    t = s.groupBy("client_id", "turn_id").agg(F.sum("size").alias("turn_size")).where((F.col("client_id") + F.col("turn_id")) % 3 != 0)
+    return turns.looked_up(s, t, ["client_id", "turn_id"]).select("client_id", "turn_id", "segment_index", "turn_size", "is_new")
+
+
+@query("C11_G7_pruned_turns", f"""
+    WITH s AS ({_TURN_SQL}), state AS (SELECT DISTINCT client_id, turn_id FROM s)
+    SELECT client_id, turn_id FROM state WHERE (client_id, turn_id) NOT IN (SELECT (client_id, turn_id) FROM s WHERE segment_index >= 4)
+      AND (client_id, turn_id) NOT IN (SELECT (client_id, turn_id) FROM s WHERE size > 400) AND (client_id, turn_id) NOT IN (SELECT (client_id, turn_id) FROM s WHERE room = 0 AND segment_index = 0)""")
+def pruned_turns(spark, d):
+    """State of turns that are neither in the history, nor pending, nor active."""
+    s = _turn_segments(spark, d)
+    state = s.select("client_id", "turn_id").distinct()
+    return turns.to_prune(state, s.where("segment_index >= 4"), s.where("size > 400"), s.where("room = 0 and segment_index = 0"))
+
+
+#: Parts as locked assets with the hash that their file should have; some files are gone, some have changed.
+_ASSET_SQL = """SELECT p_partkey AS id, 'm/' || p_partkey AS path, CASE WHEN p_partkey % 7 = 0 THEN 'missing' WHEN p_partkey % 5 = 0 THEN 'corrupted' ELSE 'valid' END AS kind,
+    CASE WHEN p_partkey % 7 <> 0 AND p_partkey % 5 = 0 THEN sha256(p_name || '!') END AS actual_sha256 FROM part"""
+
+
+def _assets(spark, d):
+    p = table(spark, d, "part").withColumn("path", F.concat(F.lit("m/"), F.col("p_partkey").cast("string")))
+    lock = p.select(F.col("p_partkey").alias("id"), "path", sha256(F.col("p_name")).alias("sha256"))
+    content = F.when(F.col("p_partkey") % 5 == 0, F.concat("p_name", F.lit("!"))).otherwise(F.col("p_name"))
+    return lock, p.where("p_partkey % 7 <> 0").select("path", content.cast("binary").alias("content"))
+
+
+@query("C19_B24_asset_status", _ASSET_SQL)
+def asset_status(spark, d):
+    """Each locked asset with its file: missing, valid, or corrupted with the hash that was found."""
+    return io.asset_status(*_assets(spark, d)).select("id", "path", "status.kind", "status.actual_sha256")
 
 
-@query("C9_missing_assets", "SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem)")
+@query("C9_G3_missing_assets", f"SELECT id FROM ({_ASSET_SQL}) WHERE kind <> 'valid'")
 def missing_assets(spark, d):
-    """Rows without a partner."""
-    p, l = table(spark, d, "part"), table(spark, d, "lineitem")
-    return p.join(l, p["p_partkey"] == l["l_partkey"], "left_anti").select("p_partkey")
+    """Assets that a model can't start without: those that are not there as locked."""
+    lock, files = _assets(spark, d)
+    valid = io.asset_status(lock, files).where("status.kind = 'valid'").select("id")
+    return lock.join(valid, "id", "left_anti").select("id")
 
 
-@query("C10_C19_D25_verification", """
-    SELECT state, count(*) AS n FROM (SELECT CASE WHEN l.doc_id IS NULL THEN 'missing' WHEN l.quality = 1 THEN 'valid' ELSE 'corrupted' END AS state FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id) GROUP BY state""")
+@query("C10_D25_verification", f"SELECT kind, count(*) AS n, bool_or(kind <> 'valid') AS needs_download FROM ({_ASSET_SQL}) GROUP BY kind")
 def verification(spark, d):
-    """Each entry with its report: missing, valid or corrupted."""
-    t = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id", "left")
-    return t.groupBy(F.when(F.col("quality").isNull(), "missing").when(F.col("quality") == 1, "valid").otherwise("corrupted").alias("state")).agg(F.count("*").alias("n"))
+    """Entries of the lock by the state that their report has; what has no report needs a download."""
+    lock, files = _assets(spark, d)
+    report = io.asset_status(lock, files).where("status.kind <> 'missing'").select("id", "status")
+    kind = F.coalesce("status.kind", F.lit("missing"))
+    return lock.join(report, "id", "left").groupBy(kind.alias("kind")).agg(F.count("*").alias("n"), F.bool_or(kind != "valid").alias("needs_download"))
 
 
-@query("C12_turn_segments", "SELECT o_orderkey, l_linenumber, l_partkey FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderstatus = 'F'")
+@query("C12_turn_segments", f"SELECT client_id, turn_id, string_agg(CAST(segment_index AS VARCHAR), ',' ORDER BY segment_index) AS segments FROM ({_TURN_SQL}) GROUP BY ALL")
 def turn_segments(spark, d):
-    """A turn's segments."""
-    o, l = table(spark, d, "orders").where("o_orderstatus = 'F'"), table(spark, d, "lineitem")
-    return o.join(l, o["o_orderkey"] == l["l_orderkey"]).select("o_orderkey", "l_linenumber", "l_partkey")
+    """A turn's segments in order."""
+    return turns.gathered(_turn_segments(spark, d), ["client_id", "turn_id"], "segment_index").select("client_id", "turn_id", F.array_join(F.transform("segments", lambda s: s["segment_index"].cast("string")), ",").alias("segments"))
 
 
 @query("C17_not_stale", """

@@ -5,12 +5,24 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions import audio, hashing
+from ..functions import audio, boundary, hashing
 from ..operators import idempotency, identity, metrics, sessions
 from ..registry import query
+from ..streaming import stateful
 from .common import micros, table
 
 
+def _stub_model():
+    """Stand-in for a model: a name in capitals; every fifth isn't there."""
+
+    def run(row: dict) -> dict:
+        if row["model"] % 5 == 0:
+            raise ValueError("no such model")
+        return {"actual": row["p_name"].upper()}
+
+    return run
+
+
 @query("D9_latency", """
     SELECT event_type, max(value) AS max_ms, sum(CAST(round(value * 100) AS BIGINT)) / 100.0 AS total_ms, max_by(value, event_id) AS last_ms, round(sum(CAST(round(value * 100) AS BIGINT)) / 100.0 / greatest(1, count(*)), 1) AS avg_ms FROM events GROUP BY event_type""")
 def latency(spark, d):
@@ -28,8 +40,7 @@ def nearest_rank(spark, d):
     """Nearest-rank percentiles, from counts by value instead of a list of all values."""
     l = table(spark, d, "lineitem").select("l_returnflag", "l_extendedprice")
     base = l.groupBy("l_returnflag").agg(F.round(F.avg("l_extendedprice"), 4).alias("mean_ms"), F.min("l_extendedprice").alias("min_ms"), F.max("l_extendedprice").alias("max_ms"))
-    rank = lambda p, name: metrics.histogram_rank(l, ["l_returnflag"], "l_extendedprice", p).withColumnRenamed("rank_value", name)
-    return base.join(rank(0.5, "p50_ms"), "l_returnflag").join(rank(0.95, "p95_ms"), "l_returnflag")
+    return base.join(metrics.histogram_ranks(l, ["l_returnflag"], "l_extendedprice", {"p50_ms": 0.5, "p95_ms": 0.95}), "l_returnflag")
 
 
 @query("D11_half_even_rank", "SELECT l_orderkey, list_sort(list(l_quantity))[CAST(round_even((count(*) - 1) * 0.5, 0) AS BIGINT) + 1] AS p50 FROM lineitem GROUP BY l_orderkey")
@@ -51,18 +62,23 @@ def stage_summary(spark, d):
     """Stages turned to rows and summed up each on its own."""
     l = table(spark, d, "lineitem").select("l_returnflag", "l_quantity", "l_discount", "l_tax")
     s = l.unpivot("l_returnflag", ["l_quantity", "l_discount", "l_tax"], "stage", "ms")
-    p50 = metrics.histogram_rank(s, ["l_returnflag", "stage"], "ms", 0.5).withColumnRenamed("rank_value", "p50_ms")
+    p50 = metrics.histogram_ranks(s, ["l_returnflag", "stage"], "ms", {"p50_ms": 0.5})
     return s.groupBy("l_returnflag", "stage").agg(F.round(F.avg("ms"), 6).alias("mean_ms")).join(p50, ["l_returnflag", "stage"])
 
 
 @query("D14_D28_candidate_scores", """
-    SELECT source, count(*) AS cases, avg(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS exact_rate, count(*) FILTER (quality <> 1) AS mismatches, bool_and(quality = 1) AS all_match, count(*) FILTER (toxic = 1) AS flagged
-    FROM documents JOIN labels USING (doc_id) GROUP BY source""")
+    WITH c AS (SELECT unnest(['keep', 'lower', 'plain']) AS candidate, item_id, text AS reference FROM benchmark),
+    o AS (SELECT *, CASE candidate WHEN 'keep' THEN reference WHEN 'lower' THEN lower(reference) ELSE regexp_replace(reference, '[.,]', '', 'g') END AS output, (item_id % 7 + 1) * 1.5 AS ms FROM c),
+    s AS (SELECT *, output = reference AS exact, regexp_replace(output, '[^.,:?!]', '', 'g') = regexp_replace(reference, '[^.,:?!]', '', 'g') AS marks,
+      CASE candidate WHEN 'keep' THEN 0 WHEN 'lower' THEN length(regexp_replace(reference, '\\P{Lu}', '', 'g')) ELSE length(reference) - length(output) END / greatest(1, length(reference)) AS rate FROM o)
+    SELECT candidate, count(*) AS cases, count(*) FILTER (exact) AS exact, count(*) FILTER (exact) / count(*) AS exact_rate, count(*) FILTER (marks) AS punctuation_exact, count(*) FILTER (marks) / count(*) AS punctuation_rate,
+      round(avg(rate), 9) AS mean_edit_rate, count(*) FILTER (NOT (exact AND marks)) AS mismatches, bool_and(exact AND marks) AS all_match, avg(ms) AS mean_ms FROM s GROUP BY candidate""")
 def candidate_scores(spark, d):
-    """Rates and mismatches of each candidate."""
-    t = table(spark, d, "documents").select("doc_id", "source").join(table(spark, d, "labels"), "doc_id")
-    ok = F.col("quality") == 1
-    return t.groupBy("source").agg(F.count("*").alias("cases"), F.avg(ok.cast("int")).alias("exact_rate"), F.count_if(~ok).alias("mismatches"), F.bool_and(ok).alias("all_match"), F.count_if(F.col("toxic") == 1).alias("flagged"))
+    """Three candidates (the text itself, in lower case, without commas and full stops) scored against the benchmark's texts."""
+    b = table(spark, d, "benchmark").select(F.explode(F.array(F.lit("keep"), F.lit("lower"), F.lit("plain"))).alias("candidate"), "item_id", F.col("text").alias("reference"))
+    output = F.when(F.col("candidate") == "keep", F.col("reference")).when(F.col("candidate") == "lower", F.lower("reference")).otherwise(F.regexp_replace("reference", "[.,]", ""))
+    cases = b.select("candidate", "reference", output.alias("output"), ((F.col("item_id") % 7 + 1) * 1.5).alias("elapsed_ms"))
+    return metrics.candidate_scores(cases, "candidate").withColumn("mean_edit_rate", F.round("mean_edit_rate", 9))
 
 
 @query("D15_turn_summary", """
@@ -80,25 +96,51 @@ def size_and_speed(spark, d):
     return table(spark, d, "documents").groupBy("lang").agg(b.alias("bytes"), metrics.real_time_factor(b, n).alias("factor"))
 
 
-@query("D29_D30_probe_results", "SELECT doc_id, quality IS NULL OR quality = 1 AS passed, CASE WHEN toxic = 1 THEN 'flagged' END AS error FROM documents LEFT JOIN labels USING (doc_id)")
+@query("D29_D30_probe_results", """
+    SELECT p_partkey AS model, CASE WHEN p_partkey % 5 = 0 THEN NULL ELSE upper(p_name) END AS actual, CASE WHEN p_partkey % 5 = 0 THEN 'ValueError: no such model' END AS error,
+      p_partkey % 5 <> 0 AND (p_partkey % 4 = 0 OR p_partkey % 3 <> 0) AS passed FROM part""")
 def probe_results(spark, d):
-    """Actual against expected, where nothing expected counts as equal."""
-    t = table(spark, d, "documents").select("doc_id").join(table(spark, d, "labels"), "doc_id", "left")
-    return t.select("doc_id", (F.col("quality").isNull() | (F.col("quality") == 1)).alias("passed"), F.when(F.col("toxic") == 1, "flagged").alias("error"))
+    """Each model probed by a call (a stand-in puts names in capitals and fails for some); a failure is a row, not the end."""
+    expected = F.when(F.col("p_partkey") % 4 == 0, F.lit(None)).when(F.col("p_partkey") % 3 == 0, F.lit("other")).otherwise(F.upper("p_name"))
+    rows = table(spark, d, "part").select(F.col("p_partkey").alias("model"), "p_name", expected.alias("expected"))
+    return metrics.probed(boundary.called(rows, "probe", _stub_model, ["model", "p_name"], "actual string")).select("model", "actual", "error", "passed")
+
+
+#: Orders as cached answers: the order's date is the expiry, its status the reply's and whether work on it is done.
+_CACHE_SQL = """WITH r AS (SELECT o_orderkey, sha256(CAST(o_orderkey AS VARCHAR)) AS key_hash, epoch_us(o_orderdate) // 1000 AS expires_at_ms,
+    CASE o_orderstatus WHEN 'O' THEN 200 WHEN 'F' THEN 404 ELSE 202 END AS status, o_orderstatus <> 'P' AS completed FROM orders)"""
+_CACHE_NOW = 820_454_400_000
+
 
+def _cache(spark, d):
+    o, state = table(spark, d, "orders"), F.col("o_orderstatus")
+    status = F.when(state == "O", 200).when(state == "F", 404).otherwise(202)
+    return o.select(hashing.sha256(F.col("o_orderkey").cast("string")).alias("key_hash"), F.floor(micros("o_orderdate") / 1000).alias("expires_at_ms"), status.alias("status"), (state != "P").alias("completed"))
 
-@query("F6_cache_load", "SELECT o_orderkey FROM orders WHERE o_orderdate > TIMESTAMP '1996-01-01' AND o_orderstatus = 'O' ORDER BY o_orderdate DESC, o_orderkey LIMIT 1000")
+
+@query("F6_cache_load", _CACHE_SQL + f"SELECT key_hash, expires_at_ms, status FROM r WHERE expires_at_ms > {_CACHE_NOW} AND status BETWEEN 200 AND 299 ORDER BY expires_at_ms DESC, key_hash LIMIT 1000")
 def cache_load(spark, d):
     """Unexpired answers, latest expiry first; the limit is the feature."""
-    o = table(spark, d, "orders").where("o_orderdate > timestamp_ntz '1996-01-01' and o_orderstatus = 'O'")
-    return o.orderBy(F.desc("o_orderdate"), "o_orderkey").limit(1000).select("o_orderkey")
+    return idempotency.cache_to_load(_cache(spark, d), _CACHE_NOW, 1000).select("key_hash", "expires_at_ms", "status")
+
+
+@query("F7_cache_files_to_delete", _CACHE_SQL + "SELECT key_hash FROM (SELECT key_hash, row_number() OVER (ORDER BY expires_at_ms DESC, key_hash) AS n FROM r) WHERE n > 500")
+def cache_files(spark, d):
+    """all files but those of the 500 newest answers."""
+    return idempotency.files_to_delete(_cache(spark, d), 500).select("key_hash")
+
 
+@query("F8_cache_evictions", _CACHE_SQL + "SELECT key_hash FROM (SELECT key_hash, row_number() OVER (ORDER BY expires_at_ms, key_hash) AS n FROM r WHERE completed) WHERE n <= (SELECT greatest(0, count(*) - 600) FROM r)")
+def cache_evictions(spark, d):
+    """F8: completed answers that expire soonest, as many as are over 600; work in progress stays."""
+    return idempotency.to_evict(_cache(spark, d), 600).select("key_hash")
 
-@query("F7_F8_cleanup", "SELECT l_orderkey, l_linenumber FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate DESC, l_linenumber) AS n FROM lineitem) WHERE n > 2")
-def cleanup(spark, d):
-    """All but the two newest of each key."""
-    w = Window.partitionBy("l_orderkey").orderBy(F.desc("l_shipdate"), "l_linenumber")
-    return table(spark, d, "lineitem").withColumn("n", F.row_number().over(w)).where("n > 2").select("l_orderkey", "l_linenumber")
+
+@query("A30_cache_files", _CACHE_SQL + f"SELECT key_hash, expires_at_ms, status FROM r WHERE expires_at_ms > {_CACHE_NOW} AND status BETWEEN 200 AND 299")
+def cache_files_read(spark, d):
+    """Answers as JSON records, and what of them is read back: unexpired successes."""
+    lines = _cache(spark, d).select(F.to_json(F.struct("key_hash", "expires_at_ms", "status")).alias("record"))
+    return idempotency.loadable(lines.select(F.from_json("record", "key_hash string, expires_at_ms bigint, status int").alias("r")).select("r.*"), _CACHE_NOW)
 
 
 @query("G4_first_of_length", "SELECT source, n_chars, min(doc_id) AS doc_id FROM documents GROUP BY source, n_chars")
@@ -136,12 +178,12 @@ def membership(spark, d):
 
 
 @query("H44_C7_dot_products", """
-    SELECT a.vec_id AS query_id, b.vec_id, round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id AND a.vec_id % 50 = 0""")
+    SELECT a.vec_id AS query_id, b.vec_id, round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id AND a.vec_id % 50 = 0""")
 def dot_products(spark, d):
     """Inner products of queries with the rows of their room."""
     e = table(spark, d, "embeddings")
     q = e.where("vec_id % 50 = 0").select("label", F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    p = q.join(e, "label").where("query_id < vec_id")
+    p = q.join(e, "label").where("query_id <> vec_id")
     return p.select("query_id", "vec_id", F.round(identity.dot(F.col("q"), F.col("embedding")), 6).alias("score"))
 
 
@@ -191,13 +233,14 @@ def quantise(spark, d):
     return table(spark, d, "events").select("event_id", audio.quantise((F.col("value") - 245) / 200).alias("sample"))
 
 
-@query("H48_decoder_padding", "SELECT vec_id, 100 AS padded, list_sum(embedding::DOUBLE[]) AS total, 18 AS first_sample FROM embeddings")
+@query("H48_decoder_padding", """
+    WITH e AS (SELECT vec_id, embedding[1:vec_id % 65]::DOUBLE[] AS x FROM embeddings), n AS (SELECT *, greatest(0, 40 - len(x)) AS missing FROM e)
+    SELECT vec_id, array_to_string(list_transform(list_concat(list_concat(list_resize([]::DOUBLE[], missing // 2, 0.0), x), list_resize([]::DOUBLE[], missing - missing // 2, 0.0)), lambda v: CAST(round(v * 1000000) AS BIGINT)), ',') AS padded FROM n""")
 def decoder_padding(spark, d):
-    """Zeros on both sides up to a least length."""
-    p = table(spark, d, "embeddings").select("vec_id", "embedding", audio.pad_for_decoder(F.transform("embedding", lambda x: x.cast("double")), 100).alias("p"))
-    total = F.aggregate("p", F.lit(0.0), lambda s, x: s + x)
-    first = F.when(F.get("p", F.lit(18)) == F.get("embedding", F.lit(0)).cast("double"), 18).otherwise(-1)
-    return p.select("vec_id", F.size("p").alias("padded"), total.alias("total"), first.alias("first_sample"))
+    """Arrays of 0 to 64 samples with zeros on both sides up to 40, the one more on the right."""
+    e = table(spark, d, "embeddings").select("vec_id", F.slice("embedding", 1, (F.col("vec_id") % 65).cast("int")).alias("x"))
+    p = e.select("vec_id", audio.pad_for_decoder(F.transform("x", lambda v: v.cast("double")), 40).alias("p"))
+    return p.select("vec_id", F.array_join(F.transform("p", lambda v: F.round(v * 1_000_000).cast("bigint").cast("string")), ",").alias("padded"))
 
 
 @query("H51_H52_hashes", "SELECT p_partkey, sha256(p_name) AS name_hash FROM part")
@@ -261,13 +304,17 @@ def idempotent(spark, d):
     return idempotency.statuses(r).select("key", F.col("seq").cast("int").alias("seq"), "idempotency_status")
 
 
-@query("S20_H61_token_bucket")
+@query("S20_H61_token_bucket", """
+    WITH RECURSIVE e AS (SELECT user_id AS client_id, event_id, epoch_us(ts) AS t, CAST(floor(value) AS BIGINT) * 640 AS size, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+    b AS (SELECT client_id, event_id, t, n, size <= 320000.0 AS accepted, CASE WHEN size <= 320000.0 THEN 320000.0::DOUBLE - size ELSE 320000.0::DOUBLE END AS tokens FROM e WHERE n = 1
+      UNION ALL SELECT e.client_id, e.event_id, e.t, e.n, e.size <= least(320000.0::DOUBLE, b.tokens + (e.t - b.t) / 1e6 * 5.0),
+        least(320000.0::DOUBLE, b.tokens + (e.t - b.t) / 1e6 * 5.0) - CASE WHEN e.size <= least(320000.0::DOUBLE, b.tokens + (e.t - b.t) / 1e6 * 5.0) THEN e.size ELSE 0 END
+      FROM b JOIN e ON e.client_id = b.client_id AND e.n = b.n + 1)
+    SELECT client_id, event_id, accepted, round(tokens, 3) AS tokens FROM b""")
 def token_bucket(spark, d):
     """Which packets the token bucket of each client lets through."""
-    from ..streaming.stateful import bucket_fold
-
     e = table(spark, d, "events").select(F.col("user_id").alias("client_id"), micros("ts").alias("ts_us"), "event_id", (F.floor("value") * 640).cast("bigint").alias("size"))
-    return e.groupBy("client_id").applyInPandas(bucket_fold(rate=5.0, burst=320_000.0), "client_id bigint, event_id bigint, accepted boolean, tokens double")
+    return stateful.admitted(e, rate=5.0, burst=320_000.0).withColumn("tokens", F.round("tokens", 3))
 
 
 @query("S1_reframing", """
@@ -282,11 +329,12 @@ def reframing(spark, d):
 
 @query("S9_two_hit_confirmation")
 def two_hits(spark, d):
-    """Previews that a second, similar one confirms."""
-    from ..streaming.stateful import confirm_fold
-
-    c = table(spark, d, "conversations").select("conv_id", "turn", "text")
-    return c.groupBy("conv_id").applyInPandas(confirm_fold, "conv_id bigint, turn bigint, confirmed string")
+    """Previews of a turn (its first half, three quarters, and the whole of it twice) that a second, similar one confirms."""
+    w = F.split(F.col("text"), " ")
+    part = lambda share: F.array_join(F.slice(w, F.lit(1), F.ceil(F.size(w) * share).cast("int")), " ")
+    previews = F.posexplode(F.array(part(0.5), part(0.75), F.col("text"), F.col("text"))).alias("preview", "text")
+    c = table(spark, d, "conversations").select("conv_id", "turn", previews)
+    return c.groupBy("conv_id", "turn").applyInPandas(stateful.confirm_fold, "conv_id bigint, turn bigint, preview int, confirmed string")
 
 
 @query("S21_latest_wins", "SELECT user_id, max(event_id) AS event_id, max_by(value, event_id) AS value FROM events GROUP BY user_id, epoch_us(ts) // 3600000000 // 24")
@@ -304,15 +352,28 @@ def wav_round_trip(spark, d):
     return p.select("item_id", "wav_bytes", "p.sample_rate", "p.channels", "p.duration")
 
 
-@query("D1_pcm_levels")
+@query("D1_pcm_levels", """
+    WITH h AS (SELECT item_id, hex(encode(text)) AS h, strlen(text) // 2 AS n FROM benchmark),
+    s AS (SELECT item_id, n, list_transform(range(0, n), lambda i: CAST('0x' || h[4 * i + 3:4 * i + 4] || h[4 * i + 1:4 * i + 2] AS INTEGER)) AS u FROM h),
+    v AS (SELECT item_id, n, list_transform(u, lambda x: CAST(CASE WHEN x >= 32768 THEN x - 65536 ELSE x END AS BIGINT)) AS x FROM s)
+    SELECT item_id, CASE WHEN n = 0 THEN 0 ELSE round(sqrt(list_sum(list_transform(x, lambda y: y * y)) / n) / 32768, 9) END AS rms, CASE WHEN n = 0 THEN 0 ELSE list_max(list_transform(x, lambda y: abs(y))) / 32768.0 END::DOUBLE AS peak FROM v""")
 def pcm_levels(spark, d):
     """Root mean square and peak of binary samples."""
     b = table(spark, d, "benchmark").select("item_id", audio.pcm_stats(F.col("text").cast("binary")).alias("s"))
-    return b.select("item_id", "s.rms", "s.peak")
+    return b.select("item_id", F.round("s.rms", 9).alias("rms"), "s.peak")
 
 
-@query("A15_audio_slices", "SELECT item_id, substring(text, 33, 64) AS slice FROM benchmark WHERE regexp_full_match(text, '[\\x00-\\x7F]*')")
+@query("A15_audio_slices", "SELECT item_id, substring(hex(encode(text)), 65, 128) AS slice FROM benchmark")
 def audio_slices(spark, d):
-    """A slice of audio by time."""
-    b = table(spark, d, "benchmark").where(F.col("text").rlike(r"^[\x00-\x7F]*$"))
-    return b.select("item_id", audio.slice_pcm(F.col("text").cast("binary"), F.lit(0.001), F.lit(0.002)).cast("string").alias("slice"))
+    """A slice of audio by time."""
+    return table(spark, d, "benchmark").select("item_id", F.hex(audio.slice_pcm(F.col("text").cast("binary"), F.lit(0.001), F.lit(0.002))).alias("slice"))
+
+
+@query("H63_collected_samples", """
+    WITH h AS (SELECT item_id, hex(encode(text)) AS h, strlen(text) // 2 AS n FROM benchmark)
+    SELECT item_id, substring(h, 1, 4 * least(20, n)) || substring(h, 121, 4 * greatest(0, least(80, n - 30))) || substring(h, 161, 4 * greatest(0, least(80 - greatest(0, least(80, n - 30)), n - 40))) AS samples FROM h""")
+def collected_samples(spark, d):
+    """The samples of several ranges, held to what there is and to 100 in all."""
+    span = lambda a, b: F.struct(F.lit(a).alias("start"), F.lit(b).alias("end"))
+    ranges = F.array(span(-5, 20), span(9, 9), span(30, 130), span(40, 100_000))
+    return table(spark, d, "benchmark").select("item_id", F.hex(audio.collect_samples(F.col("text").cast("binary"), ranges, 100)).alias("samples"))

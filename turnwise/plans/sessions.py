@@ -234,7 +234,7 @@ def prefix_by_share(spark, d):
 def groups_by_start(spark, d):
     """groups in the order of their earliest start."""
     g = table(spark, d, "events").groupBy("user_id").agg(F.min("ts").alias("started_at"))
-    return g.withColumn("place", F.row_number().over(Window.orderBy("started_at", "user_id")).cast("bigint"))
+    return sessions.ranked(g, micros("started_at"), ["started_at", "user_id"], "place")
 
 
 @query("S1_S3_vad_segments")

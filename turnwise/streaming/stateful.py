@@ -12,9 +12,11 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..functions.text import match_ratio
 from ..operators import identity, turns, vad
+from ..operators.sessions import stretches
 
 _STATE = "state binary"
 
@@ -23,27 +25,52 @@ def _load(state, fresh: Callable):
     return pickle.loads(state.get[0]) if state.exists else fresh()
 
 
-def vad_stream(frames: DataFrame, limits: vad.Limits = vad.LIMITS) -> DataFrame:
+def vad_stream(frames: DataFrame, limits: vad.Limits = vad.LIMITS, judge: vad.Judge | None = None, timeout_ms: int | None = None) -> DataFrame:
     """Segments of a stream of frames (client_id long, ts_ms, frame_no, rms, peak, and end: the capture's last frame).
 
     A frame below the newest one seen of its client is out of order; the source must deliver a
-    client's frames in order, as a socket does.
+    client's frames in order, as a socket does. ``end`` is a client's leaving: what runs is flushed,
+    and the client's state goes. With ``timeout_ms`` so does that of a client of which nothing has come
+    for so long (by the watermark of a timestamp column, which ``frames`` must then have).
     """
 
     def work(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        now = _load(state, vad.State)
-        group = pd.concat(list(batches)).sort_values(["ts_ms", "frame_no"])
+        now, last = _load(state, lambda: (vad.State(), 0))
         out = []
-        for f in group.itertuples():
-            out += vad.step(now, f.ts_ms, f.rms, f.peak, limits)
-            if f.end:
-                out += vad.finish(now, f.ts_ms, limits)
-        state.update((pickle.dumps(now),))
+        left = state.hasTimedOut
+        if left:
+            out += vad.judged(now, vad.finish(now, last, limits), judge, limits)
+        else:
+            for f in pd.concat(list(batches)).sort_values(["ts_ms", "frame_no"]).itertuples():
+                now, last, left = vad.State() if left else now, f.ts_ms, bool(f.end)
+                out += vad.judged(now, vad.step(now, f.ts_ms, f.rms, f.peak, limits), judge, limits)
+                if left:
+                    out += vad.judged(now, vad.finish(now, f.ts_ms, limits), judge, limits)
+        if left:
+            if state.exists:
+                state.remove()
+        else:
+            state.update((pickle.dumps((now, last)),))
+            if timeout_ms is not None:
+                state.setTimeoutTimestamp(max(last + timeout_ms, state.getCurrentWatermarkMs() + 1))
         frame = pd.DataFrame(out, columns=vad.COLUMNS)
         frame.insert(0, "client_id", key[0])
         yield frame
 
-    return frames.groupBy("client_id").applyInPandasWithState(work, f"client_id long, {vad.KINDS}", _STATE, "append", "NoTimeout")
+    wait = "NoTimeout" if timeout_ms is None else "EventTimeTimeout"
+    return frames.groupBy("client_id").applyInPandasWithState(work, f"client_id long, {vad.KINDS}", _STATE, "append", wait)
+
+
+def drain(query, timeout_s: float | None = None) -> dict:
+    """Stops a stream once all that has come is processed, so that nothing that waits is lost; what comes later stays
+    with the source for the next start from the checkpoint. Gives the last progress. Raises what the stream failed with."""
+    if query.isActive:
+        query.processAllAvailable()
+        query.stop()
+    query.awaitTermination(timeout_s) if timeout_s is not None else query.awaitTermination()
+    if query.exception() is not None:
+        raise query.exception()
+    return dict(query.lastProgress or {})
 
 
 def turn_stream(hypotheses: DataFrame) -> DataFrame:
@@ -100,6 +127,18 @@ def take(tokens: float, before_us: int | None, now_us: int, size: int, rate: flo
     return (True, tokens - size) if size <= tokens else (False, tokens)
 
 
+def admitted(packets: DataFrame, rate: float = 128_000.0, burst: float = 320_000.0) -> DataFrame:
+    """client_id, event_id, accepted, tokens of packets (client_id, ts_us, event_id, size).
+
+    A bucket is full again after a pause of ``burst / rate`` seconds, so a client is folded by the
+    stretches between such pauses, not as a whole.
+    """
+    cut = stretches(packets, ["client_id"], F.col("ts_us"), ["ts_us", "event_id"], int(burst / rate * 1e6))
+    kinds = dict(packets.dtypes)
+    schema = f"client_id {kinds['client_id']}, event_id {kinds['event_id']}, accepted boolean, tokens double"
+    return cut.select("client_id", "_stretch", "ts_us", "event_id", "size").groupBy("client_id", "_stretch").applyInPandas(bucket_fold(rate, burst), schema)
+
+
 def bucket_fold(rate: float = 128_000.0, burst: float = 320_000.0) -> Callable[[pd.DataFrame], pd.DataFrame]:
     """Which packets (client_id, ts_us, event_id, size) of one client pass."""
 
@@ -143,13 +182,13 @@ def confirm(candidate: str, hits: int, last: str, text: str, least: float = 0.72
 
 
 def confirm_fold(group: pd.DataFrame) -> pd.DataFrame:
-    """Confirmed previews of one conversation (conv_id, turn, text)."""
+    """Confirmed previews of one turn (conv_id, turn, preview, text; in the order of preview)."""
     state, out = ("", 0, ""), []
-    for r in group.sort_values("turn").itertuples():
+    for r in group.sort_values("preview").itertuples():
         *state, shown = confirm(*state, r.text)
         if shown is not None:
-            out.append((r.conv_id, r.turn, shown))
-    return pd.DataFrame(out, columns=["conv_id", "turn", "confirmed"])
+            out.append((r.conv_id, r.turn, r.preview, shown))
+    return pd.DataFrame(out, columns=["conv_id", "turn", "preview", "confirmed"])
 
 
 def idempotent_stream(requests: DataFrame, ttl_ms: int = 24 * 3600 * 1000) -> DataFrame:
