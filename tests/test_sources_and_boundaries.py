@@ -115,6 +115,7 @@ def test_configuration_is_one_file_with_settings(spark, tmp_path):
     (tmp_path / "empty.toml").write_text("")
     with pytest.raises(ValueError, match="no settings"):
         io.config(spark, str(tmp_path / "empty.toml"))
+    (tmp_path / "two.toml").write_text("a = 1\n")
     with pytest.raises(ValueError, match="not one file"):
         io.config(spark, str(tmp_path))
 

@@ -32,6 +32,11 @@ def upper_median(x: str) -> Column:
     return F.element_at(s, (F.floor(F.size(s) / 2) + 1).cast("int"))
 
 
+def tree_size(files: DataFrame, key: str) -> DataFrame:
+    """Files and bytes of each key, from a listing (as of the ``binaryFile`` source: path, length)."""
+    return files.groupBy(key).agg(F.count("*").alias("files"), F.sum("length").cast("bigint").alias("bytes"))
+
+
 def real_time_factor(elapsed: Column, duration: Column) -> Column:
     return F.when(duration > 0, elapsed / duration).otherwise(0.0)
 

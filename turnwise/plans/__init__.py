@@ -1,5 +1,5 @@
 """The queries, by family. Importing this package registers them."""
 
-from . import conversation, intervals, measures, pipeline, sessions, text
+from . import boundaries, conversation, intervals, measures, pipeline, sessions, text
 
-__all__ = ["conversation", "intervals", "measures", "pipeline", "sessions", "text"]
+__all__ = ["boundaries", "conversation", "intervals", "measures", "pipeline", "sessions", "text"]

@@ -88,14 +88,6 @@ def turn_summary(spark, d):
     return table(spark, d, "conversations").groupBy("conv_id").agg(F.min("turn").alias("first_turn"), F.max("turn").alias("last_turn"), F.sum(F.length("text")).alias("chars"), F.count_if(F.col("role") == "user").alias("asked"), F.max_by("role", "turn").alias("last_role"))
 
 
-@query("D26_D27_size_and_speed", """
-    SELECT lang, CAST(sum(strlen(text)) AS BIGINT) AS bytes, CASE WHEN sum(n_chars) > 0 THEN sum(strlen(text)) / sum(n_chars) ELSE 0 END AS factor FROM documents GROUP BY lang""")
-def size_and_speed(spark, d):
-    """Bytes in all and the real-time factor."""
-    b, n = F.sum(F.octet_length("text")), F.sum("n_chars")
-    return table(spark, d, "documents").groupBy("lang").agg(b.alias("bytes"), metrics.real_time_factor(b, n).alias("factor"))
-
-
 @query("D29_D30_probe_results", """
     SELECT p_partkey AS model, CASE WHEN p_partkey % 5 = 0 THEN NULL ELSE upper(p_name) END AS actual, CASE WHEN p_partkey % 5 = 0 THEN 'ValueError: no such model' END AS error,
       p_partkey % 5 <> 0 AND (p_partkey % 4 = 0 OR p_partkey % 3 <> 0) AS passed FROM part""")
