@@ -12,28 +12,45 @@ from turnwise.llm import bpe, mixing, pii, quality, simhash
 from turnwise.llm.common import shared_folder, table
 
 
+# What holds for every stage: of an empty table the result is empty; all columns stay under their names, whatever others
+# there are; texts are read whole, however long; a null doc_id or source is a value like any other.
+
+
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that importance resampling keeps."""
-    return quality.classified(docs, table(spark, sf_dir, "labels")).where("kept").select(*docs.columns)
+    """Documents that importance resampling keeps.
+
+    Null and blank texts go. Repeated rows are judged alike, as the draw depends on id and text only.
+    """
+    return quality.selected(docs, table(spark, sf_dir, "labels"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates: the one with the least id."""
+    """One document of each class of near-duplicates: the one with the least id, a null id last.
+
+    Copies are told by the rule of the SimHash operator: fingerprints of four-word shingles that differ in at most
+    four bits (README has how alike two texts then are). Of repeated rows one stays; null and blank texts are one class.
+    """
     return simhash.survivors(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data masked; n_chars counts the new text."""
+    """Personal data masked; n_chars counts the new text. Null texts stay null (and n_chars with them); rows stay as many as they are."""
     return pii.masked(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it: sources near their target numbers of words."""
+    """Each document as often as the mix takes it: sources near their target numbers of words.
+
+    Null sources are one source; texts without a word are not taken. Ties are drawn by a hash of the id, so reruns agree.
+    """
     return mixing.copied(docs)
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids (unsigned 32-bit little-endian), and digests of the ids and of what they decode to."""
+    """doc_id, n_tokens, ids (unsigned 32-bit little-endian), and digests of the ids and of what they decode to.
+
+    A null text has no ids. Repeated rows are encoded as often as they come.
+    """
     coded = bpe.encoded(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"))
     return coded.select(
         "doc_id",
