@@ -44,18 +44,18 @@ def dictionaries(training: DataFrame) -> dict[str, bytes]:
     at = F.xxhash64("doc_id")
     sample = named.groupBy("lang", F.pmod(at, F.lit(SAMPLE)).alias("place")).agg(F.min_by("doc_id", F.struct(F.xxhash64(at), "doc_id")).alias("doc_id"), F.count("*").alias("n"))
     sample = cut(sample)
-    # At most SAMPLE ids a language.
-    ids = sample.select("lang", "doc_id", "place")
-    texts = named.join(ids, ["doc_id", "lang"]).select("lang", "place", F.substring("text", 1, DICTIONARY).alias("text"), (F.length("text") <= DICTIONARY).alias("whole"))
-    # Of those, as many as fill a dictionary a few times over.
     upto = Window.partitionBy("lang").orderBy("place", "text").rowsBetween(Window.unboundedPreceding, -1)
-    texts = cut(texts.withColumn("before", F.coalesce(F.sum(F.length("text")).over(upto), F.lit(0))).where(F.col("before") <= 4 * DICTIONARY))
     out: dict[str, list[bytes]] = {}
     sizes: dict[str, int] = {}
     first: dict[str, bytes] = {}
-    langs = sorted(r.lang for r in texts.select("lang").distinct().collect())
+    langs = sorted(r.lang for r in sample.select("lang").distinct().collect())
     for at in range(0, len(langs), TOGETHER):
-        for row in sorted(texts.where(F.col("lang").isin(langs[at : at + TOGETHER])).collect(), key=lambda r: (r.lang, r.place, r.text)):
+        # SAMPLE ids of each of TOGETHER languages at most: few enough to broadcast, so no text is shuffled to find them.
+        ids = sample.where(F.col("lang").isin(langs[at : at + TOGETHER])).select("lang", "doc_id", "place")
+        texts = named.join(F.broadcast(ids), ["doc_id", "lang"]).select("lang", "place", F.substring("text", 1, DICTIONARY).alias("text"), (F.length("text") <= DICTIONARY).alias("whole"))
+        # Of those, as many as fill a dictionary a few times over.
+        texts = texts.withColumn("before", F.coalesce(F.sum(F.length("text")).over(upto), F.lit(0))).where(F.col("before") <= 4 * DICTIONARY)
+        for row in sorted(texts.collect(), key=lambda r: (r.lang, r.place, r.text)):
             data = plain(row.text) + b"\n"
             first.setdefault(row.lang, data[:DICTIONARY])
             if row.whole and sizes.get(row.lang, 0) + len(data) <= DICTIONARY:
