@@ -73,13 +73,21 @@ STAGES = [
 ORACLE_SQL = None
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages on ``documents``. Each result but the last is written as Parquet and read again.
 
-    The files are in the session's ``spark.checkpoint.dir``, in a folder of the run.
+    The files are in the session's ``spark.checkpoint.dir``, in a folder of the run. Each goes as
+    soon as the next stage is written; those that the result is computed from stay.
     """
     docs, here = table(spark, sf_dir, "documents"), f"{shared_folder(spark)}/pipeline-{uuid4().hex}"
     for i, (name, stage) in enumerate(STAGES[:-1]):
         stage(spark, docs, sf_dir).write.parquet(f"{here}/{i}-{name}")
         docs = spark.read.parquet(f"{here}/{i}-{name}")
+        if i:
+            _remove(spark, f"{here}/{i - 1}-{STAGES[i - 1][0]}")
     return STAGES[-1][1](spark, docs, sf_dir)
