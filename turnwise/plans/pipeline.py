@@ -227,7 +227,20 @@ def final_order(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", (F.col("turn") - before == 1).alias("in_order"), (F.col("text") != text).alias("changed"))
 
 
-@query("S17_diarised_regions")
+def _islands(table_: str, keys: str, name: str) -> str:
+    """Common table expressions that end with ``name``: the unions of half-open ranges (s, e) of ``table_`` within ``keys``."""
+    return f"""{name}_r AS (SELECT *, max(e) OVER (PARTITION BY {keys} ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM {table_} WHERE e > s),
+    {name}_i AS (SELECT *, sum(CASE WHEN reach IS NULL OR s > reach THEN 1 ELSE 0 END) OVER (PARTITION BY {keys} ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS island FROM {name}_r),
+    {name} AS (SELECT {keys}, min(s) AS s, max(e) AS e FROM {name}_i GROUP BY {keys}, island)"""
+
+
+@query("S17_diarised_regions", f"""
+    WITH u AS (SELECT user_id % 3 AS room, user_id AS label, epoch_us(ts) // 1000 // 10 AS s, (epoch_us(ts) // 1000 + 600000) // 10 AS e FROM events), {_islands("u", "room, label", "own")},
+    b AS (SELECT a.room, a.label, a.s AS bs, a.e AS be, greatest(a.s, b.s) AS s, least(a.e, b.e) AS e FROM own a JOIN own b ON a.room = b.room AND a.label <> b.label AND a.s < b.e AND b.s < a.e), {_islands("b", "room, label, bs, be", "m")},
+    g AS (SELECT room, label, s - coalesce(lag(e) OVER (PARTITION BY room, label, bs, be ORDER BY s), bs) AS n FROM m UNION ALL SELECT room, label, be - max(e) FROM m GROUP BY room, label, bs, be
+      UNION ALL SELECT room, label, e - s FROM own WHERE (room, label, s) NOT IN (SELECT (room, label, bs) FROM m)),
+    t AS (SELECT room, label, CAST(sum(n) AS BIGINT) AS clean_samples FROM g WHERE n >= 35 GROUP BY room, label)
+    SELECT room, label, clean_samples FROM (SELECT *, row_number() OVER (PARTITION BY room ORDER BY clean_samples DESC, label) AS place FROM t) WHERE place = 1""")
 def diarised_regions(spark, d):
     """Clean ranges of each local speaker, and the one with most of them."""
     from .common import utterances
