@@ -44,6 +44,10 @@ def lexed(text):
         f"K = '{KEY}'\nlogin(db_pwd=K)",
         f"a = '{KEY}'\nb = a\nc = b\nbearer = c",
         f"credential => '{KEY}'",
+        f'credential = """\n  first line\n  {KEY}\n"""',
+        f"bearer: |\n  {KEY}\n  more\nnext: 1",
+        f"signing-key: >-\n\t{KEY}",
+        f"{'x' * 400}_db_pwd = '{KEY}'",
     ],
 )
 def test_finds(text):
@@ -71,6 +75,9 @@ def test_offsets_are_code_points_and_base_hides_lexed():
 
 def test_long_text_is_linear():
     secrets.scan("a=" * 200_000)
+    secrets.scan(" a: |\n" * 50_000)
+    secrets.scan("a = \"\"\"" * 50_001)
+    secrets.scan("pwd " + "a" * 500_000 + "=1")
     secrets.scan("'" * 100_000 + "=" + '"' * 100_000)
 
 

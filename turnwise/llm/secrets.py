@@ -2,7 +2,8 @@
 
 The lexer reads source and configuration syntax into pairs of a target name and a value
 (``name = "x"``, ``"name": 'x'``, ``name := x``, ``name => x``, ``--name=x``, ``export NAME=x``),
-where a value is a literal, another name, or several joined by ``+`` or ``.``. Names that stand
+where a value is a literal, another name, several joined by ``+`` or ``.``, a text in triple quotes,
+or an indented block after ``|`` or ``>``, whose lines are literals each. Names that stand
 for literals are followed to them (constants, through any number of steps). A literal's score is
 the sensitivity of the most sensitive name it reaches, times how much it looks like a key rather
 than a word, a path or a placeholder. Literals that score at least ``LEAST`` are reported.
@@ -34,6 +35,10 @@ _TARGET = re.compile(
     re.A,
 )
 _TERM = re.compile(r"""[ \t]*(?:"((?:[^"\\\n]|\\.)*+)"|'((?:[^'\\\n]|\\.)*+)'|([^\s"'`,;()\[\]{}<>&|]+))""", re.A)
+_TRIPLE = re.compile(r"""[ \t]*+(\"{3}|'{3})""", re.A)
+#: An indented block after a mark, and one of its lines.
+_BLOCK = re.compile(r"[ \t]*[|>][+-]?[0-9]?[ \t]*\n((?:[ \t]++[^\n]*+(?:\n|\Z))++)", re.A)
+_LINE = re.compile(r"[^\s](?:[^\n]*[^\s])?", re.A)
 _JOIN = re.compile(r"[ \t]*(?:\+|\.(?=[ \t]*[\"'])|\.\.)", re.A)
 _IDENT = re.compile(r"[A-Za-z_$][A-Za-z0-9_$.\-]*", re.A)
 _WORD = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+", re.A)
@@ -67,14 +72,36 @@ def keylike(value: str) -> float:
     return min(1.0, entropy / 3.2) * (0.8 + 0.05 * classes)
 
 
+def _lines(text: str, at: int, missing: set[str]) -> tuple[list[tuple[int, int]], int]:
+    """The lines of a value in triple quotes or in an indented block that begins at ``at``, and where it ends.
+
+    No lines for another kind of value. ``missing`` has the quotes that don't occur any more, so that
+    no text is searched for them again and again.
+    """
+    if opened := _TRIPLE.match(text, at):
+        end = -1 if opened[1] in missing else text.find(opened[1], opened.end())
+        if end >= 0:
+            return [m.span() for m in _LINE.finditer(text, opened.end(), end)], end
+        missing.add(opened[1])
+    elif block := _BLOCK.match(text, at):
+        return [m.span() for m in _LINE.finditer(text, block.start(1), block.end(1))], block.end(1)
+    return [], at
+
+
 def lex(text: str) -> list[tuple[int, int, float]]:
     """(start, end, score) of the literals that reach a sensitive name."""
     defined: dict[str, list[int]] = {}
     pairs: list[tuple[str, list[int | str]]] = []
     literals: list[tuple[int, int]] = []
+    missing: set[str] = set()
+    whole = 0  # where the last value of several lines ends; none begins within it, so each line is taken once
     for target in _TARGET.finditer(text):
         name, parts, at = target[1], [], target.end()
-        while term := _TERM.match(text, at):
+        inside, whole = _lines(text, at, missing) if target.start() >= whole else ([], whole)
+        for line in inside:
+            literals.append(line)
+            parts.append(len(literals) - 1)
+        while not inside and (term := _TERM.match(text, at)):
             group = term.lastindex
             bare = group == 3
             value = term[3].rstrip(".:") if bare else ""
@@ -146,8 +173,7 @@ def secret_spans(docs: DataFrame) -> DataFrame:
 
     Offsets are code points, the end exclusive. A null text has no spans; repeated rows are kept;
     other columns are left out. Each text is read whole; nothing is shuffled. An empty table gives an
-    empty result. Constants are known in their whole text, whatever block they stand in, and a value
-    ends with its line.
+    empty result. Constants are known in their whole text, whatever block they stand in.
     """
     span = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())])
 
