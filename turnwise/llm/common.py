@@ -38,6 +38,16 @@ def give_back() -> None:
     pa.default_memory_pool().release_unused()
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table that is read in fewer parts than there are cores, dealt out over all of them.
+
+    A file of one row group is one task, however many cores wait. Tables of more parts, as all large
+    ones are, stay as they are and aren't shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def unused(names: list[str], name: str) -> str:
     """``name``, or the first of its numbered forms that no column has."""
     taken = {n.lower() for n in names}

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, collision, covertree, langid, mixing, pii, quality, secrets, simhash, urls
-from .common import table
+from .common import spread, table
 
 
 def _joined(spans: Column) -> Column:
@@ -33,7 +33,7 @@ def op2_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    coded = bpe.encoded(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    coded = bpe.encoded(spread(table(spark, sf_dir, "documents")), public_tokenizers.path("byte_bpe_50k.tiktoken"))
     return coded.select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
@@ -43,7 +43,7 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_secret_lexer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = secrets.secret_spans(table(spark, sf_dir, "documents"))
+    found = secrets.secret_spans(spread(table(spark, sf_dir, "documents")))
     base = F.filter("spans", lambda s: s["kind"] != "lexed")
     return found.select(
         "doc_id",
@@ -68,12 +68,12 @@ def op6_pii_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_simhash_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = simhash.classes(table(spark, sf_dir, "documents"))
+    found = simhash.classes(spread(table(spark, sf_dir, "documents")))
     return found.select("doc_id", simhash.hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
 
 
 def op8_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return quality.judged(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "labels"))
 
 
 def op9_entropy_balancing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,7 +81,7 @@ def op9_entropy_balancing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_zstd_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return langid.languages(table(spark, sf_dir, "documents"))
+    return langid.languages(spread(table(spark, sf_dir, "documents")))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
