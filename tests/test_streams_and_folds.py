@@ -6,7 +6,6 @@ import struct
 from datetime import datetime
 
 import numpy as np
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -164,9 +163,36 @@ def test_bucket():
     assert stateful.take(40.0, 0, 60_000_000, 100, 10, 100) == (True, 0.0)
 
 
-def test_confirmation():
-    group = pd.DataFrame({"conv_id": 1, "turn": 1, "preview": range(4), "text": ["a b c d", "a b c d e", "a b c d e", "x y z"]})
-    assert stateful.confirm_fold(group)["confirmed"].tolist() == ["a b c d e"]
+def test_confirmation(spark):
+    texts = ["a b c d", "a b c d e", "a b c d e", "x y z", None, "x y z", "x y z w"]
+    rows = spark.createDataFrame([(k, i, t) for k in (1, None) for i, t in enumerate(texts)], "k int, preview int, text string")
+    assert sorted((r.k or 0, r.preview, r.confirmed) for r in stateful.confirmed(rows, ["k"]).collect()) == [(k, i, t) for k in (0, 1) for i, t in ((1, "a b c d e"), (6, "x y z w"))]
+
+
+def test_folds_are_streamed_key_by_key(spark, monkeypatch):
+    """Keys over several batches and of one row, null keys, rows in any order, empty tables; results of every batch size are the same."""
+    from turnwise.operators import folds
+
+    rng = random.Random(2)
+    rows = [(k, i, rng.randint(0, 9)) for k, n in ((None, 300), (1, 1), (2, 5000), (3, 40), (4, 1)) for i in range(n)]
+    expected = {k: (sum(x for q, _, x in rows if q == k), [x for q, _, x in rows if q == k][-1]) for k in {r[0] for r in rows}}
+
+    def one(held, i, x):
+        assert i == held[1]
+        held[0], held[1], held[2] = held[0] + x, i + 1, x
+        return []
+
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "k int, i int, x int").repartition(7)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
+    try:
+        got = folds.folded(df, ["k"], ["i"], ["i", "x"], lambda: [0, 0, None], one, "total long, last int", lambda held: [(held[0], held[2])]).collect()
+        assert {r.k: (r.total, r.last) for r in got} == expected and len(got) == len(expected)
+        every = folds.folded(df, ["k"], ["i"], ["x"], list, lambda held, x: [(x,)], "y int")
+        assert every.count() == len(rows)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert folds.folded(df.where("k = 9"), ["k"], ["i"], ["x"], list, lambda held, x: [(x,)], "y int").count() == 0
 
 
 def test_intervals(spark):

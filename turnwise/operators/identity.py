@@ -6,10 +6,11 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .folds import folded
+
 GALLERY, FAST, SLOW, FAST_UNTIL = 8, 0.18, 0.08, 4
 SOFT_MARGIN, CLEAR_MARGIN, TRUSTED_MARGIN = 0.035, 0.10, 0.075
 
@@ -110,22 +111,20 @@ DECISION = ["speaker_id", "match", "score", "second_score", "margin", "raw_best_
 KINDS = "speaker_id string, match string, score double, second_score double, margin double, raw_best_score double, raw_second_score double, raw_margin double"
 
 
-def assigned(voices: DataFrame, room: str, order: Sequence[str], v: str = "v", threshold: float = 0.60, single_soft: bool = False) -> DataFrame:
+def assigned(voices: DataFrame, room: str | Sequence[str], order: Sequence[str], v: str = "v", threshold: float = 0.60, single_soft: bool = False) -> DataFrame:
     """Each voice's decision, voices of a room in order. A room and session should be the key, so that names start anew.
 
-    The result depends on the order, so a room is one task; one meeting bounds it.
+    The result depends on the order, so a room is one task; its voices are streamed through it.
     """
+    rooms = [room] if isinstance(room, str) else list(room)
     kinds = dict(voices.dtypes)
-    names = list(dict.fromkeys([room, *order]))
-    schema = ", ".join(f"{k} {kinds[k]}" for k in names) + ", " + KINDS
+    named = [c for c in order if c not in rooms]
+    outputs = ", ".join([*(f"`{c}` {kinds[c]}" for c in named), KINDS])
 
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(list(order)).reset_index(drop=True)
-        state = Room()
-        found = [assign(state, x, threshold, single_soft) for x in group[v]]
-        return pd.concat([group[names], pd.DataFrame(found, columns=DECISION)], axis=1)
+    def one(state: Room, x: list[float], *place) -> list[tuple]:
+        return [(*place, *assign(state, x, threshold, single_soft))]
 
-    return voices.select(*dict.fromkeys([*names, v])).groupBy(room).applyInPandas(fold, schema)
+    return folded(voices, rooms, order, [v, *named], Room, one, outputs)
 
 
 def dominant_label(regions: DataFrame) -> DataFrame:

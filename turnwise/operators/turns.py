@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .align import merge_rolling
+from .folds import folded
 
 KEY = ("room", "client_id", "turn_id")
 
@@ -99,16 +99,14 @@ def upsert(row: dict | None, hypothesis: dict) -> dict:
 
 def turn_log(hypotheses: DataFrame) -> DataFrame:
     """Every revision of every turn, from recognised segments (KEY, segment_index, started_ms, ended_ms, audio_ms, text)."""
+    columns = ["segment_index", "started_ms", "ended_ms", "audio_ms", "text"]
+    names = [*KEY, *(f.split()[0] for f in UPSERTED.split(", ")[len(KEY) :])]
 
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        row, out = None, []
-        for h in group.sort_values("segment_index").to_dict("records"):
-            row = upsert(row, h)
-            out.append(row)
-        return pd.DataFrame(out)
+    def one(held: dict, *values) -> list[tuple]:
+        held["row"] = upsert(held.get("row"), dict(zip(columns, values, strict=True)) | dict.fromkeys(KEY))
+        return [tuple(held["row"][c] for c in names[len(KEY) :])]
 
-    columns = [*KEY, "segment_index", "started_ms", "ended_ms", "audio_ms", "text"]
-    return hypotheses.select(*columns).groupBy(*KEY).applyInPandas(fold, UPSERTED)
+    return folded(hypotheses, KEY, ["segment_index"], columns, dict, one, UPSERTED.split(", ", len(KEY))[-1])
 
 
 def finalised(turns: DataFrame, now_ms: Column, gap_ms: int = 1500) -> DataFrame:

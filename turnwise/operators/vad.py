@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.audio import BYTES_PER_SECOND, FRAME_BYTES, FRAME_MS, RATE
+from .folds import folded
 
 
 @dataclass(frozen=True)
@@ -195,26 +196,19 @@ def judged(state: State, found: Iterator[tuple], judge: Judge | None, limits: Li
 def segments(frames: DataFrame, key: str | Sequence[str] = "client_id", limits: Limits = LIMITS, judge: Judge | None = None) -> DataFrame:
     """Segments of each capture's frames (``key``: one column or several, ts_ms, frame_no, rms, peak).
 
-    A group holds the levels of one capture (see ``lifecycle.numbered_captures``), which ends with a
-    flush. ``judge`` is asked of each segment, in a Python worker.
+    A capture (see ``lifecycle.numbered_captures``) ends with a flush. ``judge`` is asked of each
+    segment, in a Python worker. Frames are streamed, so a capture may be of any length.
     """
+
+    def one(held: list, now: int, rms: float, peak: float) -> Iterator[tuple]:
+        held[1] = now
+        return judged(held[0], step(held[0], now, rms, peak, limits), judge, limits)
+
+    def end(held: list) -> Iterator[tuple]:
+        return judged(held[0], finish(held[0], held[1], limits), judge, limits)
+
     keys = [key] if isinstance(key, str) else list(key)
-    kinds = dict(frames.dtypes)
-
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        state, out = State(), []
-        group = group.sort_values(["ts_ms", "frame_no"])
-        now = 0
-        for now, rms, peak in zip(group["ts_ms"].tolist(), group["rms"].tolist(), group["peak"].tolist(), strict=True):
-            out += judged(state, step(state, now, rms, peak, limits), judge, limits)
-        out += judged(state, finish(state, now, limits), judge, limits)
-        frame = pd.DataFrame(out, columns=COLUMNS)
-        for at, name in enumerate(keys):
-            frame.insert(at, name, group[name].iloc[0])
-        return frame
-
-    schema = ", ".join(f"{name} {kinds[name]}" for name in keys)
-    return frames.select(*keys, "ts_ms", "frame_no", "rms", "peak").groupBy(*keys).applyInPandas(fold, f"{schema}, {KINDS}")
+    return folded(frames, keys, ["ts_ms", "frame_no"], ["ts_ms", "rms", "peak"], lambda: [State(), 0], one, KINDS, end)
 
 
 #: Samples that a detector gets at a time, and the silence put before a file: half a second, in whole steps (fixed values).

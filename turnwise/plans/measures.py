@@ -326,7 +326,7 @@ def two_hits(spark, d):
     part = lambda share: F.array_join(F.slice(w, F.lit(1), F.ceil(F.size(w) * share).cast("int")), " ")
     previews = F.posexplode(F.array(part(0.5), part(0.75), F.col("text"), F.col("text"))).alias("preview", "text")
     c = table(spark, d, "conversations").select("conv_id", "turn", previews)
-    return c.groupBy("conv_id", "turn").applyInPandas(stateful.confirm_fold, "conv_id bigint, turn bigint, preview int, confirmed string")
+    return stateful.confirmed(c, ["conv_id", "turn"])
 
 
 @query("S21_latest_wins", "SELECT user_id, max(event_id) AS event_id, max_by(value, event_id) AS value FROM events GROUP BY user_id, epoch_us(ts) // 3600000000 // 24")

@@ -1,6 +1,6 @@
 """Stateful streams: the folds of the batch operators, kept as state from batch to batch.
 
-Each operator is one pure step; ``applyInPandas`` runs it over a whole group, and
+Each operator is one pure step; ``folds.folded`` runs it over a key's rows, and
 ``applyInPandasWithState`` over what has come since. States are pickled, as they hold small Python
 objects of bounded size (30 frames of levels, eight vectors a speaker, one text a turn).
 """
@@ -8,15 +8,14 @@ objects of bounded size (30 frames of levels, eight vectors a speaker, one text
 from __future__ import annotations
 
 import pickle
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from ..functions.text import match_ratio
 from ..operators import identity, turns, vad
-from ..operators.sessions import stretches
+from ..operators.folds import folded
 
 _STATE = "state binary"
 
@@ -128,33 +127,19 @@ def take(tokens: float, before_us: int | None, now_us: int, size: int, rate: flo
 
 
 def admitted(packets: DataFrame, rate: float = 128_000.0, burst: float = 320_000.0) -> DataFrame:
-    """client_id, event_id, accepted, tokens of packets (client_id, ts_us, event_id, size).
+    """client_id, event_id, accepted, tokens: which packets (client_id, ts_us, event_id, size) of each client pass."""
+    kind = dict(packets.dtypes)["event_id"]
 
-    A bucket is full again after a pause of ``burst / rate`` seconds, so a client is folded by the
-    stretches between such pauses, not as a whole.
-    """
-    cut = stretches(packets, ["client_id"], F.col("ts_us"), ["ts_us", "event_id"], int(burst / rate * 1e6))
-    kinds = dict(packets.dtypes)
-    schema = f"client_id {kinds['client_id']}, event_id {kinds['event_id']}, accepted boolean, tokens double"
-    return cut.select("client_id", "_stretch", "ts_us", "event_id", "size").groupBy("client_id", "_stretch").applyInPandas(bucket_fold(rate, burst), schema)
-
-
-def bucket_fold(rate: float = 128_000.0, burst: float = 320_000.0) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    """Which packets (client_id, ts_us, event_id, size) of one client pass."""
-
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        tokens, before, out = burst, None, []
-        for p in group.sort_values(["ts_us", "event_id"]).itertuples():
-            ok, tokens = take(tokens, before, p.ts_us, p.size, rate, burst)
-            before = p.ts_us
-            out.append((p.client_id, p.event_id, ok, tokens))
-        return pd.DataFrame(out, columns=["client_id", "event_id", "accepted", "tokens"])
+    def one(held: list, now: int, event, size: int) -> list[tuple]:
+        ok, held[0] = take(held[0], held[1], now, size, rate, burst)
+        held[1] = now
+        return [(event, ok, held[0])]
 
-    return fold
+    return folded(packets, ["client_id"], ["ts_us", "event_id"], ["ts_us", "event_id", "size"], lambda: [burst, None], one, f"event_id {kind}, accepted boolean, tokens double")
 
 
 def bucket_stream(packets: DataFrame, rate: float = 128_000.0, burst: float = 320_000.0) -> DataFrame:
-    """``bucket_fold`` on a stream."""
+    """``admitted`` on a stream."""
 
     def work(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         tokens, before = state.get if state.exists else (burst, None)
@@ -181,14 +166,15 @@ def confirm(candidate: str, hits: int, last: str, text: str, least: float = 0.72
     return candidate, hits + 1, text, text
 
 
-def confirm_fold(group: pd.DataFrame) -> pd.DataFrame:
-    """Confirmed previews of one turn (conv_id, turn, preview, text; in the order of preview)."""
-    state, out = ("", 0, ""), []
-    for r in group.sort_values("preview").itertuples():
-        *state, shown = confirm(*state, r.text)
-        if shown is not None:
-            out.append((r.conv_id, r.turn, r.preview, shown))
-    return pd.DataFrame(out, columns=["conv_id", "turn", "preview", "confirmed"])
+def confirmed(previews: DataFrame, keys: Sequence[str], order: str = "preview") -> DataFrame:
+    """keys, ``order`` and confirmed: the previews (keys, ``order``, text) that a second, similar one confirms."""
+    kind = dict(previews.dtypes)[order]
+
+    def one(held: list, place, text: str | None) -> list[tuple]:
+        *held[:], shown = confirm(*held, text or "")
+        return [] if shown is None else [(place, shown)]
+
+    return folded(previews, keys, [order], [order, "text"], lambda: ["", 0, ""], one, f"`{order}` {kind}, confirmed string")
 
 
 def idempotent_stream(requests: DataFrame, ttl_ms: int = 24 * 3600 * 1000) -> DataFrame:
