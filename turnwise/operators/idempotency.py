@@ -6,37 +6,35 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import sha256
+from .folds import folded
 
 TTL_MS, MOST = 24 * 3600 * 1000, 10_000
 
 
-def statuses(requests: DataFrame, ttl_ms: int = TTL_MS) -> DataFrame:
-    """``requests`` (key, fingerprint, at_ms, seq, ok) with key_hash and idempotency_status.
+def decide(held: list, fingerprint: str | None, at_ms: int, ok: bool, ttl_ms: int = TTL_MS) -> str:
+    """The status of a key's next request; ``held`` (fingerprint, until when) is what its answer leaves.
 
     created: the first of its key, or the first after the answer has expired or failed. cached:
     equal fingerprint while the answer lives. conflict: another fingerprint while it lives.
-    Answers of failures aren't kept. A key's requests are few; they are folded in order, without
-    Python, as an array.
+    Answers of failures aren't kept. Batch and streaming share this step.
     """
-    one = F.struct("at_ms", "seq", "fingerprint", "ok")
-    ordered = requests.groupBy("key").agg(F.array_sort(F.collect_list(one)).alias("r"))
-    zero = F.struct(
-        F.lit(None).cast("string").alias("held"), F.lit(0).cast("bigint").alias("until"),
-        F.array().cast("array<struct<at_ms:bigint,seq:bigint,fingerprint:string,ok:boolean,idempotency_status:string>>").alias("out"),
-    )
-
-    def step(acc, r):
-        lives = acc["held"].isNotNull() & (acc["until"] > r["at_ms"])
-        status = F.when(~F.coalesce(lives, F.lit(False)), "created").when(acc["held"] == r["fingerprint"], "cached").otherwise("conflict")
-        keeps = (status == "created") & r["ok"]
-        fresh = status == "created"
-        return F.struct(
-            F.when(keeps, r["fingerprint"]).when(fresh, F.lit(None).cast("string")).otherwise(acc["held"]).alias("held"),
-            F.when(keeps, r["at_ms"] + ttl_ms).otherwise(acc["until"]).cast("bigint").alias("until"),
-            F.concat(acc["out"], F.array(F.struct(r["at_ms"].cast("bigint").alias("at_ms"), r["seq"].cast("bigint").alias("seq"), r["fingerprint"].alias("fingerprint"), r["ok"].alias("ok"), status.alias("idempotency_status")))).alias("out"),
-        )
-
-    return ordered.select("key", sha256(F.col("key").cast("string")).alias("key_hash"), F.inline(F.aggregate("r", zero, step)["out"]))
+    if held[0] is not None and held[1] > at_ms:
+        return "cached" if held[0] == fingerprint else "conflict"
+    held[:] = (fingerprint, at_ms + ttl_ms) if ok else (None, 0)
+    return "created"
+
+
+def statuses(requests: DataFrame, ttl_ms: int = TTL_MS) -> DataFrame:
+    """``requests`` (key, fingerprint, at_ms, seq, ok) with key_hash and idempotency_status, in the order (at_ms, seq) of each key."""
+    kinds = dict(requests.dtypes)
+    names = ["at_ms", "seq", "fingerprint", "ok"]
+
+    def one(held: list, at_ms: int, seq, fingerprint: str | None, ok: bool) -> list[tuple]:
+        return [(at_ms, seq, fingerprint, ok, decide(held, fingerprint, at_ms, ok, ttl_ms))]
+
+    outputs = ", ".join(f"{c} {kinds[c]}" for c in names) + ", idempotency_status string"
+    out = folded(requests, ["key"], ["at_ms", "seq"], names, lambda: [None, 0], one, outputs)
+    return out.select("key", sha256(F.col("key").cast("string")).alias("key_hash"), *names, "idempotency_status")
 
 
 def loadable(records: DataFrame, now_ms: int) -> DataFrame:

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from .folds import folded
 
 GALLERY, FAST, SLOW, FAST_UNTIL = 8, 0.18, 0.08, 4
+#: Keys that a room's queries are dealt over.
+SALTS = 16
 SOFT_MARGIN, CLEAR_MARGIN, TRUSTED_MARGIN = 0.035, 0.10, 0.075
 
 
@@ -34,9 +36,12 @@ def similarity(v: Column, centroid: Column, gallery: Column) -> Column:
 def best_two(queries: DataFrame, speakers: DataFrame, room: str = "room") -> DataFrame:
     """For each query (``room``, id, v) the best and second speaker of its room (``room``, speaker_id, centroid), and the margin.
 
-    Speakers of a room are few; rooms are joined by key, so no pair of other rooms is made.
+    Speakers of a room are few, queries may be very many: the queries of a room are dealt over
+    ``SALTS`` keys, each of which has all speakers of the room, so a busy room isn't one task.
     """
-    pairs = queries.join(speakers, room).select(room, "id", "speaker_id", dot(F.col("v"), F.col("centroid")).alias("score"))
+    salted = queries.withColumn("_salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
+    every = speakers.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    pairs = salted.join(every, [room, "_salt"]).select(room, "id", "speaker_id", dot(F.col("v"), F.col("centroid")).alias("score"))
     order = Window.partitionBy(room, "id").orderBy(F.desc("score"), "speaker_id")
     ranked = pairs.withColumn("place", F.row_number().over(order)).where("place <= 2")
     at = lambda c, p: F.max(F.when(F.col("place") == p, F.col(c)))

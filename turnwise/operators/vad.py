@@ -243,10 +243,12 @@ def file_segments(files: DataFrame, key: str, build: Callable[[], Callable[[np.n
     return files.select(key, "pcm").mapInPandas(work, f"{key} {kind}, start_s double, end_s double, pcm binary")
 
 
-def noise_floor(levels: Column, start: float = 0.003, limits: Limits = LIMITS) -> Column:
-    """The floor after an ordered array of idle levels: a recursive mean, so a fold and no window."""
+def noise_floors(frames: DataFrame, key: str, order: Sequence[str], start: float = 0.003, limits: Limits = LIMITS) -> DataFrame:
+    """key, noise_floor: the floor after all of a key's idle levels (rms) in order; a recursive mean, so a fold and no window."""
 
-    def learn(noise: Column, rms: Column) -> Column:
-        return F.when(rms < threshold(noise, limits), F.greatest(F.lit(0.001), noise * 0.985 + rms * 0.015)).otherwise(noise)
+    def learn(held: list, rms: float) -> tuple:
+        if rms < max(limits.floor, held[0] * limits.multiplier):
+            held[0] = max(0.001, held[0] * 0.985 + rms * 0.015)
+        return ()
 
-    return F.aggregate(levels, F.lit(start), learn)
+    return folded(frames, [key], order, ["rms"], lambda: [start], learn, "noise_floor double", lambda held: [(held[0],)])

@@ -79,8 +79,8 @@ def preroll(spark, d):
 )
 def noise_floor(spark, d):
     """The recursive mean of idle levels."""
-    f = frames(spark, d).groupBy("client_id").agg(F.array_sort(F.collect_list(F.struct("ts_us", "event_id", "rms"))).alias("l"))
-    return f.select("client_id", F.round(vad.noise_floor(F.transform("l", lambda x: x["rms"])), 9).alias("noise_floor"))
+    floors = vad.noise_floors(frames(spark, d), "client_id", ["ts_us", "event_id"])
+    return floors.select("client_id", F.round("noise_floor", 9).alias("noise_floor"))
 
 
 @query(

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from ..functions.text import match_ratio
-from ..operators import identity, turns, vad
+from ..operators import idempotency, identity, turns, vad
 from ..operators.folds import folded
 
 _STATE = "state binary"
@@ -181,15 +181,10 @@ def idempotent_stream(requests: DataFrame, ttl_ms: int = 24 * 3600 * 1000) -> Da
     """Status of a stream of requests (key string, fingerprint string, at_ms long, seq long, ok boolean)."""
 
     def work(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        held, until = state.get if state.exists else (None, 0)
-        out = []
-        for r in pd.concat(list(batches)).sort_values(["at_ms", "seq"]).itertuples():
-            lives = held is not None and until > r.at_ms
-            status = "created" if not lives else "cached" if held == r.fingerprint else "conflict"
-            if not lives:
-                held, until = (r.fingerprint, r.at_ms + ttl_ms) if r.ok else (None, 0)
-            out.append((key[0], r.seq, status))
-        state.update((held, until))
+        held = list(state.get) if state.exists else [None, 0]
+        rows = pd.concat(list(batches)).sort_values(["at_ms", "seq"]).itertuples()
+        out = [(key[0], r.seq, idempotency.decide(held, r.fingerprint, r.at_ms, r.ok, ttl_ms)) for r in rows]
+        state.update(tuple(held))
         yield pd.DataFrame(out, columns=["key", "seq", "idempotency_status"])
 
     return requests.groupBy("key").applyInPandasWithState(work, "key string, seq long, idempotency_status string", "held string, until long", "append", "NoTimeout")
