@@ -22,6 +22,8 @@ SCALE = 64
 LEAF, GROUP = 32, 16
 #: Reach of a child's centre as a share of its parent's radius.
 SHRINK = 0.75
+#: Queries without close neighbours among each other that are handled together.
+LOOSE = 64
 #: Row nodes that a group of queries opens or scores at first.
 BATCH = 8
 
@@ -132,6 +134,8 @@ def top(ids, x, q_ids, q, floor, k, scored: list | None = None):
         floor = np.where(np.isfinite(floor), floor - np.abs(floor) * 1e-9, floor)
     data, asks = Tree(x), Tree(q, GROUP)
     under = asks.below()
+    # A set whose children are single queries for the most part isn't divided: nothing would be known of a child that isn't of it.
+    ends = [c is None or 2 * len(c) > len(u) for c, u in zip(asks.children, under, strict=True)]
     best = _Best(floor, k, ids, object if wide else float)
     count = 0
 
@@ -146,8 +150,10 @@ def top(ids, x, q_ids, q, floor, k, scored: list | None = None):
     def visit(node: int, nodes: np.ndarray) -> None:
         """Both trees are descended together until a group of queries is no longer divided."""
         while len(nodes := prune(node, nodes)):
-            if asks.children[node] is None:
-                return group(under[node], nodes)
+            if ends[node]:
+                for at in range(0, len(under[node]), LOOSE):
+                    group(under[node][at : at + LOOSE], nodes)
+                return
             inner = np.array([data.children[m] is not None for m in nodes])
             if not inner.any() or asks.radius[node] > 2 * data.radius[nodes].max():
                 break
@@ -192,7 +198,7 @@ def top(ids, x, q_ids, q, floor, k, scored: list | None = None):
         best.offer(members, rows, scores)
 
     def seed(members: np.ndarray, centre: int) -> None:
-        """A first kth score for each query of a group: from the rows about its centre."""
+        """A first kth score for each query of a group that lies together: from the rows about its centre."""
         nonlocal count
         nodes, rows = [0], []
         while nodes and sum(map(len, rows)) <= 2 * k:
@@ -206,7 +212,7 @@ def top(ids, x, q_ids, q, floor, k, scored: list | None = None):
         score(members, np.concatenate(rows))
 
     for node in range(len(asks.centre)):
-        if asks.children[node] is None and not np.isfinite(floor[under[node]]).all():
+        if asks.children[node] is None and len(under[node]) > 1 and not np.isfinite(floor[under[node]]).all():
             seed(under[node], asks.centre[node])
     # What the seeds found counts as a score to reach only, as the search comes to those rows again.
     best = _Best(best.worst(np.arange(len(q))), k, ids, object if wide else float)
