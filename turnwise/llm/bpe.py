@@ -251,7 +251,7 @@ def encoded(docs: DataFrame, path: str) -> DataFrame:
 
     A null text counts as empty: no ids. Every document is encoded whole and on its own, repeated
     rows too; nothing is shuffled, and a task holds one batch of texts at a time. Other columns
-    are left out.
+    are left out. An empty table gives an empty result.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
