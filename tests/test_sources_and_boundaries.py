@@ -276,3 +276,36 @@ def test_inputs_and_results_of_the_edit_model():
     batch = [["a", "b"], ["a", "b"], ["a", "b"]]
     labels = [["$KEEP", "$KEEP", "$KEEP"], ["$KEEP", "$DELETE", "$KEEP"], ["$KEEP", "$DELETE", "$KEEP"]]
     assert align.postprocess_batch(batch, labels, [1.0, 0.2, 0.9], least_error=0.5) == [["a", "b"], ["a", "b"], ["b"]]
+
+
+def test_two_models_of_one_kind_in_one_session(spark):
+    """Workers are reused: the second model's results are its own."""
+    rows = spark.createDataFrame([(i, 2000, bytes(64_000)) for i in range(3)], "id long, audio_ms long, pcm binary").coalesce(1)
+
+    def model(value):
+        return lambda: lambda row: {"v": [value]}
+
+    for value in (1.0, 2.0, 1.0):
+        assert [list(r.v) for r in boundary.embedded(rows, model(value)).collect()] == [[value]] * 3
+
+    class Shout:
+        mode = "x"
+
+        def __init__(self, mark):
+            self.mark = mark
+
+        def process_text(self, text):
+            return text.upper() + self.mark
+
+    texts = spark.createDataFrame([("a",)], "t string")
+    for mark in "!?":
+        assert texts.select(boundary.postprocessed(F.col("t"), "x", lambda m=mark: Shout(m))).first()[0] == "A" + mark
+
+
+def test_a_worker_keeps_few_instances_and_builds_each_once():
+    built = []
+    boundary._models.clear()
+    for i in (1, 1, 2, 3, 4, 1, 5, 1, 2):
+        boundary.single(f"k{i}", lambda i=i: built.append(i) or i)
+    assert built == [1, 2, 3, 4, 5, 2] and len(boundary._models) == boundary.KEPT
+    boundary._models.clear()

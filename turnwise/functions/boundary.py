@@ -5,11 +5,14 @@ No model is built in. Everything before and after a call is in the other modules
 
 from __future__ import annotations
 
+import hashlib
 import json
+from collections import OrderedDict
 from collections.abc import Callable, Iterator
 from typing import Any, Protocol
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,14 +53,25 @@ class Unavailable(Exception):
     """A call that may succeed when tried again."""
 
 
-_models: dict[str, Any] = {}
+#: Instances that a Python worker keeps; the one longest unused goes first.
+KEPT = 4
+_models: OrderedDict[str, Any] = OrderedDict()
 
 
-def single(name: str, build: Callable[[], Any]) -> Any:
-    """The worker's only instance of a model, built at its first use."""
-    if name not in _models:
-        _models[name] = build()
-    return _models[name]
+def builder_key(name: str, build: Callable[[], Any]) -> str:
+    """What an instance is known by in workers, which Spark reuses: its builder with all that it closes over, and a name for people."""
+    return f"{name}:{hashlib.sha256(cloudpickle.dumps(build)).hexdigest()}"
+
+
+def single(key: str, build: Callable[[], Any]) -> Any:
+    """The worker's only instance of a model, built at its first use; ``key``: from ``builder_key``, taken where the query is made."""
+    if key in _models:
+        _models.move_to_end(key)
+    else:
+        while len(_models) >= KEPT:
+            _models.popitem(last=False)
+        _models[key] = build()
+    return _models[key]
 
 
 def retried(f: Callable[..., Any], *args: Any) -> Any:
@@ -70,10 +84,11 @@ def retried(f: Callable[..., Any], *args: Any) -> Any:
 
 def postprocessed(text: Column, mode: str, build: Callable[[], Postprocessor] | None = None) -> Column:
     make = build or MODES[mode]
+    key = builder_key(f"post:{mode}", make)
 
     @F.pandas_udf("string")
     def run(column: pd.Series) -> pd.Series:
-        tool = single(f"post:{mode}", make)
+        tool = single(key, make)
         return column.map(lambda t: retried(tool.process_text, t or ""))
 
     return run(text)
@@ -91,9 +106,10 @@ def called(rows: DataFrame, name: str, build: Callable[[], Callable[[dict], dict
     """
     schema = ", ".join(f"{c} {k}" for c, k in rows.dtypes) + f", {outputs}, error string"
     names = [p.split()[0] for p in outputs.split(", ")]
+    key = builder_key(name, build)
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = single(name, build)
+        model = single(key, build)
         for batch in batches:
             found = []
             for row in batch[inputs].to_dict("records"):

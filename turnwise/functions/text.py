@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import unicodedata
-from difflib import SequenceMatcher
 from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .matching import ratio
+
 
 def _col(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
@@ -17,7 +18,7 @@ def _col(x: Column | str) -> Column:
 
 def clean_text(text: Column | str) -> Column:
     """NUL becomes a space, white space of any kind is joined to one space; null counts as empty."""
-    return F.trim(F.regexp_replace(F.coalesce(_col(text), F.lit("")), r"(?U)[\s\x00]+", " "))
+    return F.trim(F.regexp_replace(F.coalesce(_col(text), F.lit("")), r"(?U)[\s\x00\x1c-\x1f]+", " "))
 
 
 def words(text: Column | str) -> Column:
@@ -202,7 +203,7 @@ def normalize(text: str, lower: bool) -> str:
 
 def match_ratio(a: list[str] | str, b: list[str] | str) -> float:
     """Twice the matched elements over all elements; 0 if either side is empty."""
-    return SequenceMatcher(None, a, b, autojunk=False).ratio() if len(a) and len(b) else 0.0
+    return ratio(a, b) if len(a) and len(b) else 0.0
 
 
 def _vectorised(f, kind: str):
@@ -222,21 +223,26 @@ def lexical_similarity(a: Column, b: Column) -> Column:
     return _vectorised(lambda x, y: match_ratio(list(x), list(y)), "double")(a, b)
 
 
+#: What each part of the round trip counts.
+ROUND_TRIP = {"sequence": 0.55, "recall": 0.30, "characters": 0.15}
+
+
 def roundtrip_similarity(source: Column, back: Column) -> Column:
-    """0.55 word sequence + 0.30 word recall + 0.15 characters, of two texts."""
+    """How alike two texts are: word sequence, share of the first one's words that the second has, and characters; 0 without words.
 
-    def score(a: str, b: str) -> float:
-        import re
+    Words, letters and recall are column functions; both match ratios share one call.
+    """
+    own, other = words(source), words(back)
+    letters = lambda t: F.regexp_replace(F.lower(F.coalesce(_col(t), F.lit(""))), r"[^\p{L}\p{N}]+", "")
+    recall = F.size(F.array_intersect(own, other)) / F.size(F.array_distinct(own))
 
-        split = lambda t: re.findall(r"[^\W_]+", (t or "").casefold())
-        x, y = split(a), split(b)
-        if not x or not y:
-            return 0.0
-        chars = lambda t: "".join(c for c in (t or "").casefold() if c.isalnum())
-        recall = len(set(x) & set(y)) / max(1, len(set(x)))
-        return 0.55 * match_ratio(x, y) + 0.30 * recall + 0.15 * match_ratio(chars(a), chars(b))
+    @F.pandas_udf("double")
+    def ratios(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
+        part = lambda x, y, z, w: ROUND_TRIP["sequence"] * match_ratio(list(x), list(y)) + ROUND_TRIP["characters"] * match_ratio(z, w)
+        return pd.Series([part(*row) if len(row[0]) and len(row[1]) else 0.0 for row in zip(a, b, c, d, strict=True)], dtype=float)
 
-    return _vectorised(score, "double")(source, back)
+    some = (F.size(own) > 0) & (F.size(other) > 0)
+    return F.when(some, ratios(own, other, letters(source), letters(back)) + ROUND_TRIP["recall"] * recall).otherwise(0.0)
 
 
 #: Matches whose offsets are summed together; sums of sums keep texts with very many words cheap.
