@@ -24,6 +24,13 @@ def overlap_ratio(s1: Column, e1: Column, s2: Column, e2: Column) -> Column:
     return overlap(s1, e1, s2, e2) / F.least(F.greatest(F.lit(1), e1 - s1), F.greatest(F.lit(1), e2 - s2))
 
 
+def pair_columns() -> list[Column]:
+    """What a pair of captures, joined as ``a`` and ``b``, comes out with."""
+    ratio = overlap_ratio(F.col("a.started_ms"), F.col("a.ended_ms"), F.col("b.started_ms"), F.col("b.ended_ms"))
+    names = {"room": "a.room", "left_id": "a.utterance_id", "right_id": "b.utterance_id", "left_rms": "a.avg_rms", "right_rms": "b.avg_rms", "left_peak": "a.peak_rms", "right_peak": "b.peak_rms"}
+    return [*(F.col(c).alias(name) for name, c in names.items()), ratio.alias("overlap_ratio")]
+
+
 def same_window(utterances: DataFrame, start_delta: int = START_DELTA_MS, end_delta: int = END_DELTA_MS, least: float = OVERLAP) -> DataFrame:
     """Pairs of captures of the same speech: same room, other client, starts and ends near, overlap large.
 
@@ -39,12 +46,7 @@ def same_window(utterances: DataFrame, start_delta: int = START_DELTA_MS, end_de
         (F.col("a.room") == F.col("b.room")) & (F.col("a.slot") == F.col("b.slot")) & (F.col("a.client_id") != F.col("b.client_id"))
         & (F.abs(s1 - s2) <= start_delta) & (F.abs(e1 - e2) <= end_delta) & (overlap_ratio(s1, e1, s2, e2) >= least)
     )
-    return a.join(b, fits).select(
-        F.col("a.room").alias("room"), F.col("a.utterance_id").alias("left_id"), F.col("b.utterance_id").alias("right_id"),
-        overlap_ratio(s1, e1, s2, e2).alias("overlap_ratio"),
-        F.col("a.avg_rms").alias("left_rms"), F.col("b.avg_rms").alias("right_rms"),
-        F.col("a.peak_rms").alias("left_peak"), F.col("b.peak_rms").alias("right_peak"),
-    )
+    return a.join(b, fits).select(*pair_columns())
 
 
 def echoes(pairs: DataFrame) -> DataFrame:
