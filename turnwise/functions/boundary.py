@@ -99,12 +99,13 @@ def combined(parts: list[str], mode: str = "normalize") -> str:
     return MODES[mode]().process_text(" ".join(p for p in parts if p))
 
 
-def called(rows: DataFrame, name: str, build: Callable[[], Callable[[dict], dict]], inputs: list[str], outputs: str) -> DataFrame:
+def called(rows: DataFrame, name: str, build: Callable[[], Callable[[dict], dict]], inputs: list[str], outputs: str, where: str | None = None, error: str = "error") -> DataFrame:
     """``rows`` with what a model says of each (``outputs``: columns of the reply) and ``error`` (null if it succeeded).
 
     A reply lacks nothing that is in ``outputs``; an error leaves those null and does not stop the rest.
+    ``where``: a column that tells which rows the model is called for; the others' replies are null.
     """
-    schema = ", ".join(f"{c} {k}" for c, k in rows.dtypes) + f", {outputs}, error string"
+    schema = ", ".join(f"{c} {k}" for c, k in rows.dtypes) + f", {outputs}, {error} string"
     names = [p.split()[0] for p in outputs.split(", ")]
     key = builder_key(name, build)
 
@@ -112,12 +113,14 @@ def called(rows: DataFrame, name: str, build: Callable[[], Callable[[dict], dict
         model = single(key, build)
         for batch in batches:
             found = []
-            for row in batch[inputs].to_dict("records"):
+            wanted = [True] * len(batch) if where is None else batch[where].eq(True)
+            for row, asked in zip(batch[inputs].to_dict("records"), wanted, strict=True):
                 try:
-                    found.append({**dict.fromkeys(names), **retried(model, row), "error": None})
+                    found.append({**dict.fromkeys(names), **(retried(model, row) if asked else {}), error: None})
                 except Exception as e:  # the reply of a failed call is its error
-                    found.append({**dict.fromkeys(names), "error": f"{type(e).__name__}: {e}"})
-            yield pd.concat([batch.reset_index(drop=True), pd.DataFrame(found, columns=[*names, "error"])], axis=1)
+                    found.append({**dict.fromkeys(names), error: f"{type(e).__name__}: {e}"})
+            # Columns of objects keep whole numbers whole beside nulls.
+            yield pd.concat([batch.reset_index(drop=True), pd.DataFrame(found, columns=[*names, error], dtype=object)], axis=1)
 
     return rows.mapInPandas(work, schema)
 

@@ -58,6 +58,13 @@ class InOrder(StatefulProcessor):
         self.handle = handle
         self.waiting = handle.getListState("waiting", self.waiting_schema)
         self.held = handle.getValueState("held", self.state_schema)
+        self.armed = handle.getValueState("armed", "at_ms long")
+
+    def _arm(self, times: list[int]) -> None:
+        """A key has one timer: for the first row that waits, or what ends before."""
+        if times and (not self.armed.exists() or min(times) < self.armed.get()[0]):
+            self.handle.registerTimer(min(times))
+            self.armed.update((min(times),))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         times = set()
@@ -65,8 +72,7 @@ class InOrder(StatefulProcessor):
             part = part[self.columns]
             times.update(int(t) for t in part[self.order[0]])
             self.waiting.appendList([tuple(None if pd.isna(x) else x for x in r) for r in part.astype(object).itertuples(index=False)])
-        for t in times:
-            self.handle.registerTimer(t + 1)
+        self._arm([t + 1 for t in times])
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
@@ -80,12 +86,14 @@ class InOrder(StatefulProcessor):
         out += self.ends(state, now)
         if ready:
             self.waiting.put(later) if later else self.waiting.clear()
-        kept = self.dump(state)
+        kept, times = self.dump(state), [r[at[0]] + 1 for r in later]
         if kept is None:
             self.held.clear()
         else:
             self.held.update(kept)
-            self.handle.registerTimer(max(self.due(state), now + 1))
+            times.append(max(self.due(state), now + 1))
+        self.armed.clear()
+        self._arm(times)
         if out:
             yield pd.DataFrame([(*key, *x) for x in out], columns=[*self.key_names, *self.outputs])
 

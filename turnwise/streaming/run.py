@@ -19,8 +19,8 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def as_stream(spark: SparkSession, path: str) -> DataFrame:
-    """A table's files as a stream."""
-    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+    """A table's files as a stream; the table may be a folder or a single file, which only a pattern names for a stream."""
+    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path[:-1]}[{path[-1]}]")
 
 
 def finished(out: DataFrame, folder: str | None = None) -> DataFrame:
