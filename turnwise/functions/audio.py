@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import struct
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 RATE, SAMPLE_BYTES = 16_000, 2
@@ -160,6 +162,34 @@ def resample_pcm(samples: Column | str, rate: int, to: int = RATE) -> Column:
     return run(_col(samples))
 
 
+def resampled_packets(packets: DataFrame, keys: Sequence[str], order: str, rate: int, to: int = RATE) -> DataFrame:
+    """``packets`` (keys, ``order``, samples array<double>) with ``out``: the samples at the rate ``to`` that each packet completes.
+
+    The result is that of one resampler that carries its read position over all packets of a key: the
+    position of output k is k * rate / to, so a packet needs only how many samples came before it and the
+    last of them. Output k belongs to the packet that holds the sample after that position.
+    """
+    n = F.size("samples")
+    w = Window.partitionBy(*keys).orderBy(order)
+    some = packets.where(n > 0).withColumn("_before", F.coalesce(F.sum(n).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    some = some.withColumn("_last", F.lag(F.element_at("samples", -1)).over(w))
+    # Samples from the one before the packet on; its place among all is _from.
+    some = some.withColumn("_seen", F.when(F.col("_before") > 0, F.concat(F.array("_last"), F.col("samples"))).otherwise(F.col("samples")))
+    some = some.withColumn("_from", F.greatest(F.lit(0), F.col("_before") - 1))
+    first = F.ceil(F.col("_from") * to / rate)
+    last = F.ceil((F.col("_before") + n - 1) * to / rate) - 1
+
+    def sample(k: Column) -> Column:
+        at = F.floor(k * rate / to)
+        i = (at - F.col("_from") + 1).cast("int")
+        a, b = F.element_at("_seen", i), F.element_at("_seen", i + 1)
+        return a + (b - a) * ((k * rate) % to / to)
+
+    ks = F.when(last >= first, F.sequence(first, F.greatest(first, last))).otherwise(F.array().cast("array<bigint>"))
+    done = some.withColumn("out", F.transform(ks, sample)).drop("_before", "_last", "_seen", "_from")
+    return done.unionByName(packets.where(n == 0).withColumn("out", F.array().cast("array<double>")))
+
+
 def quantise(x: Column) -> Column:
     """A float sample as 16-bit integer: clamped to 1, scaled by 32768 below zero and 32767 above, halves up."""
     x = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), x))

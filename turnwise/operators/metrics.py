@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Mapping
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,19 +47,33 @@ def real_time_factor(elapsed: Column, duration: Column) -> Column:
 BINS = 1024
 
 
-def histogram_ranks(df: DataFrame, keys: list[str], value: str, ranks: dict[str, float]) -> DataFrame:
-    """Nearest-rank percentiles (name: share) of any number of rows: keys and a column for each name.
+#: Places of a sorted list, from 0, for a number of values.
+def half_up(share: float) -> Callable[[Column], Column]:
+    return lambda n: F.round((n - 1) * F.lit(share))
+
+
+def half_even(share: float) -> Callable[[Column], Column]:
+    return lambda n: F.bround((n - 1) * F.lit(share))
+
+
+def upper_middle(n: Column) -> Column:
+    return F.floor(n / 2)
+
+
+def histogram_ranks(df: DataFrame, keys: list[str], value: str, ranks: Mapping[str, float | Callable[[Column], Column]]) -> DataFrame:
+    """Ranked values of any number of rows: keys and a column for each name. A rank is a share (nearest rank) or a function of the number of values that gives a place from 0.
 
     Values are counted in BINS ranges of each key, which tells the range that holds a rank; only the
     values of those ranges are then counted one by one. No list of values is gathered, and no task
     sorts all values of a key. Null values don't count.
     """
+    places = {n: half_up(p) if isinstance(p, float) else p for n, p in ranks.items()}
     rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"))
     ends = rows.groupBy(*keys).agg(F.min("_v").alias("_low"), F.max("_v").alias("_high"), F.count("*").alias("_all"))
     share = (F.col("_v") - F.col("_low")) / (F.col("_high") - F.col("_low"))
     at = F.when(F.col("_high") > F.col("_low"), F.least(F.floor(share * BINS), F.lit(BINS - 1))).otherwise(F.lit(0)).cast("int")
     binned = rows.join(ends, keys).withColumn("_bin", at)
-    wanted = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), (F.round((F.col("_all") - 1) * F.lit(p)) + 1).alias("rank")) for n, p in ranks.items()])).alias("_want")
+    wanted = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), (place(F.col("_all")) + 1).cast("double").alias("rank")) for n, place in places.items()])).alias("_want")
     upto = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)
     counts = binned.groupBy(*keys, "_bin").agg(F.count("*").alias("n"), F.first("_all").alias("_all")).withColumn("upto", F.sum("n").over(upto))
     held = counts.select(*keys, "_bin", "n", "upto", wanted).where((F.col("upto") >= F.col("_want.rank")) & (F.col("upto") - F.col("n") < F.col("_want.rank")))

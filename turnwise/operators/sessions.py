@@ -98,6 +98,25 @@ def left_context(segments: DataFrame, keys: Sequence[str], order: Sequence[str],
     return segments.withColumn(name, F.least(before, F.lit(context), F.greatest(F.lit(0), F.lit(window) - F.col(novel))).cast("bigint"))
 
 
+def live_windows(events: DataFrame, keys: Sequence[str], at: Column, every: int, size: int) -> DataFrame:
+    """``events`` of segments (keys), one row for each window that an event is in: window_no (from 1), window_start, window_end.
+
+    A segment's windows are anchored at its first event: the n-th ends ``n * every`` after it and looks
+    back over ``size`` at most; the last ends with the segment, however short it is since the one before. Ends belong to a window, beginnings don't,
+    but for the segment's own. ``at`` and the numbers are whole and of one unit.
+    """
+    ends = events.withColumn("_at", at).groupBy(*keys).agg(F.min("_at").alias("_first"), F.max("_at").alias("_last"))
+    rows = events.withColumn("_at", at).join(ends, list(keys))
+    n_windows = F.greatest(F.lit(1), F.ceil((F.col("_last") - F.col("_first")) / every))
+    since = F.col("_at") - F.col("_first")
+    first, last = F.greatest(F.lit(1), F.ceil(since / every)), F.least(n_windows, F.floor((since + size) / every) + 1)
+    rows = rows.withColumn("window_no", F.explode(F.sequence(first, F.greatest(first, last))))
+    end = F.least(F.col("_last"), F.col("_first") + F.col("window_no") * every)
+    rows = rows.withColumn("window_end", end).withColumn("window_start", F.greatest(F.col("_first"), end - size))
+    inside = (F.col("_at") <= F.col("window_end")) & ((F.col("_at") > F.col("window_start")) | (F.col("_at") == F.col("_first")) & (F.col("window_start") == F.col("_first")))
+    return rows.where(inside).drop("_at", "_first", "_last")
+
+
 def newer_only(rows: DataFrame, keys: Sequence[str], order: Sequence[str], revision: str) -> DataFrame:
     """Rows whose revision is higher than any before it."""
     w = _order(keys, order).rowsBetween(Window.unboundedPreceding, -1)

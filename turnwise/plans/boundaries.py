@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import audio, boundary
@@ -83,3 +84,16 @@ def real_time_factor(spark, d):
     """Time taken over length of audio, 0 for none."""
     seconds = F.floor(F.octet_length("text") / 2) / float(audio.RATE)
     return table(spark, d, "benchmark").select("item_id", metrics.real_time_factor(F.col("item_id") % 9 + 1, seconds).alias("factor"))
+
+
+@query("H50_A33_resampled_packets", """
+    WITH c AS (SELECT vec_id // 8 AS client_id, flatten(list(list_transform(embedding, lambda x: x::DOUBLE) ORDER BY vec_id)) AS x FROM embeddings GROUP BY 1),
+    k AS (SELECT client_id, x, unnest(range(0, CAST(ceil((len(x) - 1) * 16000 / 44100.0) AS BIGINT))) AS k FROM c)
+    SELECT client_id, k, round(x[k * 44100 // 16000 + 1] + (x[k * 44100 // 16000 + 2] - x[k * 44100 // 16000 + 1]) * (k * 44100 % 16000 / 16000.0), 9) AS sample FROM k""")
+def resampled_packets(spark, d):
+    """Captures of 44.1 kHz that come in packets, at 16 kHz; positions fall between samples and packets."""
+    e = table(spark, d, "embeddings").select(F.floor(F.col("vec_id") / 8).alias("client_id"), "vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("samples"))
+    out = audio.resampled_packets(e, ["client_id"], "vec_id", 44_100)
+    each = out.select("client_id", F.col("vec_id").alias("packet"), F.posexplode("out").alias("i", "sample"))
+    place = F.row_number().over(Window.partitionBy("client_id").orderBy("packet", "i")) - 1
+    return each.select("client_id", place.cast("long").alias("k"), F.round("sample", 9).alias("sample"))

@@ -46,13 +46,15 @@ def nearest_rank(spark, d):
 @query("D11_half_even_rank", "SELECT l_orderkey, list_sort(list(l_quantity))[CAST(round_even((count(*) - 1) * 0.5, 0) AS BIGINT) + 1] AS p50 FROM lineitem GROUP BY l_orderkey")
 def half_even_rank(spark, d):
     """As D10, with ties of the index rounded to even."""
-    return table(spark, d, "lineitem").groupBy("l_orderkey").agg(metrics.nearest_rank(F.collect_list("l_quantity"), 0.5, True).alias("p50"))
+    return metrics.histogram_ranks(table(spark, d, "lineitem"), ["l_orderkey"], "l_quantity", {"p50": metrics.half_even(0.5)})
 
 
 @query("D12_upper_median", "SELECT l_orderkey, list_sort(list(l_quantity))[count(*) // 2 + 1] AS p50, min(l_quantity) AS least, max(l_quantity) AS most FROM lineitem GROUP BY l_orderkey")
 def upper_median(spark, d):
     """The upper median."""
-    return table(spark, d, "lineitem").groupBy("l_orderkey").agg(metrics.upper_median("l_quantity").alias("p50"), F.min("l_quantity").alias("least"), F.max("l_quantity").alias("most"))
+    l = table(spark, d, "lineitem").select("l_orderkey", "l_quantity")
+    ends = l.groupBy("l_orderkey").agg(F.min("l_quantity").alias("least"), F.max("l_quantity").alias("most"))
+    return ends.join(metrics.histogram_ranks(l, ["l_orderkey"], "l_quantity", {"p50": metrics.upper_middle}), "l_orderkey")
 
 
 @query("D13_stage_summary", """

@@ -33,7 +33,7 @@ def _stub_recogniser():
 def translation_worker(spark, d):
     """All final turns in chunks through the translator's boundary; a test holds it against a plain version."""
     c = table(spark, d, "conversations")
-    t = c.select("conv_id", "turn", F.col("text").alias("translation_input_text"), (F.col("role") == "user").alias("is_final"))
+    t = c.select("conv_id", "turn", F.col("text").alias("translation_input_text"), F.lit(True).alias("is_final"))
     return boundary.translated(t, _stub_translator).select("conv_id", "turn", "translation", "translation_status")
 
 
@@ -71,22 +71,21 @@ def storage_guard(spark, d):
     return table(spark, d, "events").select("event_id", (F.col("value") * 1000 >= 64000 + 4096).alias("ready"))
 
 
-#: Vietnamese phrases, as the driver's tables hold none, with the form that is shown and the form that is translated.
-PHRASES = (
-    ("năm hai nghìn mười tám", "Năm 2018.", "Năm hai nghìn mười tám."),
-    ("khu mười hai", "Khu 12.", "Khu mười hai."),
-    ("tăng mười lăm phần trăm", "Tăng 15%.", "Tăng mười lăm phần trăm."),
-    ("việt nam có đẹp không", "Việt Nam có đẹp không?", "Việt Nam có đẹp không?"),
-    ("tôi mười hai tuổi nhưng tôi ở hồ chí minh", "Tôi 12 tuổi, nhưng tôi ở Hồ Chí Minh.", "Tôi mười hai tuổi, nhưng tôi ở Hồ Chí Minh."),
-)
+def _vi_sql(n: str) -> str:
+    """A number below 1000 in Vietnamese words."""
+    digit = lambda x: f"(['một', 'hai', 'ba', 'bốn', 'năm', 'sáu', 'bảy', 'tám', 'chín'])[{x}]"
+    tens = f"CASE WHEN {n} // 10 % 10 = 1 THEN 'mười' WHEN {n} // 10 % 10 > 1 THEN {digit(f'{n} // 10 % 10')} || ' mươi' WHEN {n} >= 100 AND {n} % 10 > 0 THEN 'linh' END"
+    return f"CASE WHEN {n} = 0 THEN 'không' ELSE concat_ws(' ', CASE WHEN {n} >= 100 THEN {digit(f'{n} // 100')} || ' trăm' END, {tens}, CASE WHEN {n} % 10 > 0 THEN {digit(f'{n} % 10')} END) END"
 
 
 @query("B20_display_dispatch", f"""
+    WITH e AS (SELECT event_id, CAST(floor(value) AS BIGINT) AS n FROM events)
     SELECT doc_id, {_CLEAN_SQL} AS display, {_CLEAN_SQL} AS translation_input FROM documents UNION ALL
-    SELECT * FROM (VALUES {", ".join(f"({-1 - i}, '{shown}', '{told}')" for i, (_, shown, told) in enumerate(PHRASES))}) v(doc_id, display, translation_input)""")
+    SELECT -1 - event_id, 'Khu ' || n || ' ở Việt Nam, nhưng có đẹp không?', 'Khu ' || {_vi_sql("n")} || ' ở Việt Nam, nhưng có đẹp không?' FROM e""")
 def display_dispatch(spark, d):
-    """Vietnamese texts are shown and translated in their written forms, other languages in the canonical text."""
-    phrases = spark.createDataFrame([(-1 - i, p[0], "vi") for i, p in enumerate(PHRASES)], "doc_id bigint, text string, lang string")
+    """Vietnamese texts (here sentences about the numbers of events) are shown and translated in their written forms, other languages in the canonical text."""
+    said = F.concat_ws(" ", F.lit("khu"), numerals.vi_spelled(F.floor("value")), F.lit("ở việt nam nhưng có đẹp không"))
+    phrases = table(spark, d, "events").select((-1 - F.col("event_id")).alias("doc_id"), said.alias("text"), F.lit("vi").alias("lang"))
     t = table(spark, d, "documents").select("doc_id", "text", "lang").unionByName(phrases)
     vi, other = t.where("lang = 'vi'"), t.where("lang <> 'vi' or lang is null")
     shown = vi.select("doc_id", numerals.written_form("text").alias("display"), numerals.translation_form("text").alias("translation_input"))

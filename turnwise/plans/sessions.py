@@ -139,6 +139,25 @@ def live_windows(spark, d):
     return e.groupBy("user_id", F.unix_micros("w.start").alias("window_start_us")).agg(F.count("*").alias("n"), F.max("value").alias("peak"))
 
 
+_HOUR = 3_600_000_000
+
+
+@query("E17_anchored_windows", f"""
+    WITH e AS (SELECT user_id, event_id, value, epoch_us(ts) AS t FROM events),
+    f AS (SELECT *, CASE WHEN t - lag(t) OVER w <= {24 * _HOUR} THEN 0 ELSE 1 END AS fresh FROM e WINDOW w AS (PARTITION BY user_id ORDER BY t, event_id)),
+    g AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY t, event_id ROWS UNBOUNDED PRECEDING) AS turn_no FROM f),
+    s AS (SELECT user_id, turn_no, min(t) AS a, max(t) AS b FROM g GROUP BY ALL),
+    w AS (SELECT user_id, turn_no, k AS window_no, a, least(b, a + k * {3 * _HOUR}) AS till FROM s, unnest(generate_series(1, greatest(1, CAST(ceil((b - a) / {3 * _HOUR}.0) AS BIGINT)))) r(k))
+    SELECT user_id, CAST(turn_no AS BIGINT) AS turn_no, CAST(window_no AS BIGINT) AS window_no, count(*) AS n, max(value) AS peak FROM w JOIN g USING (user_id, turn_no)
+    WHERE t <= till AND (t > till - {8 * _HOUR} OR t = a AND t >= till - {8 * _HOUR}) GROUP BY ALL""")
+def anchored_windows(spark, d):
+    """Of each segment (a day's pause ends it) the last eight hours every three hours from its start, the last window as short as is left."""
+    at = micros("ts")
+    turns = sessions.gap_sessions(table(spark, d, "events"), ["user_id"], at, ["ts", "event_id"], 24 * _HOUR)
+    seen = sessions.live_windows(turns, ["user_id", "turn_no"], at, 3 * _HOUR, 8 * _HOUR)
+    return seen.groupBy("user_id", "turn_no", "window_no").agg(F.count("*").alias("n"), F.max("value").alias("peak"))
+
+
 @query(
     "E18_newer_revisions",
     """SELECT user_id, event_id, revision FROM (SELECT user_id, event_id, CAST(floor(value) AS BIGINT) AS revision,

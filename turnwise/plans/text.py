@@ -151,24 +151,25 @@ def translation_quality(spark, d):
 
 
 @query("D24_G2_distinct_and_recall", f"""
-    WITH t AS (SELECT doc_id, {_WORDS} AS w, regexp_extract_all(lower((SELECT text FROM benchmark WHERE item_id = 0)), '[\\p{{L}}\\p{{N}}]+') AS b FROM documents)
+    WITH d AS (SELECT doc_id, {_WORDS} AS w, doc_id % (SELECT count(*) FROM benchmark) AS item_id FROM documents), r AS (SELECT item_id, {_WORDS} AS b FROM benchmark), t AS (SELECT doc_id, w, b FROM d JOIN r USING (item_id))
     SELECT doc_id, len(list_distinct(w)) / greatest(1, len(w)) AS distinct_ratio, len(list_intersect(list_distinct(b), w)) / greatest(1, len(list_distinct(b))) AS recall FROM t""")
 def distinct_and_recall(spark, d):
-    """Share of different words, and recall of a reference text's words."""
-    b = table(spark, d, "benchmark").where("item_id = 0").select(T.words("text").alias("b"))
-    t = _words(spark, d).withColumn("b", b.scalar())
+    """Share of different words, and recall of the words of a reference text, one of them for each document."""
+    b = table(spark, d, "benchmark").select("item_id", T.words("text").alias("b"))
+    t = _words(spark, d).withColumn("item_id", F.col("doc_id") % b.agg(F.count("*")).scalar()).join(b, "item_id")
     return t.select("doc_id", T.distinct_ratio(F.col("w")).alias("distinct_ratio"), T.word_recall(F.col("b"), F.col("w")).alias("recall"))
 
 
 @query("D23_trigram_counts", f"""
-    WITH t AS (SELECT doc_id, {_WORDS} AS w FROM documents), g AS (SELECT doc_id, w[i] || ' ' || w[i+1] || ' ' || w[i+2] AS g FROM t, unnest(range(1, len(w) - 1)) r(i))
-    SELECT doc_id, max(n) AS most FROM (SELECT doc_id, g, count(*) AS n FROM g GROUP BY ALL) GROUP BY doc_id""")
+    WITH t AS (SELECT doc_id, {_WORDS} AS w FROM documents), g AS (SELECT doc_id, w[i] || ' ' || w[i+1] || ' ' || w[i+2] AS g FROM t, unnest(range(1, len(w) - 1)) r(i)),
+    m AS (SELECT doc_id, max(n) AS most FROM (SELECT doc_id, g, count(*) AS n FROM g GROUP BY ALL) GROUP BY doc_id)
+    SELECT doc_id, coalesce(most, 0) AS most FROM documents LEFT JOIN m USING (doc_id)""")
 def trigram_counts(spark, d):
     """How often the most frequent trigram of a text occurs."""
-    w = _words(spark, d).where(F.size("w") >= 3)
-    n = F.size("w") - 2
-    grams = F.explode(F.arrays_zip(F.slice("w", F.lit(1), n).alias("a"), F.slice("w", F.lit(2), n).alias("b"), F.slice("w", F.lit(3), n).alias("c")))
-    g = w.select("doc_id", grams.alias("g")).groupBy("doc_id", F.concat_ws(" ", "g.a", "g.b", "g.c").alias("g")).agg(F.count("*").alias("n"))
+    w = _words(spark, d)
+    n = F.greatest(F.size("w") - 2, F.lit(0))
+    grams = F.explode_outer(F.arrays_zip(F.slice("w", F.lit(1), n).alias("a"), F.slice("w", F.lit(2), n).alias("b"), F.slice("w", F.lit(3), n).alias("c")))
+    g = w.select("doc_id", grams.alias("g")).groupBy("doc_id", F.concat_ws(" ", "g.a", "g.b", "g.c").alias("g")).agg(F.count("g").alias("n"))
     return g.groupBy("doc_id").agg(F.max("n").alias("most"))
 
 
@@ -182,15 +183,15 @@ def id_anchors(spark, d):
 
 
 @query("C8_anchor_containment", r"""
-    WITH a AS (SELECT conv_id, turn, g FROM conversations, unnest(regexp_extract_all(text, '[0-9]+')) t(g)),
-    s AS (SELECT conv_id, turn, g, count(*) AS n FROM a GROUP BY ALL)
-    SELECT s.conv_id, s.turn, bool_and(coalesce(t.n, 0) >= s.n) AS contained FROM s LEFT JOIN (SELECT conv_id, turn - 1 AS turn, g, n FROM s) t USING (conv_id, turn, g) GROUP BY ALL""")
+    WITH a AS (SELECT doc_id, unnest(regexp_extract_all(text, '[0-9]+')) AS g FROM documents), s AS (SELECT doc_id, g, count(*) AS n FROM a GROUP BY ALL),
+    b AS (SELECT doc_id, unnest(regexp_extract_all(substring(text, 1, CAST(length(text) * (doc_id % 5 + 1) // 5 AS BIGINT)), '[0-9]+')) AS g FROM documents), t AS (SELECT doc_id, g, count(*) AS m FROM b GROUP BY ALL)
+    SELECT doc_id, bool_and(coalesce(m, 0) >= n) AS contained FROM s LEFT JOIN t USING (doc_id, g) GROUP BY doc_id""")
 def anchor_containment(spark, d):
-    """Each number of a turn must use up one of the next turn."""
-    c = table(spark, d, "conversations").select("conv_id", "turn", F.explode(F.regexp_extract_all("text", F.lit("[0-9]+"), F.lit(0))).alias("g"))
-    s = c.groupBy("conv_id", "turn", "g").agg(F.count("*").alias("n"))
-    t = s.select("conv_id", (F.col("turn") - 1).alias("turn"), "g", F.col("n").alias("m"))
-    return s.join(t, ["conv_id", "turn", "g"], "left").groupBy("conv_id", "turn").agg(F.bool_and(F.coalesce("m", F.lit(0)) >= F.col("n")).alias("contained"))
+    """Each number of a text must use up one of a shortened copy of it (a fifth to all of the text)."""
+    t = table(spark, d, "documents").select("doc_id", "text", F.substring("text", F.lit(1), F.floor(F.length("text") * (F.col("doc_id") % 5 + 1) / 5).cast("int")).alias("other"))
+    numbers = lambda c, n: t.select("doc_id", F.explode(F.regexp_extract_all(c, F.lit("[0-9]+"), F.lit(0))).alias("g")).groupBy("doc_id", "g").agg(F.count("*").alias(n))
+    both = numbers("text", "n").join(numbers("other", "m"), ["doc_id", "g"], "left")
+    return both.groupBy("doc_id").agg(F.bool_and(F.coalesce("m", F.lit(0)) >= F.col("n")).alias("contained"))
 
 
 def _in_sql(words) -> str:
@@ -219,16 +220,33 @@ def written_form(spark, d):
     return c.select("conv_id", "turn", numerals.vi_value("text").alias("value"), numerals.written_form("text").alias("display"), numerals.translation_form("text").alias("translation_input"))
 
 
-EN_PHRASES = ("two hundred and five thousand people", "Hundred", "it is forty-two, not one million three", "no number")
+#: Whole numbers of the tables, up to the billions, by the number of an event.
+_NUMBERS = "event_id * 7919 * (event_id % 13) * (event_id % 7 + 1) % 1000000000000"
 
 
-@query("H27_english_numbers")
+@query("H27_english_numbers", f"""
+    SELECT event_id, CAST(0 AS INTEGER) AS run_no, {_NUMBERS} AS value FROM events UNION ALL SELECT event_id, 1, CAST(floor(value) AS BIGINT) FROM events""")
 def english_numbers(spark, d):
-    """Each run of English number words in a text with its value, where it has one; phrases beside the documents, whose invented prose has few."""
-    phrases = spark.createDataFrame([(-1 - i, p) for i, p in enumerate(EN_PHRASES)], "doc_id bigint, text string")
-    texts = table(spark, d, "documents").select("doc_id", "text").unionByName(phrases)
-    runs = texts.select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(numerals.EN_RUN), F.lit(0))).alias("run_no", "phrase"))
-    return runs.select("doc_id", "run_no", "phrase", numerals.en_value("phrase").alias("value"))
+    """The numbers of events, spelled out in a sentence, found as runs of number words and read again."""
+    n, m = F.expr(_NUMBERS), F.floor("value")
+    said = F.concat(F.lit("There were "), numerals.en_spelled(n), F.lit(" people, not "), numerals.en_spelled(m), F.lit(", in the tent."))
+    runs = table(spark, d, "events").select("event_id", said.alias("text")).select("event_id", F.posexplode(F.regexp_extract_all("text", F.lit(numerals.EN_RUN), F.lit(0))).alias("run_no", "phrase"))
+    return runs.select("event_id", "run_no", numerals.en_value("phrase").alias("value"))
+
+
+@query("H20_H22_H71_numbers_in_words", f"""
+    SELECT event_id, CAST({_NUMBERS} AS VARCHAR) AS value, CAST({_NUMBERS} AS VARCHAR) || '.' || CAST(event_id AS VARCHAR) AS decimal_value,
+      'tăng ' || CAST(floor(value) AS BIGINT) || '% khu ' || CAST(floor(value) AS BIGINT) || ' có ' || replace(CAST(event_id % 1000 AS VARCHAR), '5', '6') || ' người' AS display FROM events""")
+def numbers_in_words(spark, d):
+    """The numbers of events in Vietnamese words, read again as whole numbers, decimals, percentages, labelled and counted numbers.
+
+    What is counted has no five: its word is also that for years, which the counting rule takes for what is counted."""
+    e = table(spark, d, "events").select("event_id", F.expr(_NUMBERS).alias("n"), F.floor("value").alias("m"))
+    digits = F.array_join(F.transform(F.split(F.col("event_id").cast("string"), ""), lambda c: numerals.vi_spelled(c.cast("int"))), " ")
+    words = numerals.vi_spelled(F.col("n"))
+    said = F.concat_ws(" ", F.lit("tăng"), numerals.vi_spelled(F.col("m")), F.lit("phần trăm khu"), numerals.vi_spelled(F.col("m")), F.lit("có"), numerals.vi_spelled(F.translate((F.col("event_id") % 1000).cast("string"), "5", "6").cast("int")), F.lit("người"))
+    decimal = F.concat_ws(" ", words, F.lit(numerals.POINT), digits)
+    return e.select("event_id", numerals.vi_value(words).alias("value"), numerals.vi_value(decimal).alias("decimal_value"), numerals.digits_form(said).alias("display"))
 
 
 @query("B7_H28_H29_lost_anchors")
