@@ -5,10 +5,12 @@ A row collides with a query on a line if it lies in a window around the query's
 The windows widen level by level (virtual rehashing): a level stands for a radius R and its
 windows have half-width R * WIDTH; only the rings that a level adds are counted. A row at distance
 d collides on a line with chance erf(R WIDTH / (d sqrt 2)), so collisions order rows by distance.
-Rows are verified by their true score in that order, down to the threshold: the collisions that a
-row at the kth distance found so far falls short of with a chance of some SLACK deviates only. The
-threshold rises with each better kth distance. The search ends with the first level whose radius
+Rows are verified by their true score down to the threshold: the collisions that a row at the kth
+distance found so far falls short of with a chance of some SLACK deviates only. Those that collide
+most are verified first, as their kth distance raises the threshold for the others. The search ends with the first level whose radius
 holds k verified rows; a query that comes with a score to reach starts at that score's radius.
+Queries are counted many at a time: a window is a range of places on a sorted line, so one
+comparison of places tells for all rows whether they are in it.
 
 Inner products become distances by one extra coordinate, sqrt(M^2 - |x|^2) with M the largest norm
 of the block: for a query scaled to norm M the squared distance is 2 M^2 - 2 M q.x / |q|.
@@ -25,62 +27,67 @@ from .vectors import search, usable
 
 LINES = 64
 WIDTH = 1.0
-START, GROWTH = 0.05, 1.2
+#: Rows that a query looks at to guess its first radius, the share of their least distance that it is, and the least radius.
+GLANCE, SHARE, START, GROWTH = 256, 0.7, 0.05, 1.4
 #: Normal deviates by which the threshold lies below the expected collisions of a row at the kth distance.
 SLACK = 1.6
-#: Rows verified at first; each time after that twice as many.
+#: Rows of each query that are verified at first, the ones that collide most; their kth distance sets the threshold for the rest.
 VERIFIED = 256
+#: Queries whose windows are widened together, and the share of pairs up to which they are verified one by one.
+TOGETHER, SPARSE = 128, 0.02
 SEED = 20
 
 
-def threshold(lines: int, radius: float, distance: float) -> float:
+def threshold(lines: int, radius, distance):
     """Collisions in windows of ``radius`` that a row at ``distance`` nearly always has."""
-    p = erf(radius * WIDTH / (max(distance, 1e-12) * sqrt(2)))
-    return lines * p - SLACK * sqrt(lines * p * (1 - p))
+    share = radius * WIDTH / np.maximum(distance, 1e-12) / sqrt(2)
+    p = _erf(share)
+    return lines * p - SLACK * np.sqrt(lines * p * (1 - p))
+
+
+def _erf(x):
+    return np.vectorize(erf, otypes=[float])(x)
 
 
 def _exact(x: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Inner products summed from the first component to the last, whatever the number of rows."""
+    """Inner products of pairs (a row of each) summed from the first component to the last, whatever their number."""
     total = np.zeros(len(x))
-    for j in range(len(q)):
-        total += x[:, j] * q[j]
+    for j in range(x.shape[1]):
+        total += x[:, j] * q[:, j]
     return total
 
 
 class Lines:
-    """The sorted projections of a block, one after another in a single array (each shifted by STEP times its number)."""
-
-    STEP = 1e4
+    """The sorted projections of a block on each line, and each row's place among them."""
 
     def __init__(self, unit: np.ndarray, lines: int):
         self.n, self.lines = len(unit), lines
         self.line = np.random.default_rng(SEED).standard_normal((unit.shape[1], lines))
         at = (unit @ self.line).T
-        self.order = np.argsort(at, axis=1, kind="stable").astype(np.int32).reshape(-1)
-        self.begins = np.arange(lines) * len(unit)
-        self.shift = np.arange(lines) * self.STEP
-        self.at = (np.sort(at, axis=1) + self.shift[:, None]).reshape(-1)
-
-    def window(self, centre: np.ndarray, half: float) -> tuple[np.ndarray, np.ndarray]:
-        return np.searchsorted(self.at, centre - half, "left"), np.searchsorted(self.at, centre + half, "right")
-
-    def _times(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-        rows = [self.order[a:b] for a, b in zip(low.tolist(), high.tolist(), strict=True) if a < b]
-        return np.bincount(np.concatenate(rows), minlength=self.n).astype(np.int16) if rows else np.zeros(self.n, np.int16)
-
-    def collisions(self, window: tuple[np.ndarray, np.ndarray], before: tuple | None) -> np.ndarray:
-        """Lines on which each row lies in ``window``, from those for the narrower window ``before`` (window, counts), if there is one.
-
-        Only the rings between both are gone over, or what lies outside of the window, if that is less.
-        """
-        low, high = window
-        outside = self.n * self.lines - int((high - low).sum())
-        rings = int((high - low).sum()) if before is None else int((high - low).sum() - (before[0][1] - before[0][0]).sum())
-        if outside < rings:
-            return np.int16(self.lines) - self._times(np.concatenate([self.begins, high]), np.concatenate([low, self.begins + self.n]))
-        if before is None:
-            return self._times(low, high)
-        return before[1] + self._times(np.concatenate([low, before[0][1]]), np.concatenate([before[0][0], high]))
+        order = np.argsort(at, axis=1, kind="stable")
+        self.at = np.take_along_axis(at, order, axis=1)
+        self.place = np.empty((lines, self.n), np.uint32 if self.n >= 1 << 16 else np.uint16)
+        np.put_along_axis(self.place, order, np.arange(self.n, dtype=self.place.dtype)[None], axis=1)
+
+    def window(self, centre: np.ndarray, half: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First place in the window of each query (a line each) on each line, and the place after its last."""
+        low, high = np.empty(centre.shape, np.int64), np.empty(centre.shape, np.int64)
+        for j in range(self.lines):
+            low[:, j] = np.searchsorted(self.at[j], centre[:, j] - half, "left")
+            high[:, j] = np.searchsorted(self.at[j], centre[:, j] + half, "right")
+        return low, high
+
+    def collisions(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """For each query the number of lines on which each row lies in its window."""
+        counts = np.zeros((len(low), self.n), np.uint8)
+        from_low, inside = np.empty(counts.shape, self.place.dtype), np.empty(counts.shape, bool)
+        low, size = low.astype(self.place.dtype), (high - low).astype(self.place.dtype)
+        for j in range(self.lines):
+            # One comparison for both ends: places before the window wrap around to large numbers.
+            np.subtract(self.place[j][None, :], low[:, j, None], out=from_low)
+            np.less(from_low, size[:, j, None], out=inside)
+            counts += inside.view(np.uint8)
+        return counts
 
 
 def nearest(ids, x, q_ids, q, floor, k, lines: int = LINES, verified: list | None = None):
@@ -95,76 +102,85 @@ def nearest(ids, x, q_ids, q, floor, k, lines: int = LINES, verified: list | Non
     index = Lines(unit, lines)
     centres = np.column_stack([q / own[:, None], np.zeros(len(q))]) @ index.line
     out = [], [], []
-
-    def distance(i: int, score: float) -> float:
-        return sqrt(max(0.0, 2 - 2 * score / (own[i] * largest)))
-
-    for i in range(len(q)):
-        seen = ids == q_ids[i]
-        others = len(ids) - int(seen.sum())
-        centre = centres[i] + index.shift
-        known = floor[i] > -np.inf
-        # Only rows that reach the floor are asked for: their radius is the one level needed.
-        radius = min(2.0, max(START, distance(i, floor[i]) * (1 + 1e-9))) if known else START
-        before = None
-        found, near, total = [], [], 0
-        best = np.empty(0)  # the k best scores so far
-        kth = floor[i] if known else -np.inf
-        while True:
-            window = index.window(centre, radius * WIDTH)
-            if (window[1] - window[0]).sum() >= threshold(lines, radius, radius) or radius >= 2:
-                counts = index.collisions(window, before)
-                before = window, counts
-                reach = distance(i, kth) if kth > -np.inf else radius
-                new = np.flatnonzero((counts >= threshold(lines, radius, reach)) & ~seen)
-                new = new[np.argsort(-counts[new], kind="stable")]
-                size = VERIFIED
-                while len(new):
-                    part = new[:size]
-                    part = part[counts[part] >= threshold(lines, radius, reach)]
-                    if not len(part):
-                        break
-                    seen[part] = True
-                    score = x[part] @ q[i]
-                    found.append(part)
-                    near.append(score)
-                    total += len(part)
-                    new, size = new[size:], size * 2
-                    best = np.concatenate([best, score])
-                    if len(best) >= k:
-                        best = np.partition(best, len(best) - k)[len(best) - k :]
-                        kth = max(kth, best[0])
-                        reach = min(reach, distance(i, kth))
-            if known or total >= others or total >= k and distance(i, kth) <= radius:
-                break
-            if radius >= 2:
-                if total < k:  # fewer than k rows have collided often enough: the rest is verified
-                    rest = np.flatnonzero(~seen)
-                    found.append(rest)
-                    near.append(x[rest] @ q[i])
-                    total += len(rest)
-                break
-            radius = min(2.0, radius * GROWTH)
+    for start in range(0, len(q), TOGETHER):
+        some = slice(start, start + TOGETHER)
+        at, of, score, totals = _some(ids, x, q_ids[some], q[some], floor[some], k, index, centres[some], own[some] * largest)
+        out[0].append(at + start)
+        out[1].append(of)
+        out[2].append(score)
         if verified is not None:
-            verified.append(total)
-        if not total:
-            continue
-        found, near = np.concatenate(found), np.concatenate(near)
-        least = floor[i]
-        if len(near) > k:
-            least = max(least, np.partition(near, len(near) - k)[len(near) - k])
-        keep = near >= least - 1e-9 * max(1.0, abs(least)) if least > -np.inf else np.ones(len(near), bool)
-        found = found[keep]
-        score = _exact(x[found], q[i])
-        first = np.lexsort((ids[found], -score))[:k]
-        out[0].append(np.full(len(first), i))
-        out[1].append(found[first])
-        out[2].append(score[first])
-    if not out[0]:
-        return np.empty(0, int), np.empty(0, int), np.empty(0)
+            verified.extend(totals.tolist())
     return tuple(np.concatenate(a) for a in out)
 
 
+def _some(ids, x, q_ids, q, floor, k, index: Lines, centres, scale):
+    """``nearest`` of a few queries, whose windows are widened level by level together."""
+    n, m = len(ids), len(q)
+    itself = ids[None, :] == q_ids[:, None]
+    others = n - itself.sum(axis=1)
+    score = np.full((m, n), -np.inf)
+    known = floor > -np.inf
+    distance = lambda s, which: np.sqrt(np.maximum(0.0, 2 - 2 * s / scale[which]))
+    # Only rows that reach the floor are asked for: their radius is the one level needed.
+    glance = np.where(itself[:, :: max(1, n // GLANCE)], -np.inf, q @ x[:: max(1, n // GLANCE)].T).max(axis=1)
+    guess = SHARE * distance(np.maximum(glance, -scale), slice(None))
+    radius = np.clip(np.where(known, distance(np.where(known, floor, 0.0), slice(None)) * (1 + 1e-9), guess), START, 2.0)
+    seen = itself.copy()
+    kth, total = floor.copy(), np.zeros(m, int)
+
+    def verify(which: np.ndarray, chosen: np.ndarray) -> None:
+        """Scores of the chosen rows (a line for each query of ``which``): pair by pair where they are few, else as one product."""
+        if chosen.sum() <= SPARSE * chosen.size:
+            i, j = np.nonzero(chosen)
+            score[which[i], j] = np.einsum("ij,ij->i", q[which[i]], x[j])
+        else:
+            held = score[which]
+            np.copyto(held, q[which] @ x.T, where=chosen)
+            score[which] = held
+        total[which] += chosen.sum(axis=1)
+        seen[which] |= chosen
+        full = which[total[which] >= k]
+        if len(full):
+            kth[full] = np.maximum(kth[full], np.partition(score[full], n - k, axis=1)[:, n - k])
+
+    active = np.arange(m)
+    while len(active):
+        low, high = index.window(centres[active], radius[active])
+        # A level whose windows can't hold one row often enough is passed over.
+        enough = ((high - low).sum(axis=1) >= threshold(index.lines, radius[active], radius[active])) | (radius[active] >= 2)
+        now = active[enough]
+        if len(now):
+            counts = index.collisions(low[enough], high[enough])
+            counts[seen[now]] = 0
+            for first in (True, False):
+                reach = np.where(kth[now] > -np.inf, distance(kth[now], now), radius[now])
+                least = np.maximum(threshold(index.lines, radius[now], reach), 1)
+                if first and n > VERIFIED:
+                    most = np.partition(counts, n - VERIFIED, axis=1)[:, n - VERIFIED]
+                    least = np.maximum(least, most)
+                chosen = counts >= least[:, None]
+                verify(now, chosen)
+                counts[chosen] = 0
+            last = now[(radius[now] >= 2) & (total[now] < k) & ~known[now]]
+            if len(last):  # fewer than k rows have collided often enough: the rest is verified
+                verify(last, ~seen[last])
+            near = np.where(total[now] >= k, distance(kth[now], now), np.inf)
+            ended = known[now] | (total[now] >= others[now]) | (near <= radius[now]) | (radius[now] >= 2)
+            active = np.setdiff1d(active, now[ended])
+        radius[active] = np.minimum(2.0, radius[active] * GROWTH)
+    least = floor.copy()
+    if n > k:
+        least = np.maximum(least, np.partition(score, n - k, axis=1)[:, n - k])
+    slack = np.where(least > -np.inf, 1e-9 * np.maximum(1.0, np.abs(least)), 0.0)
+    i, j = np.nonzero((score >= (least - slack)[:, None]) & (score > -np.inf))
+    exact = _exact(x[j], q[i])
+    order = np.lexsort((ids[j], -exact, i))
+    i, j, exact = i[order], j[order], exact[order]
+    place = np.arange(len(i)) - np.searchsorted(i, i)
+    best = place < k
+    return i[best], j[best], exact[best], total
+
+
 def approximate_neighbours(embeddings: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
     """query_id, rank, vec_id, score (inner product) of the ``k`` nearest rows found for each query.
 

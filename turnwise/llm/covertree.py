@@ -22,6 +22,8 @@ SCALE = 64
 LEAF, GROUP = 32, 16
 #: Reach of a child's centre as a share of its parent's radius.
 SHRINK = 0.75
+#: A set is not divided if more than this share of a bounded sample of it would be centres: its rows lie apart from each other.
+APART, LOOKED_AT = 0.4, 512
 #: Queries without close neighbours among each other that are handled together.
 LOOSE = 64
 #: Row nodes that a group of queries opens or scores at first.
@@ -54,10 +56,24 @@ class Tree:
             rows = self.rows[at]
             if len(rows) <= self.leaf or self.radius[at] == 0:
                 continue
+            if self._apart(rows, self.radius[at] * SHRINK):
+                continue
             children = [self._node(part, centre) for part, centre in self._net(rows, self.centre[at], self.radius[at] * SHRINK)]
             self.children[at], self.rows[at] = np.array(children), None
             todo += children
 
+    def _apart(self, rows: np.ndarray, reach: float) -> bool:
+        """Whether hardly any rows lie within ``reach`` of each other, so that children would hold little more than their centres."""
+        some = self.x[rows[:: max(1, len(rows) // LOOKED_AT)][:LOOKED_AT]]
+        near = distances(some, some) <= reach
+        free, centres = np.ones(len(some), bool), 0
+        for i in range(len(some)):
+            if free[i]:
+                centres += 1
+                free &= ~near[i]
+                free[i] = False
+        return centres > APART * len(some)
+
     def _net(self, rows: np.ndarray, centre: int, reach: float) -> list[tuple[np.ndarray, int]]:
         """Centres further apart than ``reach`` such that each row has one within it, and the rows nearest to each."""
         x = self.x[rows]
@@ -204,6 +220,8 @@ def top(ids, x, q_ids, q, floor, k, scored: list | None = None):
         while nodes and sum(map(len, rows)) <= 2 * k:
             m = nodes.pop()
             if data.children[m] is None:
+                if len(data.rows[m]) > 8 * data.leaf:
+                    return  # undivided: it is scored as a whole anyway
                 rows.append(data.rows[m])
             else:
                 c = data.children[m]

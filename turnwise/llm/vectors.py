@@ -23,8 +23,10 @@ from .common import cut
 QUERY_EVERY = 20
 TOP = 20
 #: Pivots at most, rows that they are picked from (both bound what the driver holds), rows that a pivot stands for.
-PIVOTS, SAMPLE, CELL = 256, 4096, 4096
-ROW_BLOCK, QUERY_BLOCK = 8192, 16384
+PIVOTS, SAMPLE, CELL = 1024, 8192, 4096
+#: Rows of a block, and as many queries for each time that its index is built. Blocks grow with the table, so that queries
+#: without close neighbours, which visit all of them, aren't copied to ever more.
+ROW_BLOCK, LARGEST_BLOCK, BLOCKS, QUERY_BLOCK = 8192, 65536, 64, 16384
 #: Share by which upper bounds are raised, so that rounding never prunes.
 ROUNDING = 1e-9
 
@@ -179,7 +181,7 @@ def search(rows: DataFrame, kernel: Kernel, score: str, k: int = TOP, every: int
     pivots = _pivots(rows, n)
     placed = cut(_placed(rows, pivots))
     cells = placed.groupBy("dim", "cell").agg(F.count("*").alias("rows"), F.max("gap").alias("radius"), F.max("norm").alias("largest"))
-    cells = cut(cells.withColumn("parts", F.ceil(F.col("rows") / ROW_BLOCK).cast("int")))
+    cells = cut(cells.withColumn("parts", F.ceil(F.col("rows") / min(LARGEST_BLOCK, max(ROW_BLOCK, n // BLOCKS))).cast("int")))
     # One row a pivot: bounded.
     known = {(r.dim, r.cell): (r.radius, r.largest) for r in cells.where("cell >= 0").collect()}
     dealt = placed.join(cells.select("dim", "cell", "parts"), ["dim", "cell"]).withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.col("parts")).cast("int"))
@@ -195,7 +197,7 @@ def search(rows: DataFrame, kernel: Kernel, score: str, k: int = TOP, every: int
     floored = queries.withColumn("seen", seen).join(kth.join(again, "vec_id"), "vec_id", "left").withColumn("floor", F.coalesce("kth", F.lit(float("-inf"))))
     routed = _routed(floored, pivots, known).withColumn("cell", F.explode("cells"))
     visits = routed.join(cells.select("dim", "cell", "parts"), ["dim", "cell"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    visits = cut(visits.where(F.concat_ws(":", "cell", "block") != F.col("seen")).select("vec_id", "v", "dim", "cell", "block", "floor"))
+    visits = visits.where(F.concat_ws(":", "cell", "block") != F.col("seen")).select("vec_id", "v", "dim", "cell", "block", "floor")
     found = first.unionByName(_visited(visits, blocks, kernel, score, k)).distinct()
     ranked = found.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
