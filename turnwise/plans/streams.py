@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from ..operators import gate, idempotency
 from ..registry import query
-from ..streaming import joins, late, processors, run
+from ..sources import spool
+from ..streaming import joins, late, processors, run, upsert
 from .common import UTTERANCES_SQL, micros, table, utterances
 
 #: A hold of ten minutes and windows a hundred times wider than the product's, for the density of the test.
@@ -104,3 +105,28 @@ def request_lifecycle(spark, d):
     last = [event(5, "begin", "d"), event(6, "finish", "d", ok=True)]
     events = table(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("key"), F.explode(F.concat(F.array(*begins), ends, F.array(*last))).alias("e")).select("key", "e.*", F.col("e.at_ms").alias("seq"))
     return idempotency.resolved(events).select("key", "request_id", "idempotency_status", "answered_by")
+
+
+@query("S13_S34_upserted_rows", """
+    SELECT user_id, event_type, event_id, revision FROM (SELECT user_id, event_type, event_id, CAST(floor(value) AS BIGINT) AS revision,
+      row_number() OVER (PARTITION BY user_id, event_type ORDER BY floor(value) DESC, event_id) AS place FROM events) WHERE place = 1""")
+def upserted_rows(spark, d):
+    """A stream of revisions kept as a table of the newest row of each key."""
+    stream = run.as_stream(spark, f"{d}/events.parquet").select("user_id", "event_type", "event_id", F.floor("value").alias("revision"))
+    folder = run.shared_folder(spark)
+    done = upsert.upsert(stream, folder, ["user_id", "event_type"], "revision", buckets=8, availableNow=True)
+    done.awaitTermination()
+    if done.exception() is not None:
+        raise done.exception()
+    return upsert.table(spark, folder, stream.schema)
+
+
+@query("A6_A7_A8_committed_pairs", "SELECT CAST(item_id AS VARCHAR) AS segment_id, CAST(strlen(text) AS INTEGER) AS n_pcm, CAST(strlen(text) + 44 AS INTEGER) AS n_wav, lower(sha256(text)) AS pcm_sha256 FROM benchmark")
+def committed_pairs(spark, d):
+    """Segments written as pairs of samples and WAV file by a data source that publishes all of a write or nothing, and read again."""
+    spool.register(spark)
+    folder = run.shared_folder(spark).removeprefix("file://")
+    rows = table(spark, d, "benchmark").select(F.col("item_id").alias("segment_id"), F.col("text").cast("binary").alias("pcm"))
+    rows.write.format("audio_pairs").mode("append").save(folder)
+    found = spool.pairs(spark, folder)
+    return found.select("segment_id", F.octet_length("pcm").alias("n_pcm"), F.octet_length("wav").alias("n_wav"), F.sha2("pcm", 256).alias("pcm_sha256"))
