@@ -121,7 +121,7 @@ def upserted_rows(spark, d):
     return upsert.table(spark, folder, stream.schema)
 
 
-@query("A6_A7_A8_committed_pairs", "SELECT CAST(item_id AS VARCHAR) AS segment_id, CAST(strlen(text) AS INTEGER) AS n_pcm, CAST(strlen(text) + 44 AS INTEGER) AS n_wav, lower(sha256(text)) AS pcm_sha256 FROM benchmark")
+@query("A6_A7_A8_committed_pairs", "SELECT CAST(item_id AS VARCHAR) AS segment_id, CAST(strlen(text) AS INTEGER) AS n_pcm, CAST(strlen(text) // 2 * 2 + 44 AS INTEGER) AS n_wav, lower(sha256(text)) AS pcm_sha256 FROM benchmark")
 def committed_pairs(spark, d):
     """Segments written as pairs of samples and WAV file by a data source that publishes all of a write or nothing, and read again."""
     spool.register(spark)
