@@ -176,9 +176,12 @@ def copied(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
     """
     names = docs.columns
     whole = F.xxhash64(*[F.col(f"`{c}`") for c in names])
-    counts = mixed(docs, weights, whole).groupBy("doc_id", "mark", "source").agg(F.sum("copies").cast("int").alias("copies")).where("copies > 0").alias("c")
-    mark, copy = unused(names, "mix_mark"), unused([*names, "copies"], "mix_copy")
-    rows = docs.withColumn(mark, whole).dropDuplicates(["doc_id", mark, "source"]).alias("d")
-    same = F.col("d.doc_id").eqNullSafe(F.col("c.doc_id")) & (F.col(f"d.{mark}") == F.col("c.mark")) & F.col("d.source").eqNullSafe(F.col("c.source"))
-    taken = rows.join(counts, same).select(*[F.col(f"d.`{c}`") for c in names], F.explode(F.sequence(F.lit(1), F.col("c.copies"))).alias(copy))
+    counts = mixed(docs, weights, whole).groupBy("doc_id", "mark", "source").agg(F.sum("copies").cast("int").alias("copies")).where("copies > 0")
+    mark, key, copy = unused(names, "mix_mark"), unused(names, "mix_key"), unused([*names, "mix_copies"], "mix_copy")
+    own = unused(names, "mix_copies")
+    # Two digests that are never null stand for a row: the rows are dealt by them once, for repeats and for the join.
+    digest = F.xxhash64(F.col("mark"), "doc_id", "source")
+    counts = counts.select(F.col("mark").alias(mark), digest.alias(key), F.col("copies").alias(own))
+    rows = docs.withColumn(mark, whole).withColumn(key, F.xxhash64(F.col(mark), "doc_id", "source")).dropDuplicates([mark, key])
+    taken = rows.join(counts, [mark, key]).select(*[F.col(f"`{c}`") for c in names], F.explode(F.sequence(F.lit(1), F.col(own))).alias(copy))
     return taken.drop(copy)

@@ -216,12 +216,13 @@ def survivors(docs: DataFrame, shingle: int = 4) -> DataFrame:
     table gives an empty result.
     """
     first = F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "mark"))
-    kept = _with_roots(docs, shingle).groupBy("root").agg(first.alias("k")).select(F.col("k.doc_id").alias("kept_id"), F.col("k.mark").alias("kept_mark"))
-    name = unused(docs.columns, "simhash_mark")
-    marked = docs.withColumn(name, mark(F.col("text"))).alias("d")
-    kept = kept.alias("k")
-    one = marked.join(kept, F.col("d.doc_id").eqNullSafe(F.col("k.kept_id")) & (F.col(f"d.{name}") == F.col("k.kept_mark")), "left_semi")
-    return one.dropDuplicates(["doc_id", name]).select(*[F.col(f"d.{c}") for c in docs.columns])
+    # Two digests that are never null stand for id and text: the texts are dealt by them once, for the join and for repeats.
+    digests = lambda doc_id, text: [F.xxhash64(F.lit(i), doc_id, text) for i in (1, 2)]
+    kept = _with_roots(docs, shingle).groupBy("root").agg(first.alias("k"))
+    names = [unused(docs.columns, f"simhash_key{i}") for i in (1, 2)]
+    kept = kept.select(*[d.alias(n) for d, n in zip(digests(F.col("k.doc_id"), F.col("k.mark")), names, strict=True)])
+    marked = docs.withColumns(dict(zip(names, digests(F.col("doc_id"), mark(F.col("text"))), strict=True)))
+    return marked.join(kept, names, "left_semi").dropDuplicates(names).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def hexadecimal(fp: Column) -> Column:
