@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from collections import OrderedDict
 from collections.abc import Callable, Iterator
 from typing import Any, Protocol
@@ -144,29 +145,42 @@ def diarised(segments: DataFrame, build: Callable[[], Callable[[dict], dict]]) -
 
 def beam(mode: Column) -> Column:
     """Beam of a translation mode."""
-    return F.when(F.lower(mode).isin("beam2", "qa", "retry", "2"), 2).otherwise(1)
+    return F.when(F.lower(mode).isin(*WIDE), 2).otherwise(1)
+
+
+#: Target languages by direction; models may begin their output with it and a colon.
+TARGETS = {"vi-en": "en", "en-vi": "vi"}
+WIDE = ("beam2", "qa", "retry", "2")
 
 
 def translated(turns: DataFrame, build: Callable[[], Callable[[dict], dict]], direction: str = "en-vi") -> DataFrame:
     """Final turns with their translation: chunks, one call each, joined; quality and anchors checked; failures have a status.
 
-    The check against the turn's present revision is ``turns.not_stale``.
+    The model is given direction, text and beam, which a column ``translation_mode`` may widen (see ``beam``). The target
+    language that an output begins with is taken off. The check against the turn's present revision is ``turns.not_stale``.
     """
     from ..operators.align import translation_chunks
     from .numerals import anchor_reason
 
+    if direction not in TARGETS:
+        raise ValueError(f"unsupported direction {direction}")
+    prefix = re.compile(rf"\s*{TARGETS[direction]}:\s*")
+    modes = ["translation_mode"] if "translation_mode" in turns.columns else []
+
     def make() -> Callable[[dict], dict]:
         model = build()
 
         def turn(row: dict) -> dict:
-            parts = [model({"direction": direction, "text": c})["text"] for c in translation_chunks(row["translation_input_text"])]
-            text = " ".join(" ".join(p.split()) for p in parts if p and p.strip())
+            wide = 2 if str(row.get("translation_mode") or "").lower() in WIDE else 1
+            parts = [model({"direction": direction, "text": c, "beam": wide})["text"] for c in translation_chunks(row["translation_input_text"])]
+            parts = [prefix.sub("", p, count=1) if prefix.match(p) else p for p in parts if p]
+            text = " ".join(" ".join(p.split()) for p in parts if p.strip())
             reason = "empty" if not text else anchor_reason(row["translation_input_text"], text)
             return {"translation": None if reason else text, "translation_status": reason or "ok"}
 
         return turn
 
-    return called(turns.where("is_final"), f"translate:{direction}", make, ["translation_input_text"], "translation string, translation_status string")
+    return called(turns.where("is_final"), f"translate:{direction}", make, ["translation_input_text", *modes], "translation string, translation_status string")
 
 
 def line_reply(line: str) -> dict:
