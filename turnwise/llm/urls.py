@@ -90,6 +90,12 @@ def _places(segments: Column) -> Column:
     return F.aggregate(segments, start, step, lambda acc: acc["out"])
 
 
+def _dealt(df: DataFrame) -> DataFrame:
+    """``df`` for a join on its host: the planner no longer knows how it is dealt out, so both sides are
+    shuffled for the join and Spark may split the partition of a host or place that very many rows have."""
+    return df.withColumn("host", F.concat("host", F.lit("")))
+
+
 def _templates(once: DataFrame) -> DataFrame:
     """host, bid, tid, t of each branch: its segments with those that vary as ``*``, and their digest.
 
@@ -98,10 +104,10 @@ def _templates(once: DataFrame) -> DataFrame:
     nodes = once.select("host", "bid", "urls", "ruled", F.explode(_places(F.col("branch"))).alias("n"))
     nodes = nodes.select("host", "bid", "urls", "n.*", (F.col("n.depth") <= F.col("ruled")).alias("fixed"))
     children = nodes.groupBy("host", "parent", "segment").agg(F.sum("urls").alias("urls"), F.max("fixed").alias("fixed"))
-    children = children.join(children.groupBy("host", "parent").agg(F.sum("urls").alias("total")), ["host", "parent"])
+    children = children.join(_dealt(children.groupBy("host", "parent").agg(F.sum("urls").alias("total"))), ["host", "parent"])
     rare = cut(children.where((F.col("urls") * DIFFERENT <= F.col("total")) & ~F.col("fixed")))
     places = rare.groupBy("host", "parent").agg(F.sum("urls").alias("rare"), F.max("total").alias("total")).where(F.col("rare") >= VARIES * (F.col("total") + DIFFERENT))
-    vary = rare.join(places.select("host", "parent"), ["host", "parent"], "left_semi").select("host", "parent", "segment", F.lit(True).alias("varies"))
+    vary = rare.join(_dealt(places.select("host", "parent")), ["host", "parent"], "left_semi").select("host", "parent", "segment", F.lit(True).alias("varies"))
     marked = nodes.join(vary, ["host", "parent", "segment"], "left")
     segment = F.when(F.col("varies"), F.lit("*")).otherwise(F.col("segment"))
     named = marked.groupBy("host", "bid").agg(F.array_sort(F.collect_list(F.struct("depth", segment.alias("segment")))).alias("s"))
@@ -168,7 +174,7 @@ def judged(pages: DataFrame, rules=RULES, labels: DataFrame | None = None) -> Da
     places = F.explode(F.concat(root, _places(F.col("t")))).alias("p")
     below = templates.where("labelled > 0").select("host", "labelled", "bad", places).groupBy("host", F.col("p.id").alias("id")).agg(F.sum("labelled").alias("n"), F.sum("bad").alias("b"))
     above = templates.select("host", "tid", "last", places).where("p.depth <= greatest(last, 0)").select("host", "tid", "p.depth", "p.id")
-    chain = above.join(below, ["host", "id"]).groupBy("host", "tid").agg(F.array_sort(F.collect_list(F.struct("depth", "n", "b"))).alias("chain"))
+    chain = above.join(_dealt(below), ["host", "id"]).groupBy("host", "tid").agg(F.array_sort(F.collect_list(F.struct("depth", "n", "b"))).alias("chain"))
     every = once.agg(F.sum("bad"), F.sum("labelled")).first()
     prior = ((every[0] or 0.0) + STRENGTH * PRIOR) / ((every[1] or 0) + STRENGTH)
     known = templates.join(_merged(templates), ["host", "family", "labelled", "bad"], "left").join(chain, ["host", "tid"], "left")
@@ -185,7 +191,7 @@ def judged(pages: DataFrame, rules=RULES, labels: DataFrame | None = None) -> Da
     known = known.withColumn("j", F.aggregate(places_down, start, down))
     template = F.concat_ws(":", "family", F.coalesce(F.col("part").cast("string"), F.lit("-")))
     verdicts = known.select("host", "tid", template.alias("template"), F.coalesce("j.purity", "j.p").alias("purity"), F.col("j.n").alias("n_labelled"))
-    by_branch = named.select("host", "bid", "tid").join(verdicts, ["host", "tid"]).drop("tid")
+    by_branch = named.select("host", "bid", "tid").join(_dealt(verdicts), ["host", "tid"]).drop("tid")
     out = rows.join(by_branch, ["host", "bid"], "left")
     reject = (F.col("n_labelled") >= LABELLED) & (F.col("purity") >= THRESHOLD)
     own = F.when(F.coalesce(reject, F.lit(False)), "block").otherwise("allow")
