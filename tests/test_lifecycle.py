@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from turnwise.functions import numerals
 from turnwise.functions import text as T
 from turnwise.operators import align, idempotency, intervals, lifecycle, metrics, sessions, vad
+from turnwise.plans import conversation
 from turnwise.streaming import stateful
 
 
@@ -297,6 +298,16 @@ def test_blocks_of_other_speakers_and_clean_ranges(spark):
             assert found[room, label] == points - others
 
 
+def test_events_of_a_busy_room_are_many_tasks(spark, tmp_path):
+    """One room: each event goes to all other clients once, and not all in one task."""
+    rows = [(i, 3 * (i % 40), "error" if i % 2 else "view") for i in range(400)]
+    spark.createDataFrame(rows, "event_id long, user_id long, event_type string").write.parquet(f"{tmp_path}/events.parquet")
+    out = conversation.fanout(spark, str(tmp_path))
+    expected = sorted((i, 3 * c) for i, u, kind in rows if kind == "error" for c in range(40) if 3 * c != u)
+    assert sorted(map(tuple, out.collect())) == expected
+    assert len({r.p for r in out.select(F.spark_partition_id().alias("p")).collect()}) > 20
+
+
 def test_stretches_of_packets_equal_the_whole(spark):
     rng = random.Random(3)
     rows, at = [], 0
