@@ -298,6 +298,28 @@ def test_blocks_of_other_speakers_and_clean_ranges(spark):
             assert found[room, label] == points - others
 
 
+def _above_the_join(df):
+    """The plan from the top down to the first join."""
+    return df._jdf.queryExecution().executedPlan().toString().split("Join")[0]
+
+
+def test_blocks_of_speakers_with_equal_segments_are_no_pairs(spark):
+    """Many labels with the same segments, empty and null ones too: found once for each segment, and not shuffled to be told apart."""
+    rng = random.Random(11)
+    rows = [(0, label, s, e) for s, e in ((0, 50), (20, 70), (20, 20), (65, 180)) for label in range(rng.randint(1, 40))]
+    rows += [(1, 7, 0, 50), (1, 7, 10, 60), (1, None, 0, 50), (None, 3, 0, 50), (None, 4, 0, 50)] + [(2, label, 5, 9) for label in (1, 1, 2)]
+    df = spark.createDataFrame(rows, "room int, label int, start long, end long")
+    expected = {
+        (r, a, s, e, max(s, t), min(e, f)) for r, a, s, e in rows for q, b, t, f in rows
+        if None not in (r, q, a, b) and r == q and a != b and s < f and t < e
+    }
+    for slot in (17, 60_000):
+        got = intervals.blocked_by_others(df, ["room"], slot)
+        found = list(map(tuple, got.collect()))
+        assert len(found) == len(set(found)) and set(found) == expected
+        assert "Exchange" not in _above_the_join(got)
+
+
 def test_events_of_a_busy_room_are_many_tasks(spark, tmp_path):
     """One room: each event goes to all other clients once, and not all in one task."""
     rows = [(i, 3 * (i % 40), "error" if i % 2 else "view") for i in range(400)]

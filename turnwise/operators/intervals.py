@@ -81,22 +81,26 @@ def subtracted(base: DataFrame, blocked: DataFrame, keys: Sequence[str], least:
 def blocked_by_others(segments: DataFrame, keys: Sequence[str], slot: int = 60_000) -> DataFrame:
     """Overlaps of segments (keys, label, start, end) with those of other labels: keys, label, base and blocked range.
 
-    Segments are dealt to the time slots that they touch and meet only there, in the slot where their
-    overlap begins; so a busy key isn't one task, nor are all its pairs made. ``slot`` should be about
-    as long as a segment.
+    Segments meet the different ranges, each of which comes once with the least and the largest of its labels,
+    whoever else has it. Both are dealt to the time slots that they touch and meet only there, in the slot where
+    their overlap begins; so a busy key isn't one task, nor are all its pairs made, and equal overlaps, which
+    begin in one slot, are found equal there: pairs aren't shuffled. ``slot`` should be about as long as a segment.
     """
     first, last = F.floor(F.col("start") / slot), F.floor(F.greatest(F.col("end") - 1, F.col("start")) / slot)
-    dealt = segments.select(*keys, "label", "start", "end", F.explode(F.sequence(first, last)).alias("slot"))
-    a, b = dealt.alias("a"), dealt.alias("b")
+    touched = F.explode(F.sequence(first, last)).alias("slot")
+    bases = segments.select(*keys, "label", "start", "end").where("label is not null").distinct()
+    ranges = bases.groupBy(*keys, "start", "end").agg(F.min("label").alias("least"), F.max("label").alias("most"))
+    a, b = bases.select("*", touched).alias("a"), ranges.select("*", touched).alias("b")
     cond = F.col("a.slot") == F.col("b.slot")
     for k in keys:
         cond = cond & (F.col(f"a.{k}") == F.col(f"b.{k}"))
-    cond = cond & (F.col("a.label") != F.col("b.label")) & (F.col("a.start") < F.col("b.end")) & (F.col("b.start") < F.col("a.end"))
+    cond = cond & ((F.col("a.label") != F.col("b.least")) | (F.col("a.label") != F.col("b.most"))) & (F.col("a.start") < F.col("b.end")) & (F.col("b.start") < F.col("a.end"))
     cond = cond & (F.col("a.slot") == F.floor(F.greatest("a.start", "b.start") / slot))
-    return a.join(b, cond).select(
-        *[F.col(f"a.{k}").alias(k) for k in keys], F.col("a.label").alias("label"), F.col("a.start").alias("base_start"), F.col("a.end").alias("base_end"),
+    met = a.join(b.hint("merge"), cond).select(
+        *[F.col(f"a.{k}").alias(k) for k in keys], F.col("a.slot").alias("slot"), F.col("a.label").alias("label"), F.col("a.start").alias("base_start"), F.col("a.end").alias("base_end"),
         F.greatest("a.start", "b.start").alias("start"), F.least("a.end", "b.end").alias("end"),
-    ).distinct()
+    )
+    return met.distinct().drop("slot")
 
 
 def gate_groups(utterances: DataFrame) -> DataFrame:

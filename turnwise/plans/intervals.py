@@ -78,7 +78,7 @@ def subtract_ranges(spark, d):
 def other_blocks(spark, d):
     """Overlaps with segments of other speakers."""
     u = utterances(spark, d).select("room", F.col("client_id").alias("label"), F.floor(F.col("started_ms") / 100).alias("start"), F.floor(F.col("ended_ms") / 100).alias("end"))
-    return intervals.blocked_by_others(u, ["room"])
+    return intervals.blocked_by_others(u, ["room"], 6_000)
 
 
 @query("S10_gate_groups")
