@@ -320,6 +320,25 @@ def test_blocks_of_speakers_with_equal_segments_are_no_pairs(spark):
         assert "Exchange" not in _above_the_join(got)
 
 
+def test_uncontested_ranges_are_what_subtraction_leaves(spark):
+    rng = random.Random(5)
+    rows = []
+    for room in range(2):
+        for _ in range(60):
+            start = rng.randint(-500, 2500)
+            rows.append((room, rng.randint(-2, 3), start, start + rng.randint(0, 200)))
+    rows += [(2, 2**40 + label, 0, 100) for label in range(3)] + [(2, 2**62 + 1, 100, 200), (2, -(2**62), 200, 300), (3, 5, 0, 500)]
+    own = intervals.merged(spark.createDataFrame(rows, "room int, label long, start long, end long"), ["room", "label"])
+    base = own.select("room", "label", F.col("start").alias("base_start"), F.col("end").alias("base_end"))
+    blocked = intervals.blocked_by_others(own, ["room"]).select("room", "label", "start", "end")
+    expected = sorted(map(tuple, intervals.subtracted(base, blocked, ["room", "label"], 5).select("room", "label", "start", "end").collect()))
+    assert {(2, 2**62 + 1, 100, 200), (2, -(2**62), 200, 300), (3, 5, 0, 500)} <= set(expected)
+    for slot in (7, 60_000):
+        got = intervals.uncontested(own, ["room"], 5, slot)
+        assert sorted(map(tuple, got.select("room", "label", "start", "end").collect())) == expected
+        assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_events_of_a_busy_room_are_many_tasks(spark, tmp_path):
     """One room: each event goes to all other clients once, and not all in one task."""
     rows = [(i, 3 * (i % 40), "error" if i % 2 else "view") for i in range(400)]

@@ -103,6 +103,26 @@ def blocked_by_others(segments: DataFrame, keys: Sequence[str], slot: int = 60_0
     return met.distinct().drop("slot")
 
 
+def uncontested(own: DataFrame, keys: Sequence[str], least: int = LEAST_PIECE, slot: int = 60_000) -> DataFrame:
+    """What of each label's ranges no other label of the same keys covers, in pieces of ``least`` or more: keys, label, start, end.
+
+    ``own``: keys, label (a whole number), start, end, a label's ranges disjoint and not touching (``merged``). No pairs are made: between two
+    neighbouring ends of ranges so many labels are there as have begun but not ended, and where that is one, the sum of labels is that label.
+    Ranges are cut at time slots, so a busy key isn't one task; pieces that meet at a slot's end are one again.
+    """
+    first, last = F.floor(F.col("start") / slot), F.floor((F.col("end") - 1) / slot)
+    parts = own.where("end > start").select(*keys, "label", "start", "end", F.explode(F.sequence(first, last)).alias("slot"))
+    start, end = F.greatest("start", F.col("slot") * slot), F.least("end", (F.col("slot") + 1) * slot)
+    edge = lambda at, n: F.struct(at.alias("at"), F.lit(n).alias("n"), (F.col("label").cast("decimal(20,0)") * n).alias("of"))
+    edges = parts.select(*keys, "slot", F.explode(F.array(edge(start, 1), edge(end, -1))).alias("e")).groupBy(*keys, "slot", "e.at").agg(F.sum("e.n").alias("n"), F.sum("e.of").alias("of"))
+    order = Window.partitionBy(*keys, "slot").orderBy("at")
+    so_far = order.rowsBetween(Window.unboundedPreceding, 0)
+    swept = edges.select(*keys, F.col("at").alias("start"), F.lead("at").over(order).alias("end"), F.sum("n").over(so_far).alias("n"), F.sum("of").over(so_far).alias("label"))
+    kind = dict(own.dtypes)["label"]
+    alone = swept.where("n = 1").select(*keys, F.col("label").cast(kind).alias("label"), "start", "end")
+    return merged(alone, [*keys, "label"]).where(F.col("end") - F.col("start") >= F.greatest(F.lit(1), F.lit(least)))
+
+
 def gate_groups(utterances: DataFrame) -> DataFrame:
     """Groups of captures of the same speech: room, group_no, utterance_id, is_dominant, echo_suspected.
 

@@ -246,8 +246,7 @@ def diarised_regions(spark, d):
 
     u = utterances(spark, d).select("room", F.col("client_id").alias("label"), F.floor(F.col("started_ms") / 10).alias("start"), F.floor(F.col("ended_ms") / 10).alias("end"))
     own = intervals.merged(u, ["room", "label"])
-    others = intervals.blocked_by_others(own, ["room"]).select("room", "label", "start", "end")
-    clean = intervals.subtracted(own.select("room", "label", F.col("start").alias("base_start"), F.col("end").alias("base_end")), others, ["room", "label"], 35)
+    clean = intervals.uncontested(own, ["room"], 35)
     sums = clean.groupBy("room", "label").agg(F.sum(F.col("end") - F.col("start")).alias("clean_samples"))
     w = Window.partitionBy("room").orderBy(F.desc("clean_samples"), "label")
     return sums.withColumn("place", F.row_number().over(w)).where("place = 1").drop("place")
