@@ -1,6 +1,7 @@
 """Voice activity, identity, idempotency, intervals, audio; batch against stream; order of input."""
 
 import math
+import pickle
 import random
 import struct
 from datetime import datetime
@@ -115,6 +116,35 @@ def test_identity_rules():
     assert len(two.speakers[0].gallery) == 8
 
 
+def test_speakers_found_by_one_product_are_those_of_all_products(monkeypatch):
+    """Decisions equal those of a room that scores every speaker, with equal voices, empty ones, other lengths and no numbers; few speakers are scored one by one."""
+    rng = np.random.default_rng(6)
+    centres = rng.standard_normal((90, 12))
+    voices = [(c := centres[rng.integers(90)] + rng.standard_normal(12) * 0.25) / np.linalg.norm(c) for _ in range(700)]
+    odd = [voices[3], voices[3], [], [1.0], [-1.0], [], [0.0] * 12, [1e30] * 12, voices[5], [0.5, 0.5], [0.5, 0.5]]
+
+    class Plain(identity.Room):
+        def scores(self, x):
+            self.rows = self.rows or {}
+            return {i: max([identity._dot(x, s.centroid), *(identity._dot(x, g) for g in s.gallery)]) for i, s in enumerate(self.speakers)}
+
+    for tail in (odd, [*odd, [float("nan")] * 12, voices[7], voices[8]]):
+        for soft in (False, True):
+            a, b = identity.Room(), Plain()
+            got = []
+            for i, v in enumerate([*voices[:300], *tail]):
+                a = pickle.loads(pickle.dumps(a)) if i % 50 == 0 else a
+                got.append(identity.assign(a, v, 0.8, soft))
+            assert str(got) == str([identity.assign(b, v, 0.8, soft) for v in [*voices[:300], *tail]])
+            assert max(len(s.gallery) for s in a.speakers) > 3
+    calls, dot = [], identity._dot
+    monkeypatch.setattr(identity, "_dot", lambda x, y: calls.append(1) or dot(x, y))
+    room = identity.Room()
+    for v in voices:
+        identity.assign(room, v, 0.8)
+    assert len(room.speakers) > 60 and len(calls) < 40 * len(voices)
+
+
 def test_identity_batch_equals_stream(spark, tmp_path):
     rng = np.random.default_rng(4)
     centres = rng.standard_normal((4, 8))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from itertools import islice
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
@@ -59,9 +60,70 @@ class Speaker:
     cursor: int = 0
 
 
+class Rows:
+    """A room's vectors of one length as rows of a matrix: which rows a speaker has, and whose a row is."""
+
+    def __init__(self, size: int):
+        self.matrix, self.owner, self.n, self.most = np.empty((64, size), np.float32), np.empty(64, np.int64), 0, 0.0
+        self.own: dict[int, list[int]] = {}
+
+    def put(self, speaker: int, place: int, x: np.ndarray) -> None:
+        """``place``: 0 for the centroid, from 1 for the gallery; a speaker's places come one after another."""
+        own = self.own.setdefault(speaker, [])
+        if place == len(own):
+            if self.n == len(self.owner):
+                self.matrix, self.owner = np.concatenate([self.matrix, np.empty_like(self.matrix)]), np.concatenate([self.owner, np.empty_like(self.owner)])
+            own.append(self.n)
+            self.owner[self.n] = speaker
+            self.n += 1
+        self.matrix[own[place]] = x
+        self.most = max(self.most, float(np.linalg.norm(x.astype(np.float64))))
+
+    def nearest(self, x: np.ndarray) -> list[int] | None:
+        """The speakers that can be the two best, or equal to them; None if that can't be told from these numbers."""
+        with np.errstate(all="ignore"):
+            rough = self.matrix[: self.n] @ x
+            off = 4 * len(x) * 2.0**-23 * float(np.linalg.norm(x.astype(np.float64))) * self.most + 1e-30
+        if not np.isfinite(rough).all() or not np.isfinite(off):
+            return None
+        rest = rough.copy()
+        rest[self.own[int(self.owner[rough.argmax()])]] = -np.inf
+        return np.unique(self.owner[: self.n][rough >= rest.max() - off]).tolist()
+
+
 @dataclass
 class Room:
+    """The speakers, and their vectors by length, which are made anew from the speakers where they aren't at hand."""
+
     speakers: list[Speaker] = field(default_factory=list)
+    rows: dict[int, Rows] | None = field(default=None, repr=False, compare=False)
+
+    def __getstate__(self) -> dict:
+        return {"speakers": self.speakers, "rows": None}
+
+    def put(self, i: int, place: int, x: np.ndarray) -> None:
+        if len(x) not in self.rows:
+            self.rows[len(x)] = Rows(len(x))
+        self.rows[len(x)].put(i, place, x)
+
+    def scores(self, x: np.ndarray) -> dict[int, np.float32]:
+        """Scores of all speakers that can be the best or second best.
+
+        One product finds them; their scores are then taken in double precision, vector by vector.
+        """
+        if self.rows is None:
+            self.rows = {}
+            for i, s in enumerate(self.speakers):
+                for place, y in enumerate([s.centroid, *s.gallery]):
+                    self.put(i, place, y)
+        near = self.rows[len(x)].nearest(x) if len(x) in self.rows and len(x) else []
+        if near is None:
+            near = range(len(self.speakers))
+        elif len(self.rows) > 1 or not len(x):
+            # Vectors of another length all score the same: the first two stand for the rest.
+            other = (i for i, s in enumerate(self.speakers) if len(s.centroid) != len(x) or not len(x))
+            near = [*near, *islice(other, 2)]
+        return {i: max([_dot(x, self.speakers[i].centroid), *(_dot(x, g) for g in self.speakers[i].gallery)]) for i in near}
 
 
 def _dot(a: np.ndarray, b: np.ndarray) -> np.float32:
@@ -79,8 +141,8 @@ def assign(room: Room, v: Sequence[float], threshold: float = 0.60, single_soft:
     equal scores wins. Only trusted matches move the centroid (a running mean) and join the gallery.
     """
     x = np.asarray(v, np.float32)
-    scores = [max([_dot(x, s.centroid), *(_dot(x, g) for g in s.gallery)]) for s in room.speakers]
-    order = sorted(range(len(scores)), key=lambda i: (-scores[i], i))
+    scores = room.scores(x)
+    order = sorted(scores, key=lambda i: (-scores[i], i))
     best = float(scores[order[0]]) if order else -1.0
     second = float(scores[order[1]]) if len(order) > 1 else -1.0
     margin = 0.0 if not order else 1.0 if second < -0.5 else best - second
@@ -96,6 +158,8 @@ def assign(room: Room, v: Sequence[float], threshold: float = 0.60, single_soft:
             mode = "match-clear-soft"
     if mode == "new":
         room.speakers.append(Speaker(speaker_name(len(room.speakers)), x.copy(), [x]))
+        for place in (0, 1):
+            room.put(len(room.speakers) - 1, place, x)
         return room.speakers[-1].name, mode, 1.0, -1.0, 1.0, best, second, margin
     s = room.speakers[order[0]]
     if best >= np.float32(threshold) or second < -0.5 or margin >= np.float32(TRUSTED_MARGIN):
@@ -103,10 +167,14 @@ def assign(room: Room, v: Sequence[float], threshold: float = 0.60, single_soft:
         moved = (np.float32(1) - a) * s.centroid + a * x
         norm = float(np.sqrt((moved.astype(np.float64) ** 2).sum()))
         s.centroid = (moved / norm).astype(np.float32) if norm > 1e-12 else moved
+        room.put(order[0], 0, s.centroid)
         if len(s.gallery) < GALLERY:
             s.gallery.append(x)
+            room.put(order[0], len(s.gallery), x)
         else:
-            s.gallery[s.cursor % GALLERY] = x
+            place = s.cursor % GALLERY
+            s.gallery[place] = x
+            room.put(order[0], place + 1, x)
             s.cursor = (s.cursor + 1) % GALLERY
     s.count = min(s.count + 1, 1_000_000)
     return s.name, mode, best, second, margin, best, second, margin
