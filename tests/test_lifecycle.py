@@ -240,6 +240,24 @@ def test_word_offsets_and_first_differences(spark):
     assert [r.d for r in pairs.select(T.first_difference(F.col("a"), F.col("b")).alias("d")).collect()] == ["2:c|d", "0:|", "2:|xyz", "1:a|b"]
 
 
+@pytest.mark.parametrize("together", [1, 40, 1 << 20])
+def test_words_of_many_texts_are_found_at_once(monkeypatch, together):
+    """Texts that end and begin with words, null and empty ones, any script, slices, blocks of any size."""
+    import re
+
+    import pyarrow as pa
+
+    monkeypatch.setattr(T, "_TOGETHER", together)
+    texts = ["", "ab", "cd e", None, "x" * 90, " \x00é🙂ß1 Ⅷ²漢_字\u0301a ", "", None, "🙂", "z"]
+    for kind in (pa.string(), pa.large_string()):
+        for part in (slice(0, 10), slice(3, 9), slice(0, 1), slice(0, 0), slice(7, 8)):
+            got = T._word_offsets(pa.array(texts, kind)[part])
+            got.validate(full=True)
+            want = [[{"word": m[0], "start": m.start(), "end": m.end()} for m in re.finditer(r"[^\W_]+", t or "")] for t in texts[part]]
+            assert got.to_pylist() == want
+    assert T._word_offsets(pa.array([b"a\xffb c"], pa.binary())).to_pylist() == [[{"word": "a", "start": 0, "end": 1}, {"word": "b", "start": 2, "end": 3}, {"word": "c", "start": 4, "end": 5}]]
+
+
 def test_repeats_equal_a_plain_version(spark):
     rng = random.Random(5)
     rows = [([rng.choice(["a", "ab", "b", "ba"]) for _ in range(rng.randint(0, 26))],) for _ in range(400)]

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import unicodedata
-from functools import reduce
+from functools import cache, reduce
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -245,32 +248,62 @@ def roundtrip_similarity(source: Column, back: Column) -> Column:
     return F.when(some, ratios(own, other, letters(source), letters(back)) + ROUND_TRIP["recall"] * recall).otherwise(0.0)
 
 
-#: Matches whose offsets are summed together; sums of sums keep texts with very many words cheap.
-_TOGETHER = 256
+#: Bytes of texts whose words are found together.
+_TOGETHER = 1 << 20
+
+
+@cache
+def _in_words() -> np.ndarray:
+    """For each code point whether it is a letter or a number."""
+    return np.fromiter((unicodedata.category(chr(c))[0] in "LN" for c in range(0x110000)), bool, 0x110000)
+
+
+def _runs(texts: pa.Array) -> tuple[np.ndarray, pa.StructArray]:
+    """Of each text the number of its words, and all words with their offsets; null counts as empty."""
+    texts = texts.cast(pa.large_binary()).fill_null(b"")
+    bounds = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    raw = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[bounds[0] : bounds[-1]]
+    try:
+        points = np.frombuffer(raw.tobytes().decode().encode("utf-32-le"), np.uint32)
+    except UnicodeDecodeError:
+        return _runs(pa.array([x.decode(errors="replace") for x in texts.to_pylist()], pa.large_string()))
+    leads = np.flatnonzero((raw & 0xC0) != 0x80)  # the bytes that code points begin at
+    begins = np.searchsorted(leads, bounds - bounds[0])  # the code points that texts begin at
+    inside = np.zeros(len(points) + 2, bool)
+    inside[1:-1] = _in_words()[points]
+    cut = np.zeros(len(points) + 1, bool)
+    cut[begins] = True
+    starts, ends = np.flatnonzero(inside[1:] & (cut | ~inside[:-1])), np.flatnonzero(inside[:-1] & (cut | ~inside[1:]))
+    leads = np.append(leads, len(raw))
+    sizes = leads[ends] - leads[starts]
+    kept = raw[np.repeat(inside[1:-1], np.diff(leads))]
+    found = pa.StringArray.from_buffers(len(starts), pa.py_buffer(np.append(0, np.cumsum(sizes)).astype(np.int32)), pa.py_buffer(kept))
+    counts = np.diff(np.searchsorted(starts, begins))
+    first = np.repeat(begins[:-1], counts)
+    places = [pa.array((x - first).astype(np.int32)) for x in (starts, ends)]
+    return counts, pa.StructArray.from_arrays([found, *places], ["word", "start", "end"])
+
+
+def _word_offsets(texts: pa.Array) -> pa.Array:
+    counts, out, at = [], [], 0
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+    while at < len(texts):  # about a megabyte at a time, as the numbers for it take much more
+        upto = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + _TOGETHER, "right")))
+        n, found = _runs(texts[at:upto])
+        counts, out, at = [*counts, n], [*out, found], upto
+    if not out:
+        n, found = _runs(texts)
+        counts, out = [n], [found]
+    offsets = np.append(0, np.cumsum(np.concatenate(counts))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.concat_arrays(out))
 
 
 def word_offsets(text: Column | str) -> Column:
     """(word, start, end) of each word in its own case; offsets are code points.
 
-    ``text`` should be a plain column: it is taken apart twice, into words and into what is between them.
+    Tasks look all code points of many texts up at once: a word is where letters and numbers begin and end.
     """
-    t, kind = F.coalesce(_col(text), F.lit("")), "array<struct<word:string,start:int,end:int>>"
-    found, between = F.regexp_extract_all(t, F.lit(r"[\p{L}\p{N}]+"), F.lit(0)), F.split(t, r"[\p{L}\p{N}]+", -1)
-    pairs = F.arrays_zip(found.alias("word"), F.slice(between, 1, F.size(found)).alias("gap"))
-    groups = F.transform(F.sequence(F.lit(0), F.size(found) - 1, F.lit(_TOGETHER)), lambda at: F.slice(pairs, at + 1, _TOGETHER))
-
-    def place(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["gap"])
-        end = start + F.length(x["word"])
-        one = F.struct(x["word"].alias("word"), start.alias("start"), end.alias("end"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
-
-    def group(acc: Column, part: Column) -> Column:
-        done = F.aggregate(part, F.struct(acc["at"].alias("at"), F.array().cast(kind).alias("out")), place)
-        return F.aggregate(F.array(done), acc, lambda a, g: F.struct(g["at"].alias("at"), F.concat(a["out"], F.array(g["out"])).alias("out")))
-
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{kind}>").alias("out"))
-    return F.when(F.size(found) == 0, F.array().cast(kind)).otherwise(F.flatten(F.aggregate(groups, zero, group)["out"]))
+    return F.arrow_udf(_word_offsets, "array<struct<word:string,start:int,end:int>>")(_col(text))
 
 
 def first_difference(a: Column, b: Column, shown: int = 12) -> Column:
