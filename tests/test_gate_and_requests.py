@@ -2,6 +2,7 @@
 
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -94,6 +95,56 @@ def test_gate_stream_equals_batch(spark, tmp_path, capacity):
     assert states(query)[-1] < max(states(query))
 
 
+class Held:
+    """States and timers of one key, as a processor sees them."""
+
+    def __init__(self):
+        self.rows, self.value, self.timers = {}, {}, set()
+
+    def getMapState(self, name, *_):
+        rows = self.rows
+        return type("Map", (), {"keys": lambda _: iter(list(rows)), "getValue": lambda _, k: rows[k], "updateValue": lambda _, k, v: rows.update({k: v}), "removeKey": lambda _, k: rows.pop(k)})()
+
+    def getValueState(self, name, _):
+        value = self.value
+        return type("Value", (), {"exists": lambda _: name in value, "get": lambda _: value[name], "update": lambda _, v: value.update({name: v}), "clear": lambda _: value.pop(name, None)})()
+
+    def registerTimer(self, at):
+        self.timers.add(at)
+
+
+@pytest.mark.parametrize("capacity", [128, 2])
+def test_waiting_rows_are_taken_up_slot_by_slot(spark, monkeypatch, capacity):
+    """Rows of many slots, in batches of any order and watermarks amid a slot: the groups of a plain clock, and never more than a slot's rows at once."""
+    monkeypatch.setattr(processors, "SLOT_MS", 5000)
+    monkeypatch.setattr(processors, "TOGETHER", 7)
+    loaded, loads = [], processors.pickle.loads
+    rows = captures(9, n=200, rooms=1)
+    gate_ = processors.Gate(spark.createDataFrame(rows[:1], CAPTURES), gate.Limits(capacity=capacity))
+    held, out = Held(), []
+    gate_.init(held)
+    monkeypatch.setattr(processors.pickle, "loads", lambda x: loaded.append(len(y := loads(x))) or y)
+    names = [c.split()[0] for c in CAPTURES.split(", ")]
+    for i in range(0, 200, 50):
+        part = rows[i : i + 50]
+        mark = part[-1][3]
+        random.Random(i).shuffle(part)
+        gate_.handleInputRows((0,), iter([pd.DataFrame(part[k : k + 5], columns=names) for k in range(0, 50, 5)]), None)
+        # Rows of the mark's own time wait for it to pass.
+        for now in (mark - 3000, mark):
+            while held.timers and min(held.timers) <= now:
+                held.timers.discard(min(held.timers))
+                clock = type("Clock", (), {"getCurrentWatermarkInMs": lambda _, now=now: now})()
+                for df in gate_.handleExpiredTimer((0,), clock, None):
+                    assert len(df)
+                    out += df.itertuples(index=False, name=None)
+    end = rows[-1][3] + 60_000
+    for df in gate_.handleExpiredTimer((0,), type("Clock", (), {"getCurrentWatermarkInMs": lambda _: end})(), None):
+        out += df.itertuples(index=False, name=None)
+    assert sorted(out) == plain_gate(rows, capacity=capacity)
+    assert not held.rows and not held.value and max(loaded) <= 50
+
+
 EVENTS = "key string, at_ms long, seq long, kind string, request_id string, fingerprint string, ok boolean"
 
 

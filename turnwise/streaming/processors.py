@@ -7,7 +7,10 @@ timer. Keys with nothing left have no state.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator, Sequence
+from itertools import groupby
+from operator import itemgetter
 from typing import Any
 
 import pandas as pd
@@ -18,6 +21,8 @@ from ..operators import gate, idempotency
 
 #: Timers and typed states need this store.
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: A key's rows wait by slots of so much time, of which one is in memory at a time, and are taken in so many at a time.
+SLOT_MS, TOGETHER = 3_600_000, 200_000
 
 
 def use_store(spark: SparkSession) -> None:
@@ -36,7 +41,9 @@ class InOrder(StatefulProcessor):
 
     def __init__(self, waiting_schema: str, order: Sequence[str], key_names: Sequence[str]):
         self.waiting_schema, self.order, self.key_names = waiting_schema, list(order), list(key_names)
-        self.columns = [c.split()[0].strip("`") for c in waiting_schema.split(", ")]
+        fields = [c.split() for c in waiting_schema.split(", ")]
+        self.columns = [c.strip("`") for c, _ in fields]
+        self.whole = [kind in ("long", "bigint", "int", "integer", "short", "smallint", "byte", "tinyint") for _, kind in fields]
 
     def load(self, row: tuple | None) -> Any:
         raise NotImplementedError
@@ -56,46 +63,84 @@ class InOrder(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", self.waiting_schema)
+        self.waiting = handle.getMapState("waiting", "slot long, n long", "rows binary")
         self.held = handle.getValueState("held", self.state_schema)
-        self.armed = handle.getValueState("armed", "at_ms long")
-
-    def _arm(self, times: list[int]) -> None:
-        """A key has one timer: for the first row that waits, or what ends before."""
-        if times and (not self.armed.exists() or min(times) < self.armed.get()[0]):
+        self.armed = handle.getValueState("armed", "at_ms long, n long")
+
+    def _arm(self, times: list[int], n: int) -> None:
+        """A key has one timer: for the first row that waits, or what ends before. ``n``: how often rows have been put by."""
+        if not times:
+            return
+        before = self.armed.get()[0] if self.armed.exists() else None
+        if before is None or min(times) < before:
             self.handle.registerTimer(min(times))
-            self.armed.update((min(times),))
+            before = min(times)
+        self.armed.update((before, n))
+
+    def _rows(self, part: pd.DataFrame) -> Iterator[tuple]:
+        columns = []
+        for c, whole in zip(self.columns, self.whole, strict=True):
+            values, gone = part[c].tolist(), part[c].isna()
+            if gone.any():
+                values = [None if n else int(x) if whole else x for x, n in zip(values, gone, strict=True)]
+            columns.append(values)
+        return zip(*columns, strict=True)
+
+    def _wait(self, rows: list[tuple]) -> None:
+        """Rows are put by as one value for each slot that they are of."""
+        n, at = self.armed.get()[1] if self.armed.exists() else 0, self.columns.index(self.order[0])
+        rows.sort(key=itemgetter(at))
+        for slot, own in groupby(rows, lambda r: r[at] // SLOT_MS):
+            self.waiting.updateValue((slot, n), (pickle.dumps(list(own), protocol=5),))
+        self._arm([rows[0][at] + 1], n + 1)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        times = set()
+        held = []
         for part in rows:
-            part = part[self.columns]
-            times.update(int(t) for t in part[self.order[0]])
-            self.waiting.appendList([tuple(None if pd.isna(x) else x for x in r) for r in part.astype(object).itertuples(index=False)])
-        self._arm([t + 1 for t in times])
+            held += self._rows(part)
+            if len(held) >= TOGETHER:
+                self._wait(held)
+                held = []
+        if held:
+            self._wait(held)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentWatermarkInMs()
-        at = [self.columns.index(c) for c in self.order]
-        waiting = [tuple(r) for r in self.waiting.get()] if self.waiting.exists() else []
-        ready = sorted((r for r in waiting if r[at[0]] < now), key=lambda r: tuple(r[i] for i in at))
-        later = [r for r in waiting if r[at[0]] >= now]
-        state = self.load(tuple(self.held.get()) if self.held.exists() else None)
-        out = [x for r in ready for x in self.step(state, r)]
-        out += self.ends(state, now)
-        if ready:
-            self.waiting.put(later) if later else self.waiting.clear()
-        kept, times = self.dump(state), [r[at[0]] + 1 for r in later]
+        at, order = self.columns.index(self.order[0]), itemgetter(*(self.columns.index(c) for c in self.order))
+        state, times = self.load(tuple(self.held.get()) if self.held.exists() else None), []
+
+        def table(out: list[tuple]) -> pd.DataFrame:
+            return pd.DataFrame([(*key, *x) for x in out], columns=[*self.key_names, *self.outputs])
+
+        for slot, places in groupby(sorted(tuple(k) for k in self.waiting.keys()), itemgetter(0)):
+            places = list(places)
+            waiting = sorted((r for p in places for r in pickle.loads(self.waiting.getValue(p)[0])), key=order)
+            later = [r for r in waiting if r[at] >= now]
+            ready = waiting[: len(waiting) - len(later)]
+            if ready:
+                for p in places:
+                    self.waiting.removeKey(p)
+                if later:
+                    self.waiting.updateValue(places[0], (pickle.dumps(later, protocol=5),))
+                out = [x for r in ready for x in self.step(state, r)]
+                if out:
+                    yield table(out)
+            if later:
+                times = [later[0][at] + 1]
+                break
+        out = list(self.ends(state, now))
+        kept = self.dump(state)
         if kept is None:
             self.held.clear()
         else:
             self.held.update(kept)
             times.append(max(self.due(state), now + 1))
+        n = self.armed.get()[1] if self.armed.exists() else 0
         self.armed.clear()
-        self._arm(times)
+        self._arm(times, n)
         if out:
-            yield pd.DataFrame([(*key, *x) for x in out], columns=[*self.key_names, *self.outputs])
+            yield table(out)
 
     def close(self) -> None:
         pass
