@@ -367,6 +367,17 @@ def test_events_of_a_busy_room_are_many_tasks(spark, tmp_path):
     assert len({r.p for r in out.select(F.spark_partition_id().alias("p")).collect()}) > 20
 
 
+def test_events_of_a_room_go_to_few_clients_at_a_time(spark, tmp_path):
+    """Files of a room with many clients repeat a few of them for one event after another, which takes little disk."""
+    rows = spark.range(1_200).selectExpr("id as event_id", "3 * (id % 600) as user_id", "if(id % 2 = 0, 'error', 'view') as event_type")
+    rows.write.parquet(f"{tmp_path}/events.parquet")
+    out = conversation.fanout(spark, str(tmp_path)).withColumn("p", F.spark_partition_id()).toPandas()
+    assert set(zip(out["event_id"], out["client_id"], strict=True)) == {(i, 3 * c) for i in range(0, 1_200, 2) for c in range(600) if c != i % 600}
+    assert len(out) == 600 * 599
+    run = ((out["event_id"] != out["event_id"].shift()) | (out["p"] != out["p"].shift())).cumsum()
+    assert out.groupby(run).size().median() <= 256
+
+
 def test_stretches_of_packets_equal_the_whole(spark):
     rng = random.Random(3)
     rows, at = [], 0
