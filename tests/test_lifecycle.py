@@ -338,6 +338,22 @@ def test_blocks_of_speakers_with_equal_segments_are_no_pairs(spark):
         assert "Exchange" not in _above_the_join(got)
 
 
+def test_blocks_of_speakers_are_found_once(spark):
+    """Ranges that begin or end alike, inside, around and equal to a segment: each overlap comes once, though results aren't compared."""
+    rng = random.Random(17)
+    rows = [(room, rng.randint(1, 3 + room), s, s + rng.randint(-3, 30)) for room in range(3) for s in (rng.randint(-20, 40) for _ in range(70))]
+    rows += [(4, 1, 0, 9), (4, 1, 2, 9), (4, 2, 4, 9), (4, 2, 3, 20), (4, 1, 3, 30), (None, 1, 0, 9), (4, None, 0, 9), (4, 3, None, 9), (4, 3, 0, None)]
+    df = spark.createDataFrame(rows, "room int, label int, start long, end long")
+    expected = sorted({
+        (r, a, s, e, max(s, t), min(e, f)) for r, a, s, e in rows for q, b, t, f in rows
+        if None not in (r, a, s, e, q, b, t, f) and r == q and a != b and s < f and t < e
+    })
+    for slot in (5, 17, 60_000):
+        got = intervals.blocked_by_others(df, ["room"], slot)
+        assert sorted(map(tuple, got.collect())) == expected
+        assert "Aggregate" not in _above_the_join(got)
+
+
 def test_uncontested_ranges_are_what_subtraction_leaves(spark):
     rng = random.Random(5)
     rows = []

@@ -81,26 +81,40 @@ def subtracted(base: DataFrame, blocked: DataFrame, keys: Sequence[str], least:
 def blocked_by_others(segments: DataFrame, keys: Sequence[str], slot: int = 60_000) -> DataFrame:
     """Overlaps of segments (keys, label, start, end) with those of other labels: keys, label, base and blocked range.
 
-    Segments meet the different ranges, each of which comes once with the least and the largest of its labels,
-    whoever else has it. Both are dealt to the time slots that they touch and meet only there, in the slot where
-    their overlap begins; so a busy key isn't one task, nor are all its pairs made, and equal overlaps, which
-    begin in one slot, are found equal there: pairs aren't shuffled. ``slot`` should be about as long as a segment.
+    Segments are dealt once to the time slots that they touch, and meet the different ranges of a slot, where their overlap begins; so a
+    busy key isn't one task, nor are all its pairs made. A range comes once with the least and the largest of its labels, whoever else has it.
+    An overlap is found once, so that neither pairs nor results are compared: of the ranges that end alike and begin before a segment the
+    first does, of those that begin alike and end after it the last, and whether any covers it whole is asked apart.
+    ``slot`` should be about as long as a segment.
     """
     first, last = F.floor(F.col("start") / slot), F.floor(F.greatest(F.col("end") - 1, F.col("start")) / slot)
-    touched = F.explode(F.sequence(first, last)).alias("slot")
-    bases = segments.select(*keys, "label", "start", "end").where("label is not null").distinct()
-    ranges = bases.groupBy(*keys, "start", "end").agg(F.min("label").alias("least"), F.max("label").alias("most"))
-    a, b = bases.select("*", touched).alias("a"), ranges.select("*", touched).alias("b")
+    by, columns = [*keys, "slot"], [*keys, "label", "start", "end"]
+    whole_rows = segments.select(*columns).where(" and ".join(f"`{c}` is not null" for c in columns))
+    bases = whole_rows.select("*", F.explode(F.sequence(first, last)).alias("slot")).where("slot is not null").repartition(*by).distinct()
+    ranges = bases.groupBy(*by, "start", "end").agg(F.min("label").alias("least"), F.max("label").alias("most"))
+
+    def once(alike: str, order: Column, name: str) -> Column:
+        """For the first of the ranges alike: true; for the first one with another label than the only one of that: this label."""
+        window = Window.partitionBy(*by, alike).orderBy(order)
+        only, of = F.first("least").over(window), F.first("most").over(window)
+        other = (F.col("least") != only) | (F.col("most") != only)
+        nth = F.count_if(other).over(window)
+        return F.struct((F.row_number().over(window) == 1).alias("first"), F.when((only == of) & other & (nth == 1), only).alias("instead_of")).alias(name)
+
+    ranges = ranges.select("*", once("end", F.col("start"), "ends")).select("*", once("start", F.col("end").desc(), "starts"))
+    a, b = bases.alias("a"), ranges.alias("b")
     cond = F.col("a.slot") == F.col("b.slot")
     for k in keys:
         cond = cond & (F.col(f"a.{k}") == F.col(f"b.{k}"))
     cond = cond & ((F.col("a.label") != F.col("b.least")) | (F.col("a.label") != F.col("b.most"))) & (F.col("a.start") < F.col("b.end")) & (F.col("b.start") < F.col("a.end"))
     cond = cond & (F.col("a.slot") == F.floor(F.greatest("a.start", "b.start") / slot))
-    met = a.join(b.hint("merge"), cond).select(
-        *[F.col(f"a.{k}").alias(k) for k in keys], F.col("a.slot").alias("slot"), F.col("a.label").alias("label"), F.col("a.start").alias("base_start"), F.col("a.end").alias("base_end"),
-        F.greatest("a.start", "b.start").alias("start"), F.least("a.end", "b.end").alias("end"),
-    )
-    return met.distinct().drop("slot")
+    later, sooner = F.col("b.start") > F.col("a.start"), F.col("b.end") < F.col("a.end")
+    told = lambda name: F.col(f"b.{name}.first") | (F.col(f"b.{name}.instead_of") == F.col("a.label"))
+    part = (later & sooner) | (~later & sooner & told("ends")) | (later & ~sooner & told("starts"))
+    base = [*(F.col(f"a.{k}").alias(k) for k in keys), F.col("a.label").alias("label"), F.col("a.start").alias("base_start"), F.col("a.end").alias("base_end")]
+    met = a.join(b.hint("merge"), cond & part).select(*base, F.greatest("a.start", "b.start").alias("start"), F.least("a.end", "b.end").alias("end"))
+    whole = a.join(b.hint("merge"), cond & ~later & ~sooner, "left_semi").select(*base, F.col("a.start").alias("start"), F.col("a.end").alias("end"))
+    return met.unionByName(whole)
 
 
 def uncontested(own: DataFrame, keys: Sequence[str], least: int = LEAST_PIECE, slot: int = 60_000) -> DataFrame:
